@@ -80,7 +80,20 @@ def settle(summary: DataFrame) -> DataFrame:
 
 
 def attach(df: DataFrame, summary: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join per-group columns of ``summary`` onto the rows of ``df``."""
+    """Join per-group columns of ``summary`` onto the rows of ``df``.
+
+    Keys match null-safely: a NULL key is a group of its own.  Without keys the
+    summary is one row, whose values become constants.
+    """
+    if not keys:
+        row = summary.first()
+        if row is None:
+            return df.where(F.lit(False)).withColumns(
+                {f.name: F.lit(None).cast(f.dataType) for f in summary.schema}
+            )
+        return df.withColumns(
+            {f.name: F.lit(row[f.name]).cast(f.dataType) for f in summary.schema}
+        )
     renamed = summary.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
         *[c for c in summary.columns if c not in keys],
