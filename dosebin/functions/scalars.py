@@ -73,8 +73,8 @@ def threshold_group(index: Column, cutoff: int = 7) -> Column:
 
 
 def interpolate(lo: Column, hi: Column, fraction: Column) -> Column:
-    """Linear interpolation that keeps equal (also infinite) ends exact."""
-    return F.when(lo == hi, lo).otherwise(lo + (hi - lo) * fraction)
+    """Linear interpolation that keeps ends exact, also infinite ones."""
+    return F.when((lo == hi) | (fraction == 0), lo).otherwise(lo + (hi - lo) * fraction)
 
 
 def complete_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

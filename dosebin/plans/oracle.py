@@ -104,8 +104,14 @@ def renumber(name, source, number_keys) -> str:
 
 
 def d(expression: str, name: str | None = None) -> str:
-    """A double for the result: six digits, no negative zero."""
-    return f"round(CAST({expression} AS DOUBLE), 6) + 0.0 AS {name or expression}"
+    """A double for the result: digits by size, no negative zero."""
+    if name is None and expression in DOUBLE_KEYS:
+        return f"round({expression}, 6) + 0.0 AS {expression}"
+    digits = (
+        "CASE WHEN abs(v) < 1e3 THEN round(v, 6) WHEN abs(v) < 1e6 THEN round(v, 4) "
+        "WHEN abs(v) < 1e9 THEN round(v, 2) ELSE round(v, 0) END"
+    )
+    return f"list_transform([CAST({expression} AS DOUBLE)], lambda v: {digits})[1] + 0.0 AS {name or expression}"
 
 
 def counts(keys: str, source: str, *columns: str) -> str:
@@ -448,7 +454,7 @@ sums AS (SELECT experiment, count(*) FILTER (dox = '+dox') AS n1, count(*) FILTE
 ws AS (SELECT *, rs - n1 * (n1 + 1) / 2.0 AS w FROM sums),
 zs AS (SELECT *, (abs(w - n1 * n2 / 2.0) - CASE WHEN w = n1 * n2 / 2.0 THEN 0 ELSE 0.5 END)
     / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / (CAST(n1 + n2 AS DOUBLE) * (n1 + n2 - 1)))) AS z FROM ws)""",
-    f"""SELECT experiment, n1, n2, {d('w')}, {d('''least(1.0, 2 * list_sum(list_transform(range(0, 4001), i ->
+    f"""SELECT experiment, n1, n2, {d('w')}, {d('''least(1.0, 2 * list_sum(list_transform(range(0, 4001), lambda i:
     (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(z + i * 12.0 / 4000, 2) / 2)))
     * (12.0 / 4000) / 3 / sqrt(2 * pi()))''', 'p_value')} FROM zs""")
 add("lowest_gated_value", GATED, f"SELECT experiment, {d('min(ha)', 'min_ha')} FROM gated GROUP BY experiment")

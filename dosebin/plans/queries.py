@@ -1,7 +1,7 @@
 """Every operator as a query over the driver's tables.
 
 Each function takes (spark, folder) and returns a DataFrame; doubles are rounded
-to six digits so that results compare across engines.
+by their size so that results compare across engines.
 """
 
 from __future__ import annotations
@@ -53,13 +53,17 @@ GRID = replace(A.TWO_LIGAND, q_ha=0.1, statistic="mean")
 LEGACY = replace(A.LEGACY, statistic="mean", n_boot=N_BOOT, seed=SEED)
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, negative zero made plain."""
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles rounded by size (six digits below 1000), negative zero made plain."""
+
+    def short(c):
+        size = F.abs(c)
+        cut = F.when(size < 1e3, F.round(c, 6)).when(size < 1e6, F.round(c, 4))
+        return cut.when(size < 1e9, F.round(c, 2)).otherwise(F.round(c, 0)) + F.lit(0.0)
+
     return df.select(
         *[
-            (F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
-            if isinstance(f.dataType, T.DoubleType)
-            else F.col(f.name)
+            short(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
             for f in df.schema
         ]
     )
