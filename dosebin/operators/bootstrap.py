@@ -253,11 +253,13 @@ def _share_out(
         slices.groupBy(*group, "__slice")
         .agg(F.sum("__c").alias("size"))
         .groupBy(*group)
-        .agg(F.sort_array(F.collect_list(F.struct("__slice", "size"))).alias("sizes"))
+        .agg(F.sort_array(F.collect_list(F.struct("__slice", "size"))).alias("__s"))
+        .select(*group, F.col("__s.__slice").alias("slices"), F.col("__s.size").alias("sizes"))
     )
     work = lists.select(
         *group,
         _key_text(group).alias("__key"),
+        "slices",
         "sizes",
         F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("b"),
     ).repartition(*group, "b")
@@ -274,11 +276,11 @@ def _share_out(
     def share(batches):
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                size = np.array([s["size"] for s in row["sizes"]], dtype=np.int64)
+                size = np.asarray(row["sizes"], dtype=np.int64)
                 rng = _generator(f"{seed}|{row['__key']}|{row['b']}|shares")
                 drawn = rng.multinomial(int(size.sum()), size / size.sum())
                 out = pd.DataFrame({k: [row[k]] * len(size) for k in group})
-                out["__slice"] = [s["__slice"] for s in row["sizes"]]
+                out["__slice"] = row["slices"]
                 out["b"] = row["b"]
                 out["share"] = drawn
                 out["before"] = np.cumsum(drawn) - drawn

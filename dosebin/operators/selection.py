@@ -61,6 +61,26 @@ def _running(keys: list[str], order: str) -> Window:
     )
 
 
+def running_count(runs: DataFrame, keys: list[str], value: str, count: str, name: str) -> DataFrame:
+    """Add ``name``: how many rows of the group have a value up to this run's.
+
+    ``runs`` holds one row per group and value.  A running sum inside each slot on
+    top of the totals of the slots before it, so no group is sorted in one task.
+    """
+    if is_small(runs):
+        return runs.withColumn(name, F.sum(count).over(_running(keys, value)))
+    cut = runs.withColumn("__slot", slot(F.col(value)))
+    totals = cut.groupBy(*keys, "__slot").agg(F.sum(count).alias("__c"))
+    past = F.sum("__c").over(_running(keys, "__slot")) - F.col("__c")
+    totals = materialize(totals.select(*keys, "__slot", past.alias("__past")))
+    inside = F.sum(count).over(_running([*keys, "__slot"], value))
+    return (
+        attach(cut, totals, [*keys, "__slot"])
+        .withColumn(name, F.col("__past") + inside)
+        .drop("__slot", "__past")
+    )
+
+
 def select_positions(df: DataFrame, keys: list[str], positions: list[Position]) -> DataFrame:
     """Values at the wanted positions.
 

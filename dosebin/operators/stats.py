@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import f_upper_tail, normal_quantile, rank_sum_p, t_quantile
-from .selection import quantiles
+from .selection import quantiles, running_count
 
 
 def _pairs(y: str, x: str | Column):
@@ -200,8 +200,8 @@ def rank_sum_test(
             F.count(F.lit(1)).alias("c"),
         )
     )
-    w = Window.partitionBy(*keys).orderBy("__y").rowsBetween(Window.unboundedPreceding, 0)
-    rank = F.sum("c").over(w) - (F.col("c") - 1) / 2.0
+    runs = running_count(runs, keys, "__y", "c", "__upto")
+    rank = F.col("__upto") - (F.col("c") - 1) / 2.0
     t = F.col("c").cast("double")
     sums = runs.withColumn("__rank", rank).groupBy(*keys).agg(
         F.sum(F.col("c1") * F.col("__rank")).alias("ranks"),
@@ -220,7 +220,10 @@ def rank_sum_test(
 
 
 def qq_points(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Sample values against normal quantiles at the usual plotting positions."""
+    """Sample values against normal quantiles at the usual plotting positions.
+
+    For summary rows (a few per group): each group is numbered in one task.
+    """
     rows = df.where(F.col(column).isNotNull() & ~F.isnan(column))
     w = Window.partitionBy(*keys)
     n = F.count(F.lit(1)).over(w)

@@ -34,7 +34,7 @@ from ..functions import (
     suffixed_dose,
 )
 from ..operators import binning, bootstrap, density, dose, gates, matrix, normalize, selection, stats
-from ..session import attach, shared_folder
+from ..session import attach, materialize, shared_folder
 from ..sources import csv_tree
 from ..sources.tables import cells, raw_cells, read_table
 from . import analysis as A
@@ -91,7 +91,8 @@ def gated(spark: SparkSession, folder: str) -> DataFrame:
 
 def single(spark: SparkSession, folder: str) -> DataFrame:
     """Renumbered bin summary of the single-ligand analysis."""
-    return A.analyse(trimmed(spark, folder), SINGLE).boot.withColumn(
+    boot = A.analyse(trimmed(spark, folder), SINGLE).boot
+    return materialize(boot).withColumn(
         "exp_rep", composite_key(F.col("experiment"), F.col("replicate"))
     )
 
@@ -117,7 +118,7 @@ def grid_cells(spark: SparkSession, folder: str) -> DataFrame:
 
 def heat_map(spark: SparkSession, folder: str) -> DataFrame:
     """Dose grid per experiment and bin with the min-max scaled signal."""
-    boot = A.analyse(grid_cells(spark, folder), GRID).boot
+    boot = materialize(A.analyse(grid_cells(spark, folder), GRID).boot)
     return normalize.min_max_scale(boot, ["experiment"], MEAN)
 
 

@@ -162,3 +162,18 @@ def test_null_keys_are_a_group(spark, large):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "k string, ha double")
     out = binning.equal_width_bins(df, 2, ["k"]).collect()
     assert len(out) == 3 and all(r.bin_id is not None for r in out)
+
+
+def test_rank_sum_of_a_hot_group(spark, large):
+    """Slots and ties: against ranks by pandas."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"e": rng.choice(["hot", "b"], 900, p=[0.9, 0.1]), "g": rng.choice(["1", "2"], 900)})
+    pdf["y"] = np.where(rng.random(900) < 0.4, 1.5, rng.lognormal(0, 2, 900))
+    for r in stats.rank_sum_test(spark.createDataFrame(pdf), ["e"], "y", "g").collect():
+        part = pdf[pdf.e == r.e]
+        n1 = (part.g == "1").sum()
+        assert r.w == part.y.rank()[part.g == "1"].sum() - n1 * (n1 + 1) / 2
+        assert 0 < r.p_value <= 1
