@@ -20,6 +20,7 @@ def local_session(app: str = "dosebin", cores: str = "*", partitions: int = 8) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
         .config("spark.driver.memory", "20g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()

@@ -6,13 +6,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import log_channel, log_ratio
+from ..session import is_small, scanned_bytes
+
+ONE_SPLIT_BYTES = 4 * 1024 * 1024
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def row_number_free_id(*columns: Column) -> Column:
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Share the rows of a file of a few megabytes over the cores.
+
+    Such a file comes as one split, so one core would do all the work.  Larger
+    inputs come in many splits and stay as they are.
+    """
+    if scanned_bytes(df) < ONE_SPLIT_BYTES or not is_small(df):
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *columns)
+
+
+def content_id(*columns: Column) -> Column:
     """60-bit integer from the text of a row's columns; equal rows get equal ids."""
     text = F.concat_ws("|", *[c.cast("string") for c in columns])
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
@@ -20,7 +34,7 @@ def row_number_free_id(*columns: Column) -> Column:
 
 def raw_cells(spark: SparkSession, folder: str) -> DataFrame:
     """One cell per line item: condition columns and linear channels."""
-    li = read_table(spark, folder, "lineitem")
+    li = spread(read_table(spark, folder, "lineitem"), "l_orderkey", "l_linenumber")
     arm = F.col("l_orderkey") % 5
     grid_x = F.array(*[F.lit(v) for v in (0.0, 0.316, 1.0, 3.16)])
     grid_y = F.array(*[F.lit(v) for v in (0.0, 2.5, 7.9, 25.0)])
@@ -43,7 +57,7 @@ def raw_cells(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_quantity").alias("psmad2"),
         F.col("l_extendedprice").alias("smad2"),
         F.col("l_suppkey").cast("double").alias("dapi"),
-        row_number_free_id(
+        content_id(
             F.col("l_orderkey"),
             F.col("l_partkey"),
             F.col("l_suppkey"),
