@@ -398,7 +398,7 @@ def anova(keys: str) -> tuple[str, str]:
     by = f"GROUP BY {keys}" if keys else ""
     key = f"{keys}, " if keys else ""
     return DIFFS + f""",
-sums AS (SELECT {key}regr_count(diffs, log10(ligand_conc)) AS n, regr_sxx(diffs, log10(ligand_conc)) AS sxx,
+sums AS (SELECT {key}CAST(regr_count(diffs, log10(ligand_conc)) AS BIGINT) AS n, regr_sxx(diffs, log10(ligand_conc)) AS sxx,
     regr_syy(diffs, log10(ligand_conc)) AS syy, regr_sxy(diffs, log10(ligand_conc)) AS sxy FROM tgf_diffs {by}),
 an AS (SELECT *, 1 AS df_model, n - 2 AS df_residual, sxy * sxy / sxx AS ss_model, syy - sxy * sxy / sxx AS ss_residual FROM sums),
 fv AS (SELECT *, ss_model / (ss_residual / df_residual) AS f_value FROM an)""", f"""
