@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import packing, tokens
+from . import decontam, packing, simhash, tokens
 
 WORDS_49K = "word_bpe_49k.json"
 
@@ -21,10 +21,33 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(manifest, with_ids=False)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    found = decontam.find(docs, items).withColumn("n_hit", decontam.hit_words())
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.with_components(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary(), 4096, end_id=1)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op9_packing": op9_packing}
+QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op3_decontamination": op3_decontamination,
+    "op4_simhash": op4_simhash,
+    "op9_packing": op9_packing,
+}
 ORACLE: dict[str, str] = {}
