@@ -43,7 +43,7 @@ def create(uri: str):
     """Open a new binary file for writing, with its folder."""
     system, path = filesystem(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def open_file(uri: str):

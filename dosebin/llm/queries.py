@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontam, packing, simhash, tokens
+from . import decontam, packing, sharding, simhash, tokens, warc
 
 WORDS_49K = "word_bpe_49k.json"
 
@@ -39,15 +39,37 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(read_table(spark, sf_dir, "documents"), shards=24)
+    return placed.select(
+        "doc_id",
+        "size",
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary(), 4096, end_id=1)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    archive = warc.write_archive(pages)
+    records = warc.read_records(warc.lookup(archive, pages))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
+    "op5_sharding": op5_sharding,
     "op9_packing": op9_packing,
+    "op10_warc": op10_warc,
 }
 ORACLE: dict[str, str] = {}
