@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontam, packing, sharding, simhash, tokens, warc
+from . import decontam, langid, packing, quality, sharding, simhash, tokens, warc
+from .samples import remainder
 
+KEPT_SCORE = 0.3
 WORDS_49K = "word_bpe_49k.json"
 
 
@@ -21,6 +23,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(manifest, with_ids=False)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.with_language(docs, langid.train(docs), keep=["doc_id"])
+    return found.select("doc_id", (remainder("doc_id") == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     found = decontam.find(docs, items).withColumn("n_hit", decontam.hit_words())
@@ -52,6 +60,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.train(docs, read_table(spark, sf_dir, "labels"))
+    scored = quality.with_score(docs, model, keep=["doc_id"])
+    predicted = (F.col("score") >= KEPT_SCORE).cast("int").alias("predicted")
+    return scored.select("doc_id", (remainder("doc_id") == 0).alias("held_out"), "score", predicted)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary(), 4096, end_id=1)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -66,9 +82,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_language": op2_language,
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
+    "op6_quality": op6_quality,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
 }
