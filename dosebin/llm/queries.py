@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontam, langid, packing, quality, sharding, simhash, tokens, warc
+from . import decontam, langid, packing, pii, quality, sharding, simhash, tokens, warc
 from .samples import remainder
 
 KEPT_SCORE = 0.3
@@ -68,6 +68,20 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id") == 0).alias("held_out"), "score", predicted)
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = pii.with_spans(docs, pii.train(docs), keep=["doc_id"])
+
+    def joined(spans):
+        parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string")))
+        return F.array_join(parts, ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, lambda s: s == F.lit(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary(), 4096, end_id=1)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -87,6 +101,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
+    "op8_personal_data": op8_personal_data,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
 }
