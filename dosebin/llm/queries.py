@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontam, langid, packing, pii, quality, sharding, simhash, tokens, warc
+from . import ann, decontam, langid, packing, pii, quality, sharding, simhash, tokens, warc
 from .samples import remainder
 
 KEPT_SCORE = 0.3
@@ -68,6 +68,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id") == 0).alias("held_out"), "score", predicted)
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ann.build(read_table(spark, sf_dir, "embeddings"))
+    asked = index.rows.where(F.col("vec_id") % 20 == 0).dropDuplicates(["vec_id"]).select("vec_id", "vec")
+    return ann.search(index, asked, k=20)
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = pii.with_spans(docs, pii.train(docs), keep=["doc_id"])
@@ -101,6 +107,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
+    "op7_neighbours": op7_neighbours,
     "op8_personal_data": op8_personal_data,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
