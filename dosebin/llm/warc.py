@@ -77,7 +77,7 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, revisit: b
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = head if revisit else head + payload
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{PAGE_URN}{'' if page_id is None else page_id}>"]
-    lines += [f"WARC-Date: {DATE}"] + [f"WARC-Target-URI: {_safe(url)}"] * (url is not None)
+    lines += [f"WARC-Date: {DATE}"] + ([] if url is None else [f"WARC-Target-URI: {_safe(url)}"])
     if revisit:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{PAGE_URN}{refers_to}>"]
     lines += [f"WARC-Payload-Digest: sha1:{_digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
