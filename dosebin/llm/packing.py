@@ -5,8 +5,9 @@ full sequence stand alone.  The rest are dealt by hash into blocks of some thous
 pieces.  A block is filled best-fit, then improved by moving a document, exchanging
 one for one, or two for one, between bins that are not full, always from the emptier to
 the fuller bin, so that the sum of squared fills grows; the emptiest bins run dry.
-The bins a block could not fill are pooled with those of other blocks and packed again,
-round by round, until one block is left, so the loss does not grow with the blocks.
+The bins a block could not fill are pooled with those of other blocks and packed again in
+blocks of the same size, round by round, until one block is left or pooling frees no more
+bins, so the loss does not grow with the blocks.
 """
 
 from __future__ import annotations
@@ -182,8 +183,9 @@ def pack(pieces: DataFrame, capacity: int = 4096, block_pieces: int = BLOCK_PIEC
         pieces.where(F.col("length") >= capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), zero.alias("offset"))
     ]
     blocks, number = max(1, -(-rest.count() // block_pieces)), 0
+    shrinks = True
     while True:
-        last = blocks == 1
+        last = blocks == 1 or not shrinks
         dealt = rest.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(number)), F.lit(blocks)))
         packed = files.written(
             dealt.groupBy("block").applyInPandas(_packer(capacity, last), schema),
@@ -195,9 +197,9 @@ def pack(pieces: DataFrame, capacity: int = 4096, block_pieces: int = BLOCK_PIEC
         if last:
             break
         rest = packed.where(~F.col("done")).select("uid", "length")
-        # Each block hands on a bin or few: rounds shrink until one block is left.
+        # Blocks stay as large as they are; where most pieces cannot be placed well, pooling is of no more use.
         left = max(1, -(-rest.count() // block_pieces))
-        blocks, number = min(left, max(1, blocks // 2)), number + 1
+        shrinks, blocks, number = left <= 0.7 * blocks, left, number + 1
     out = placed[0]
     for more in placed[1:]:
         out = out.unionByName(more)
