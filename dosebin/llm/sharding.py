@@ -43,13 +43,17 @@ def splitters(sizes: DataFrame, parts: int, tolerance: int) -> list[int]:
     depth = 0
     while open_:
         wanted = sorted({p for p, _ in open_.values()})
-        signed = [(_signed(p >> max(0, depth - 64)), _signed(p & ((1 << max(0, depth - 64)) - 1))) for p in wanted]
-        which = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(signed)], "p1 long, p2 long, i int")
-        p1, p2 = _prefix(depth)
         n1, n2 = _prefix(depth + BITS)
-        probe = (n1 if depth < 64 else n2).bitwiseAND(PROBES - 1).cast("int")
-        rows = sizes.select(p1.alias("p1"), p2.alias("p2"), probe.alias("probe"), "__size")
-        counted = rows.join(F.broadcast(which), ["p1", "p2"]).groupBy("i", "probe")  # at most ``parts`` rows
+        probe = (n1 if depth < 64 else n2).bitwiseAND(PROBES - 1).cast("int").alias("probe")
+        signed = [(_signed(p >> max(0, depth - 64)), _signed(p & ((1 << max(0, depth - 64)) - 1))) for p in wanted]
+        if depth:
+            which = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(signed)], "p1 long, p2 long, i int")
+            p1, p2 = _prefix(depth)
+            rows = sizes.select(p1.alias("p1"), p2.alias("p2"), probe, "__size")
+            rows = rows.join(F.broadcast(which), ["p1", "p2"])  # at most ``parts`` rows
+        else:
+            rows = sizes.select(F.lit(0).alias("i"), probe, "__size")
+        counted = rows.groupBy("i", "probe")
         histogram: dict[int, dict[int, tuple[int, int]]] = {}
         for i, probe_, size, n in counted.agg(F.sum("__size"), F.count("*")).collect():  # at most parts x PROBES rows
             histogram.setdefault(i, {})[probe_] = (size, n)
@@ -108,7 +112,10 @@ def shard(
     rows = docs.drop("size", "shard", "slot").withColumns(
         {
             "__h": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))),
-            "__r": F.xxhash64(F.col(id_col), F.monotonically_increasing_id()),
+            # The last bits only tell rows apart that share text and id.
+            "__r": F.xxhash64(F.col(id_col)).bitwiseAND(F.lit(-1 << 16)).bitwiseOR(
+                F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 16) - 1))
+            ),
             "__size": F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long") + ROW_BYTES,
         }
     )
