@@ -26,6 +26,7 @@ OUT = len(KINDS)
 SAMPLE_DOCS = 4000
 BITS = 12
 SURE = 0.9
+MOST_DIGITS = 19
 # Base patterns: fixed values.  Possessive repeats match the same and never look back.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -165,8 +166,13 @@ class Model(NamedTuple):
     skip: float
 
 
-def fit(graphs: list[Graph], rounds: int = 200, rate: float = 0.3, penalty: float = 1e-3) -> Model:
-    """Weights by pseudo-likelihood: each token's label given its neighbours' base labels."""
+def fit(graphs: list[Graph], rounds: int = 200, rate: float = 0.3, penalty: float = 1e-3, seed: int = 1) -> Model:
+    """Weights by pseudo-likelihood: each token's label given its neighbours' base labels.
+
+    In each round some features are left out, and all those of some tokens, so that the
+    links learn to carry what a token alone doesn't show.
+    """
+    random = np.random.default_rng(seed)
     n_labels = OUT + 1
     node, chain, skip = np.zeros((1 << BITS, n_labels)), np.zeros((n_labels, n_labels)), 0.0
     node[zlib.crc32(b"bias") >> (32 - BITS), OUT] = 3.0
@@ -187,13 +193,15 @@ def fit(graphs: list[Graph], rounds: int = 200, rate: float = 0.3, penalty: floa
     share = 1 / (np.bincount(y, minlength=n_labels)[y] * (np.bincount(y, minlength=n_labels) > 0).sum())
     sums = [np.full(node.shape, 1e-8), np.full(chain.shape, 1e-8), 1e-8]
     for _ in range(rounds):
-        z = node[x].sum(1) + chain[left] + chain[:, right].T + skip * same
+        use = (random.random(x.shape) < 0.7) / 0.7 * (random.random(len(x)) < 0.7)[:, None]
+        use[:, 0] = 1.0  # the bias
+        z = (node[x] * use[:, :, None]).sum(1) + chain[left] + chain[:, right].T + skip * same
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         pull = (goal - p) * share[:, None]
         d_node = -penalty * node
         for k in range(x.shape[1]):
-            np.add.at(d_node, x[:, k], pull)
+            np.add.at(d_node, x[:, k], pull * use[:, k : k + 1])
         d_chain = -penalty * chain
         np.add.at(d_chain, left, pull)
         d_right = np.zeros_like(chain)
@@ -267,7 +275,8 @@ def added_spans(text: str, g: Graph, p: np.ndarray, base: list[Span]) -> list[Sp
         if kind == OUT or g.labels[i] != OUT or row[kind] < SURE:
             continue
         a, b = g.spans[i]
-        if runs and runs[-1][0] == kind and runs[-1][3] == i - 1 and a - runs[-1][2] <= 2:
+        joins = runs and runs[-1][0] == kind and runs[-1][3] == i - 1 and a - runs[-1][2] <= 2
+        if joins and len(_only_digits(text[runs[-1][1] : b])) <= MOST_DIGITS:
             runs[-1][2:] = [b, i]
         else:
             runs.append([kind, a, b, i])
