@@ -7,6 +7,7 @@ letters is one unit of its own, so a text's ids are those of its words in order.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -14,6 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 CACHED_WORDS = 1_000_000
+JOINED_WORDS = 200
 SLICE_BYTES = 1 << 20
 SPACE = re.compile(rb"[ \n\t\r]")
 # Marks that end a word's letters and start a unit of their own, whatever follows; the
@@ -46,6 +48,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
         self.lower = self._ignores_case()
+        self.ends = self._word_ends(json.loads(vocabulary)["model"].get("end_of_word_suffix"), size)
 
     def _ignores_case(self) -> bool:
         words = ["The", "QUICK", "Éa"]
@@ -55,27 +58,54 @@ class Encoder:
             for w in words
         )
 
+    def _word_ends(self, suffix: str | None, size: int) -> np.ndarray | None:
+        """Which ids end a word; None if the vocabulary doesn't tell."""
+        if not suffix:
+            return None
+        ends = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            ends[i] = token.endswith(suffix)
+        return ends
+
     def _learn(self, words: list[bytes]) -> None:
         known = self.known
         if len(known) + len(words) > CACHED_WORDS:
             known.clear()
-        cut, parts = [], set()
+        cut, letters, others = [], set(), set()
         for w in words:
             stem = w.rstrip(MARKS)
-            if stem and len(stem) < len(w) and stem.isascii() and stem.isalpha():
-                cut.append((w, stem, w[len(stem) :]))
-                parts.update((stem, w[len(stem) :]))
+            if stem.decode().isalpha():
+                letters.add(stem)
+                if len(stem) < len(w):
+                    others.add(w[len(stem) :])
+                    cut.append((w, stem, w[len(stem) :]))
             else:
-                parts.add(w)
-        parts = [p for p in parts if p not in known]
-        for i in range(0, len(parts), 20_000):
-            some = parts[i : i + 20_000]
+                others.add(w)
+        alone = [p for p in others if p not in known]
+        letters = [p for p in letters if p not in known]
+        for i in range(0, len(letters), JOINED_WORDS):
+            some = letters[i : i + JOINED_WORDS]
+            if self.ends is None or not self._learn_line(some):
+                alone += some
+        for i in range(0, len(alone), 20_000):
+            some = alone[i : i + 20_000]
             codes = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
             for p, c in zip(some, codes):
                 known[p] = np.array(c.ids, self.dtype).tobytes()
         for w, stem, marks in cut:
             known[w] = known[stem] + known[marks]
 
+    def _learn_line(self, words: list[bytes]) -> bool:
+        """Encode words of letters as one line and part its ids where words end."""
+        code = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0]
+        ids = np.array(code.ids, self.dtype)
+        stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
+        if len(stops) != len(words):
+            return False
+        data = ids.tobytes()
+        self.known.update((w, data[a:b]) for w, a, b in zip(words, [0, *stops], stops))
+        return True
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as the bytes of little-endian ``self.dtype``; null is empty."""
         out = []
