@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import complete_rows
-from ..session import attach, is_small, materialize, settle
+from ..session import attach, materialize
 from .selection import Position, quantiles, select_positions
 
 
@@ -37,7 +37,7 @@ def equal_width_bins(
     range for all rows.  ``n_bins`` may be a column.
     """
     n = F.lit(n_bins) if isinstance(n_bins, int) else n_bins
-    ranges = settle(bin_ranges(df, keys, column))
+    ranges = materialize(bin_ranges(df, keys, column))
     rows = attach(df, ranges, keys)
     lo = F.col("min_ha") - margin
     width = ((F.col("max_ha") + margin) - lo) / n
@@ -89,9 +89,6 @@ def equal_count_bins(
     then, where a cut falls inside a run of equal values, the tie-break at it.
     """
     rows = complete_rows(df, [column])
-    if is_small(rows):
-        w = Window.partitionBy(*keys).orderBy(column, tie_break)
-        return rows.withColumn("bin_id", F.ntile(n_bins).over(w))
 
     def start(j: int):
         base = lambda n: F.floor(n / n_bins)
@@ -108,8 +105,8 @@ def equal_count_bins(
         split,
         [*keys, "__at"],
     )
-    run = materialize(run.select(*keys, "__cut", "__tie", "run_offset"))
-    ties = _kth_tie(run, [*keys, "__cut"])
+    # The rows of the runs are read where they lie; only slot counts of their tie-breaks are shuffled.
+    ties = _kth_tie(run.select(*keys, "__cut", "__tie", "run_offset"), [*keys, "__cut"])
 
     wide = at.groupBy(*keys).agg(
         *[
@@ -180,12 +177,9 @@ def bin_summary(
     group = [*keys, "bin_id"]
     extra = [F.first(c).alias(c) for c in ("bin_lo", "bin_hi") if c in binned.columns]
     aggs = [F.avg(value).alias(f"mean_{value}"), F.count(F.lit(1)).alias("n_cells"), *extra]
-    if is_small(rows):
-        median = F.percentile(value, F.lit(0.5)).alias(f"median_{value}")
-        return rows.groupBy(*group).agg(*aggs, median)
     means = rows.groupBy(*group).agg(*aggs)
     medians = quantiles(rows, group, {f"median_{value}": (value, 0.5)})
-    return attach(means, settle(medians), group, "left")
+    return attach(means, materialize(medians), group, "left")
 
 
 def bin_means(

@@ -1,16 +1,16 @@
 """Bootstrap mean and median with percentile intervals, per condition and bin.
 
 Each replicate draws as many cells as the bin holds, with replacement.  Draws are
-positions in the bin's sorted values, taken from a keyed polynomial hash, so the
-same seed gives the same result on any number of partitions and the result does
-not depend on row order.
-
-A bin with at most ``slice_cells`` cells is resampled by one task.  A larger bin
-is cut into consecutive slices of its sorted values; the draws of a replicate are
-first shared out over the slices by a multinomial draw, then made inside each
-slice, which is the same distribution.  Sums add up over the slices, and the
-median lies in a slice that is known from the shares.  Equal values are combined
-before the shuffle, so a repeated value costs one row.
+positions in the bin's sorted values, taken from a keyed polynomial hash of the draw's
+number, so they depend on seed, bin, replicate and size of the bin alone: not on row
+order, partitions or the way the work is cut.
+
+Sorted values are cut into slices of ``slice_cells`` positions.  A bin of one slice is
+resampled by one task.  For a larger bin, draws are made in chunks, once to count how
+many each slice gets and once to send their positions to the slice, where they meet its
+values for a few replicates at a time.  Sums add up over the slices, and the median lies
+in a slice known from the counts.  Equal values are combined before the shuffle, so a
+repeated value costs one row per slice it fills.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,13 +25,16 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import schema as S
-from ..session import attach, is_small, materialize
-from .selection import slot
+from ..session import attach, materialize
+from .selection import running_count
 
 PRIME = (1 << 31) - 1
 BLOCK = 1 << 16
 DRAWS_PER_TASK = 200_000_000
-MAX_TASKS = 20_000
+SLICE_CELLS = 1_000_000
+CHUNK_DRAWS = 4_000_000
+DRAWS_AT_ONCE = 16_000_000
+MOST_CELLS = PRIME
 
 
 def _coefficients(key: str, seed: int, replicates: np.ndarray) -> np.ndarray:
@@ -47,12 +49,12 @@ def _coefficients(key: str, seed: int, replicates: np.ndarray) -> np.ndarray:
     return words.reshape(-1, 4) & ((1 << 28) - 1)
 
 
-def _draws(coef: np.ndarray, n_draws: int, n_cells: int) -> np.ndarray:
+def _draws(coef: np.ndarray, n_draws: int, n_cells: int, start: int = 0) -> np.ndarray:
     """Positions drawn by each replicate: cubic hash of the draw number, scaled to the bin.
 
     Reduction modulo 2^31 - 1 folds the high bits onto the low ones.
     """
-    z = np.arange(n_draws, dtype=np.int64)[None, :]
+    z = np.arange(start, start + n_draws, dtype=np.int64)[None, :]
     h = np.repeat(coef[:, 3:4], n_draws, axis=1)
     high = np.empty_like(h)
     for i in (2, 1, 0):
@@ -87,31 +89,6 @@ def _resample_bin(values: np.ndarray, counts: np.ndarray, key: str, seed: int, n
     return sums, mid_lo, mid_hi
 
 
-def _resample_slice(
-    values: np.ndarray, counts: np.ndarray, key: str, seed: int,
-    shares: np.ndarray, before: np.ndarray, n: int,
-):
-    """The same for one slice of a bin of ``n`` cells, given its share of each replicate's draws.
-
-    Draws are counted per distinct value.  A middle order statistic outside the
-    slice is NaN.
-    """
-    weights = counts / counts.sum()
-    sums = np.empty(len(shares))
-    middle = np.full((2, len(shares)), np.nan)
-    for b, share in enumerate(shares):
-        drawn = _generator(f"{seed}|{key}|{b + 1}|values").multinomial(share, weights)
-        sums[b] = drawn @ values
-        wanted = np.array([(n - 1) // 2, n // 2]) - before[b]
-        inside = (wanted >= 0) & (wanted < share)
-        middle[inside, b] = values[np.searchsorted(np.cumsum(drawn), wanted[inside], side="right")]
-    return sums, middle[0], middle[1]
-
-
-def _generator(text: str) -> np.random.Generator:
-    return np.random.Generator(np.random.Philox(int(hashlib.md5(text.encode()).hexdigest(), 16)))
-
-
 def _key_text(keys: list[str]) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys])
 
@@ -122,98 +99,32 @@ def bootstrap_replicates(
     value: str = "norm_psmad2",
     n_boot: int = 1000,
     seed: int = 0,
-    slice_cells: int = 1_000_000,
+    slice_cells: int = SLICE_CELLS,
 ) -> DataFrame:
     """One row per condition, bin and replicate: keys, ``bin_id``, ``replicate_no``,
-    ``boot_mean``, ``boot_median``, ``n_cells``."""
+    ``boot_mean``, ``boot_median``, ``n_cells``.
+
+    A bin of more than MOST_CELLS cells has more positions than the hash and raises.
+    """
     spark = binned.sparkSession
     group = [*keys, "bin_id"]
     cells = binned.where(
         F.col("bin_id").isNotNull() & F.col(value).isNotNull() & ~F.isnan(value)
     ).select(*group, F.col(value).cast("double").alias("__x"))
     runs = cells.groupBy(*group, "__x").agg(F.count(F.lit(1)).alias("__c"))
-    shares = None
-    tasks = spark.sparkContext.defaultParallelism * 2
-    if not is_small(cells):
-        sizes = materialize(cells.groupBy(*group).agg(F.count(F.lit(1)).alias("n_cells")))
-        seen = sizes.agg(F.max("n_cells").alias("top"), F.sum("n_cells").alias("all")).first()
-        tasks = max(tasks, min((seen["all"] or 0) * n_boot // DRAWS_PER_TASK, MAX_TASKS))
-        if (seen["top"] or 0) > slice_cells:
-            slices, shares = _share_out(cells, sizes, group, n_boot, seed, slice_cells)
-    if shares is None:
-        runs = runs.withColumn("__slice", F.lit(0)).withColumn("n_cells", F.lit(None).cast("bigint"))
-    else:
-        runs = attach(
-            runs.withColumn("__slot", slot(F.col("__x"))), slices, [*group, "__slot"], "left"
-        ).withColumn("__slice", F.coalesce("__slice", F.lit(0))).drop("__slot")
-        runs = attach(runs, sizes, group)
-
-    part = [*group, "__slice"]
-    out_schema = T.StructType(
-        [runs.schema[c] for c in [*part, "n_cells"]]
-        + [
-            T.StructField("replicate_no", T.ArrayType(T.IntegerType())),
-            T.StructField("sums", T.ArrayType(T.DoubleType())),
-            T.StructField("mid_lo", T.ArrayType(T.DoubleType())),
-            T.StructField("mid_hi", T.ArrayType(T.DoubleType())),
-        ]
-    )
-    out_schema = T.StructType([T.StructField(f.name, f.dataType) for f in out_schema])
-    arrow_schema = pa.schema(
-        [pa.field(f.name, to_arrow_type(f.dataType)) for f in out_schema]
-    )
-    numbers = np.arange(1, n_boot + 1, dtype=np.int32)
-
-    def resample(runs_table: pa.Table, share_table: pa.Table | None = None) -> pa.Table:
-        if runs_table.num_rows == 0:
-            return arrow_schema.empty_table()
-        first = runs_table.slice(0, 1)
-        values, counts = (runs_table.column(c).to_numpy() for c in ("__x", "__c"))
-        order = np.argsort(values)
-        values, counts = values[order], counts[order]
-        key, part_no, n = (first.column(c)[0].as_py() for c in ("__key", "__slice", "n_cells"))
-        if share_table is not None and share_table.num_rows:
-            share_table = share_table.sort_by("b")
-            made = _resample_slice(
-                values, counts, f"{key}|{part_no}", seed,
-                share_table.column("share").to_numpy(), share_table.column("before").to_numpy(), n,
-            )
-        else:
-            n = int(counts.sum())
-            if n <= slice_cells:
-                made = _resample_bin(values, counts, key, seed, n_boot)
-            else:
-                made = _resample_slice(
-                    values, counts, key, seed, np.full(n_boot, n), np.zeros(n_boot, dtype=int), n
-                )
-        columns = [first.column(c).combine_chunks() for c in part]
-        columns += [pa.array([n], pa.int64()), pa.array([numbers], pa.list_(pa.int32()))]
-        columns += [pa.array([m], pa.list_(pa.float64())) for m in made]
-        return pa.Table.from_arrays(
-            [c.cast(f.type) for c, f in zip(columns, arrow_schema)], schema=arrow_schema
-        )
-
-    # Draws are many times the bytes: fix the number of tasks instead of letting it shrink.
-    runs = runs.withColumn("__key", _key_text(group)).repartition(tasks, *part)
-    if shares is None:
-        parts = runs.groupBy(*part).applyInArrow(lambda table: resample(table), out_schema)
-    else:
-        parts = (
-            runs.groupBy(*part)
-            .cogroup(shares.groupBy(*part))
-            .applyInArrow(lambda table, shares: resample(table, shares), out_schema)
-        )
-    each = parts.select(
-        *group,
-        "n_cells",
-        F.inline(F.arrays_zip("replicate_no", "sums", "mid_lo", "mid_hi")),
-    )
-    if shares is not None:
-        each = each.groupBy(*group, "n_cells", "replicate_no").agg(
-            F.sum("sums").alias("sums"),
-            F.max(F.nanvl("mid_lo", F.lit(None))).alias("mid_lo"),
-            F.max(F.nanvl("mid_hi", F.lit(None))).alias("mid_hi"),
-        )
+    sizes = materialize(cells.groupBy(*group).agg(F.count(F.lit(1)).alias("n_cells")))
+    seen = sizes.agg(F.max("n_cells").alias("top"), F.sum("n_cells").alias("all")).first()
+    if (seen["top"] or 0) > MOST_CELLS:
+        raise ValueError(f"a bin of {seen['top']} cells has more positions than the hash ({MOST_CELLS})")
+    # Draws are many times the bytes: the number of tasks follows them.
+    tasks = max(spark.sparkContext.defaultParallelism * 2, (seen["all"] or 0) * n_boot // DRAWS_PER_TASK)
+    one = F.col("n_cells") <= slice_cells
+    rows = attach(runs, sizes.where(one), group).withColumn("__key", _key_text(group))
+    each = _whole_bins(rows, group, n_boot, seed, tasks)
+    if (seen["top"] or 0) > slice_cells:
+        large = sizes.where(~one)
+        placed = materialize(running_count(attach(runs, large, group), group, "__x", "__c", "__upto"))
+        each = each.unionByName(_sliced_bins(placed, large, group, n_boot, seed, slice_cells, tasks))
     return each.select(
         *group,
         "replicate_no",
@@ -223,71 +134,131 @@ def bootstrap_replicates(
     )
 
 
-def _share_out(
-    cells: DataFrame, sizes: DataFrame, group: list[str], n_boot: int, seed: int, slice_cells: int
-) -> tuple[DataFrame, DataFrame]:
-    """Slices of the bins over ``slice_cells``, and each replicate's draws per slice.
+def _schemas(fields: list[T.StructField]) -> tuple[T.StructType, pa.Schema]:
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+    return schema, pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
 
-    Returns (group, slot -> slice) and (group, slice, replicate -> share, before).
-    """
-    hot = materialize(sizes.where(F.col("n_cells") > slice_cells).drop("n_cells"))
-    counts = (
-        attach(cells.withColumn("__slot", slot(F.col("__x"))), hot, group)
-        .groupBy(*group, "__slot")
-        .agg(F.count(F.lit(1)).alias("__c"))
+
+def _lists(rows: DataFrame, group: list[str]) -> tuple[T.StructType, pa.Schema]:
+    """Keys and the replicates of one task as arrays."""
+    made = [("n_cells", T.LongType()), ("replicate_no", T.ArrayType(T.IntegerType()))]
+    made += [(name, T.ArrayType(T.DoubleType())) for name in ("sums", "mid_lo", "mid_hi")]
+    return _schemas([rows.schema[c] for c in group] + [T.StructField(n, t) for n, t in made])
+
+
+def _row(first: pa.Table, group: list[str], schema: pa.Schema, n: int, numbers: np.ndarray, made) -> pa.Table:
+    columns = [first.column(c).combine_chunks() for c in group]
+    columns += [pa.array([n], pa.int64()), pa.array([numbers.astype(np.int32)], pa.list_(pa.int32()))]
+    columns += [pa.array([m], pa.list_(pa.float64())) for m in made]
+    return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _unpacked(parts: DataFrame, group: list[str]) -> DataFrame:
+    return parts.select(
+        *group, "n_cells", F.inline(F.arrays_zip("replicate_no", "sums", "mid_lo", "mid_hi"))
     )
-    w = Window.partitionBy(*group).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    # A slot that is larger than a slice on its own (a value held by very many cells)
-    # gets a slice of its own: even numbers; the others share odd-numbered slices.
-    past = F.coalesce(F.sum("__c").over(w), F.lit(0))
-    slices = materialize(
-        counts.withColumn(
+
+
+def _whole_bins(rows: DataFrame, group: list[str], n_boot: int, seed: int, tasks: int) -> DataFrame:
+    """Replicates of bins of one slice, each in one task."""
+    schema, arrow = _lists(rows, group)
+
+    def resample(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__x")
+        values, counts = (table.column(c).to_numpy() for c in ("__x", "__c"))
+        made = _resample_bin(values, counts, table.column("__key")[0].as_py(), seed, n_boot)
+        return _row(table.slice(0, 1), group, arrow, int(counts.sum()), np.arange(n_boot) + 1, made)
+
+    return _unpacked(rows.repartition(tasks, *group).groupBy(*group).applyInArrow(resample, schema), group)
+
+
+def _sliced_bins(
+    rows: DataFrame, sizes: DataFrame, group: list[str], n_boot: int, seed: int, slice_cells: int, tasks: int
+) -> DataFrame:
+    """Replicates of bins of several slices."""
+    at_once = max(1, DRAWS_AT_ONCE // slice_cells)
+    work = (
+        sizes.withColumn("__key", _key_text(group))
+        .withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+        .withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_cells") - 1, F.lit(CHUNK_DRAWS).cast("long"))))
+        .repartition(tasks, *group, "__b", "__from")
+    )
+    keys = [sizes.schema[c] for c in group]
+    own = [("__b", T.IntegerType()), ("__slice", T.IntegerType())]
+    counted, counted_arrow = _schemas(keys + [T.StructField(n, t) for n, t in [*own, ("__d", T.LongType())]])
+    sent, sent_arrow = _schemas(keys + [T.StructField(n, t) for n, t in [*own, ("__at", T.BinaryType())]])
+
+    def drawn(arrow: pa.Schema, pack):
+        """Rows per slice of each chunk of draws: how many, or the positions in the slice."""
+
+        def run(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1)
+                    n, b, start = (row.column(c)[0].as_py() for c in ("n_cells", "__b", "__from"))
+                    coef = _coefficients(row.column("__key")[0].as_py(), seed, np.array([b]))
+                    at = np.sort(_draws(coef, min(CHUNK_DRAWS, n - start), n, start)[0])
+                    slices, first = np.unique(at // slice_cells, return_index=True)
+                    ends = [*first[1:], len(at)]
+                    out = [pack(at[lo:hi] % slice_cells) for lo, hi in zip(first, ends)]
+                    same = [row.column(c).take(pa.array(np.zeros(len(slices), np.int64))) for c in group]
+                    columns = [*same, pa.array(np.full(len(slices), b)), pa.array(slices), pa.array(out)]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        return run
+
+    shares = work.mapInArrow(drawn(counted_arrow, len), counted)
+    shares = shares.groupBy(*group, "__b", "__slice").agg(F.sum("__d").alias("__d"))
+    w = Window.partitionBy(*group, "__b").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    shares = shares.withColumn("__before", F.coalesce(F.sum("__d").over(w), F.lit(0)))
+    positions = work.mapInArrow(drawn(sent_arrow, lambda at: at.astype("<i4").tobytes()), sent)
+    block = F.floor((F.col("__b") - 1) / at_once).cast("int")
+    told = (
+        attach(positions, materialize(shares.drop("__d")), [*group, "__b", "__slice"])
+        .withColumn("__block", block)
+        .select(*group, "__slice", "__block", "__b", "__before", "__at")
+    )
+
+    start = F.col("__upto") - F.col("__c")
+    size = F.lit(slice_cells).cast("long")
+    held = (
+        rows.withColumn(
             "__slice",
-            (
-                F.floor(past / slice_cells) * 2
-                + F.when(F.col("__c") > slice_cells, 2).otherwise(1)
-            ).cast("int"),
+            F.explode(F.sequence(F.floor(start / size).cast("int"), F.floor((F.col("__upto") - 1) / size).cast("int"))),
         )
+        .withColumn(
+            "__in", F.least(F.col("__upto"), (F.col("__slice") + 1) * size) - F.greatest(start, F.col("__slice") * size)
+        )
+        .withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // at_once))))
+        .select(*group, "__slice", "__block", "n_cells", "__x", "__in")
     )
-    lists = (
-        slices.groupBy(*group, "__slice")
-        .agg(F.sum("__c").alias("size"))
-        .groupBy(*group)
-        .agg(F.sort_array(F.collect_list(F.struct("__slice", "size"))).alias("__s"))
-        .select(*group, F.col("__s.__slice").alias("slices"), F.col("__s.size").alias("sizes"))
-    )
-    work = lists.select(
-        *group,
-        _key_text(group).alias("__key"),
-        "slices",
-        "sizes",
-        F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("b"),
-    ).repartition(*group, "b")
-    out_schema = T.StructType(
-        [f for f in lists.schema.fields if f.name in group]
-        + [
-            T.StructField("__slice", T.IntegerType()),
-            T.StructField("b", T.IntegerType()),
-            T.StructField("share", T.LongType()),
-            T.StructField("before", T.LongType()),
-        ]
+    schema, arrow = _lists(sizes, group)
+
+    def resample(values: pa.Table, draws: pa.Table) -> pa.Table:
+        if not values.num_rows or not draws.num_rows:
+            return arrow.empty_table()
+        values = values.sort_by("__x")
+        cells = np.repeat(values.column("__x").to_numpy(), values.column("__in").to_numpy())
+        n = values.column("n_cells")[0].as_py()
+        numbers, before = draws.column("__b").to_numpy(), draws.column("__before").to_numpy()
+        chunks = draws.column("__at")
+        found = []
+        for b in np.unique(numbers):
+            mine = np.flatnonzero(numbers == b)
+            at = np.sort(np.concatenate([np.frombuffer(chunks[int(i)].as_py(), "<i4") for i in mine]))
+            middle = [k - before[mine[0]] for k in ((n - 1) // 2, n // 2)]
+            middle = [cells[at[k]] if 0 <= k < len(at) else np.nan for k in middle]
+            found.append((cells[at].sum(), *middle))
+        return _row(values.slice(0, 1), group, arrow, n, np.unique(numbers), np.array(found).T)
+
+    part = [*group, "__slice", "__block"]
+    both = held.groupBy(*part).cogroup(told.groupBy(*part)).applyInArrow(resample, schema)
+    return _unpacked(both, group).groupBy(*group, "n_cells", "replicate_no").agg(
+        F.sum("sums").alias("sums"),
+        F.max(F.nanvl("mid_lo", F.lit(None))).alias("mid_lo"),
+        F.max(F.nanvl("mid_hi", F.lit(None))).alias("mid_hi"),
     )
 
-    def share(batches):
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                size = np.asarray(row["sizes"], dtype=np.int64)
-                rng = _generator(f"{seed}|{row['__key']}|{row['b']}|shares")
-                drawn = rng.multinomial(int(size.sum()), size / size.sum())
-                out = pd.DataFrame({k: [row[k]] * len(size) for k in group})
-                out["__slice"] = row["slices"]
-                out["b"] = row["b"]
-                out["share"] = drawn
-                out["before"] = np.cumsum(drawn) - drawn
-                yield out
-
-    return slices.drop("__c"), materialize(work.mapInPandas(share, out_schema))
-
 
 def bootstrap_summary(replicates: DataFrame, keys: list[str], value: str = "norm_psmad2") -> DataFrame:
     """Mean over replicates and 2.5% / 97.5% quantiles, per condition and bin."""
@@ -310,7 +281,7 @@ def bootstrap_bins(
     value: str = "norm_psmad2",
     n_boot: int = 1000,
     seed: int = 0,
-    slice_cells: int = 1_000_000,
+    slice_cells: int = SLICE_CELLS,
 ) -> DataFrame:
     """Bootstrap summary per condition and bin, with ``n_cells``."""
     reps = bootstrap_replicates(binned, keys, value, n_boot, seed, slice_cells)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import attach, settle
+from ..session import attach, materialize
 from .selection import quantiles
 
 
@@ -71,7 +71,7 @@ def violin_density(
         F.min(column).alias("__min"),
         F.max(column).alias("__max"),
     )
-    stats = attach(spread, settle(quartiles), keys)
+    stats = attach(spread, materialize(quartiles), keys)
     iqr = (F.col("__q3") - F.col("__q1")) / 1.34
     scale = F.when(iqr > 0, F.least(F.col("__sd"), iqr)).otherwise(F.col("__sd"))
     stats = (
@@ -83,7 +83,7 @@ def violin_density(
         .withColumn("__step", (F.col("__to") + 4 * F.col("bw") - F.col("__lo")) / (points - 1))
         .select(*keys, "n", "bw", "__from", "__to", "__lo", "__step", F.col("__q2").alias("median"))
     )
-    stats = settle(stats)
+    stats = materialize(stats)
 
     at = (F.col(column) - F.col("__lo")) / F.col("__step")
     left = F.floor(at)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..session import attach, settle
+from ..session import attach, materialize
 from .selection import quantiles
 
 
@@ -22,7 +22,7 @@ def trim_outliers(
     for c in columns:
         wanted[f"__low_{c}"] = (c, low)
         wanted[f"__high_{c}"] = (c, high)
-    limits = settle(quantiles(df, keys, wanted))
+    limits = materialize(quantiles(df, keys, wanted))
     rows = attach(df, limits, keys)
     for c in columns:
         rows = rows.where(F.col(c).between(F.col(f"__low_{c}"), F.col(f"__high_{c}")))
@@ -83,7 +83,7 @@ def control_gate(
     A group without control rows keeps nothing; ``groups_without_control`` lists them.
     """
     control = control_untreated() if control is None else control
-    limits = settle(gate_thresholds(df, control, q_signal, q_ha, keys, signal, ha))
+    limits = materialize(gate_thresholds(df, control, q_signal, q_ha, keys, signal, ha))
     rows = df if cell_line is None else df.where(F.col("cell_line") == cell_line)
     rows = attach(rows, limits, list(keys)).where(
         (F.col(signal) > F.col("signal_threshold")) & (F.col(ha) > F.col("ha_threshold"))

@@ -12,8 +12,14 @@ def wide_profiles(
     df: DataFrame, row: str = "exp_rep", column: str = "bin_id", value: str = "mean_norm_psmad2",
     columns: list[int] | None = None, prefix: str = "bin_",
 ) -> DataFrame:
-    """One row per ``row``, one column per bin.  Bins 1..10 unless ``columns`` are given."""
-    bins = columns or list(range(1, 11))
+    """One row per ``row``, one column per bin: all bins there are, or ``columns``.
+
+    A bin that is not among given ``columns`` is an error, raised when its row is read.
+    """
+    bins = sorted(r[0] for r in df.select(column).distinct().collect()) if columns is None else columns
+    if columns is not None:
+        stray = F.raise_error(F.concat(F.lit(f"{column} not among the columns: "), F.col(column).cast("string")))
+        df = df.withColumn(column, F.when(F.col(column).isin(bins), F.col(column)).otherwise(stray.cast("int")))
     out = df.groupBy(row).pivot(column, bins).agg(F.first(value))
     return out.select(row, *[F.col(str(b)).alias(f"{prefix}{b}") for b in bins])
 

@@ -8,9 +8,11 @@ is cut into many value slots by a fixed monotone function, so that
 2. only the rows of those slots are regrouped by value and counted up to the
    position.
 
-The input is scanned twice, nothing but slot counts and the few rows of the
-wanted slots is shuffled, and repeated values are combined before the shuffle,
-so neither a hot group nor a hot value lands in one task.
+A wanted slot that still holds many rows of different values is cut again, into equal
+steps between its own least and largest value, until few are left.  Nothing but slot
+counts and the few rows of the wanted slots is shuffled, and repeated values are combined
+before the shuffle, so neither a hot group, a hot value nor a narrow range of values lands in
+one task.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import interpolate
-from ..session import attach, is_small, materialize
+from ..session import attach, materialize
 
 SLOTS_PER_OCTAVE = 16384
 SLOT_SCALE = 2.0**20
 SLOT_LIMIT = 1e9
+SLOT_ROWS = 100_000
+STEPS = 65_536
 
 
 def slot(value: Column) -> Column:
@@ -64,20 +68,20 @@ def _running(keys: list[str], order: str) -> Window:
 def running_count(runs: DataFrame, keys: list[str], value: str, count: str, name: str) -> DataFrame:
     """Add ``name``: how many rows of the group have a value up to this run's.
 
-    ``runs`` holds one row per group and value.  A running sum inside each slot on
-    top of the totals of the slots before it, so no group is sorted in one task.
+    ``runs`` holds one row per group and value.  They are sorted over the tasks by group and
+    value, counted inside each task, and topped up with the totals of the tasks before, so
+    no group is sorted in one task.  The sorted runs are written once.
     """
-    if is_small(runs):
-        return runs.withColumn(name, F.sum(count).over(_running(keys, value)))
-    cut = runs.withColumn("__slot", slot(F.col(value)))
-    totals = cut.groupBy(*keys, "__slot").agg(F.sum(count).alias("__c"))
-    past = F.sum("__c").over(_running(keys, "__slot")) - F.col("__c")
-    totals = materialize(totals.select(*keys, "__slot", past.alias("__past")))
-    inside = F.sum(count).over(_running([*keys, "__slot"], value))
+    ranged = runs.repartitionByRange(*keys, value).withColumn("__pid", F.spark_partition_id())
+    ranged = materialize(ranged)
+    totals = ranged.groupBy(*keys, "__pid").agg(F.sum(count).alias("__c"))
+    past = F.sum("__c").over(_running(keys, "__pid")) - F.col("__c")
+    totals = totals.select(*keys, "__pid", past.alias("__past"))
+    inside = F.sum(count).over(_running([*keys, "__pid"], value))
     return (
-        attach(cut, totals, [*keys, "__slot"])
+        attach(ranged, totals, [*keys, "__pid"])
         .withColumn(name, F.col("__past") + inside)
-        .drop("__slot", "__past")
+        .drop("__pid", "__past")
     )
 
 
@@ -103,10 +107,7 @@ def select_positions(df: DataFrame, keys: list[str], positions: list[Position])
     long = long.where(_present(F.col("__v"))).withColumn("__slot", slot(F.col("__v")))
 
     group = [*keys, "__m"]
-    counts = long.groupBy(*group, "__slot").agg(F.count(F.lit(1)).alias("__c"))
-    counts = counts.withColumn("__upto", F.sum("__c").over(_running(group, "__slot"))).withColumn(
-        "__n", F.sum("__c").over(Window.partitionBy(*group))
-    )
+    totals = [F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__slot_lo"), F.max("__v").alias("__slot_hi")]
     before = F.col("__upto") - F.col("__c")
     wanted = F.lit(False)
     for p in positions:
@@ -114,18 +115,31 @@ def select_positions(df: DataFrame, keys: list[str], positions: list[Position])
         wanted = wanted | (
             (F.col("__m") == columns.index(p.column)) & (before <= k) & (k < F.col("__upto"))
         )
-    slots = materialize(
-        counts.where(wanted).select(*group, "__slot", before.alias("__before"), "__n")
-    )
 
-    near = attach(long, slots, [*group, "__slot"])
-    runs = near.groupBy(*group, "__slot", "__before", "__n", "__v").agg(
-        F.count(F.lit(1)).alias("__c")
-    )
-    runs = runs.withColumn(
-        "__upto",
-        F.col("__before") + F.sum("__c").over(_running([*group, "__slot"], "__v")),
+    def kept(counts: DataFrame) -> DataFrame:
+        shown = [*group, "__slot", before.alias("__before"), "__n", "__c", "__slot_lo", "__slot_hi"]
+        return materialize(counts.where(wanted).select(*shown))
+
+    counts = long.groupBy(*group, "__slot").agg(*totals)
+    counts = counts.withColumn("__upto", F.sum("__c").over(_running(group, "__slot"))).withColumn(
+        "__n", F.sum("__c").over(Window.partitionBy(*group))
     )
+    slots = kept(counts)
+    large = (F.col("__c") > SLOT_ROWS) & (F.col("__slot_lo") < F.col("__slot_hi"))
+    part = [*group, "__slot", "__before", "__n"]
+
+    def near() -> DataFrame:
+        return attach(long, slots, [*group, "__slot"]).where(F.col("__v").between(F.col("__slot_lo"), F.col("__slot_hi")))
+
+    while slots.where(large).take(1):
+        at = (F.col("__v") / 2 - F.col("__slot_lo") / 2) / (F.col("__slot_hi") / 2 - F.col("__slot_lo") / 2)
+        step = F.when(large, F.floor(at * STEPS)).otherwise(F.lit(0).cast("bigint"))
+        counts = near().groupBy(*part, step.alias("__step")).agg(*totals)
+        upto = F.col("__before") + F.sum("__c").over(_running(part, "__step"))
+        slots = kept(counts.withColumn("__upto", upto))
+
+    runs = near().groupBy(*part, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    runs = runs.withColumn("__upto", F.col("__before") + F.sum("__c").over(_running(part, "__v")))
     first = F.col("__upto") - F.col("__c")
     choices = F.array(
         *[
@@ -157,11 +171,8 @@ def quantiles(
     """Linear-interpolation quantiles per group.
 
     ``wanted`` maps output column -> (input column, probability).  NULL and NaN
-    are left out.  Returns one row per group that has any value.  Inputs that are
-    small as a whole use the built-in ``percentile``; the results are the same.
+    are left out.  Returns one row per group that has any value.
     """
-    if is_small(df):
-        return _small_quantiles(df, keys, wanted)
 
     def lower(q):
         return lambda n: F.floor((n - 1) * F.lit(float(q)))
@@ -192,17 +203,3 @@ def quantiles(
             ).alias(name)
         )
     return wide.select(*keys, *out)
-
-
-def _small_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    by_column: dict[str, list[str]] = {}
-    for name, (column, _) in wanted.items():
-        by_column.setdefault(column, []).append(name)
-    aggs, out, any_value = [], [], F.lit(False)
-    for column, names in by_column.items():
-        x = F.col(column).cast("double")
-        probs = F.array(*[F.lit(float(wanted[n][1])) for n in names])
-        aggs.append(F.percentile(F.when(_present(x), x), probs).alias(f"__q_{column}"))
-        any_value = any_value | F.col(f"__q_{column}").isNotNull()
-        out += [F.col(f"__q_{column}")[i].alias(n) for i, n in enumerate(names)]
-    return df.groupBy(*keys).agg(*aggs).where(any_value).select(*keys, *out)

@@ -12,7 +12,7 @@ from ..functions import parameter_label, relative_bin
 from ..operators import binning, bootstrap, gates
 from ..operators.density import histogram_2d
 from ..operators.selection import quantiles
-from ..session import attach, settle
+from ..session import attach, materialize
 
 
 @dataclass
@@ -120,12 +120,17 @@ def summarise(binned: DataFrame, s: Settings) -> DataFrame:
 
 
 def analyse(cells: DataFrame, s: Settings = SINGLE_LIGAND) -> Result:
-    """Gate, bin and summarise trimmed cells of any number of experiments at once."""
+    """Gate, bin and summarise trimmed cells of any number of experiments at once.
+
+    Gated cells are written once, so that ranges, bins and resamples read them and not
+    all that made them; give cells that are stored, too.
+    """
     filtered = gates.control_gate(
         cells, CONTROLS[s.control](), s.q_signal, s.q_ha, s.gate_keys, s.signal
     )
     if s.only_dox is not None:
         filtered = filtered.where(F.col("dox") == s.only_dox)
+    filtered = materialize(filtered)
     binned = bin_cells(filtered, s)
     return Result(cells, filtered, binned, summarise(binned, s))
 
@@ -179,7 +184,7 @@ def parameter_sweep(
     control = CONTROLS[s.control]()
     wanted = {f"__s{i}": (s.signal, q) for i, q in enumerate(q_signals)}
     wanted |= {f"__h{i}": ("ha", q) for i, q in enumerate(q_has)}
-    limits = settle(quantiles(cells.where(control), list(s.gate_keys), wanted))
+    limits = materialize(quantiles(cells.where(control), list(s.gate_keys), wanted))
     rows = attach(cells.where(F.col("cell_line") == "R3"), limits, list(s.gate_keys))
     combos = [
         F.when(

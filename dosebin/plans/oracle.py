@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-N_BOOT = 25
+N_BOOT = 1000
 SEED = 7
 PRIME = (1 << 31) - 1
 
@@ -263,8 +263,8 @@ ORACLE["ligand_labels"] = parsed(
     "CASE WHEN contains(f[3], 'T') THEN 'TGFB1' WHEN contains(f[3], 'G') THEN 'GDF11' WHEN contains(f[3], 'mC') THEN 'No Cyto' ELSE 'Error' END")
 ORACLE["replicate_numbers"] = parsed(
     "replicate", "coalesce(try_cast(nullif(regexp_extract(f[4], '[0-9]+$'), '') AS INTEGER), 1)")
-add("legacy_name_fields", RAW, f"""SELECT cell_line || '_' || {_dose_text('ligand_conc')} || ligand[1] AS sample,
-  cell_line, ligand, {d('ligand_conc')}, count(*) AS n FROM raw WHERE ligand <> 'No Cyto' GROUP BY ALL""")
+add("legacy_name_fields", RAW, f"""SELECT cell_line || '_' || {_dose_text('ligand_conc')} || CASE ligand WHEN 'GDF11' THEN 'G' ELSE 'T' END AS sample,
+  cell_line, CASE ligand WHEN 'GDF11' THEN 'GDF11' ELSE 'TGFB1' END AS ligand, {d('ligand_conc')}, count(*) AS n FROM raw GROUP BY ALL""")
 add("two_ligand_name_fields", RAW, f"""SELECT cell_line || '_' || {_dose_text('tgfb1')} || 'T_' || {_dose_text('gdf11')} || 'G' AS sample,
   {d('tgfb1')}, {d('gdf11')}, count(*) AS n FROM raw GROUP BY ALL""")
 
@@ -323,7 +323,7 @@ add("band_per_dose", TRIMMED + "," + trim("t", "trimmed", "experiment, ligand_co
     counts("experiment, ligand_conc", "t", "dapi", "norm_psmad2"))
 add("plain_predicates", SINGLE, f"""SELECT experiment, replicate, {d('ligand_conc')}, bin_id, {d('mean_norm_psmad2')} FROM single
   WHERE dox = '+dox' AND NOT contains(ligand, 'GDF11') AND ligand_conc IN (0, 1) AND bin_id IN (1, 5, 10)""")
-add("groups_with_enough_rows", TGF + RANGES.format(source="tgf", where="true"), f"""SELECT {_RANGE_COLUMNS} FROM ranges
+add("groups_with_enough_rows", PLUS + RANGES.format(source="plus", where="true"), f"""SELECT {_RANGE_COLUMNS} FROM ranges
   QUALIFY count(*) OVER (PARTITION BY experiment, replicate, ligand) >= 3""")
 add("groups_with_enough_doses", PLUS, """SELECT exp_rep, ligand, count(*) AS n FROM plus GROUP BY exp_rep, ligand
   HAVING count(DISTINCT ligand_conc) >= 3""")
@@ -485,14 +485,14 @@ b0 AS (SELECT ligand_conc, count(*) AS n, stddev_samp(y) AS sd, (quantile_cont(y
     min(y) AS y0, max(y) AS y1, median(y) AS median FROM v GROUP BY ligand_conc),
 b1 AS (SELECT *, 0.9 * CASE WHEN iqr > 0 THEN least(sd, iqr) ELSE sd END * pow(n, -0.2) AS bw FROM b0),
 b2 AS (SELECT *, y0 - 3 * bw AS x0, y1 + 3 * bw AS x1 FROM b1 WHERE bw > 0),
-b3 AS (SELECT *, x0 - 4 * bw AS lo, (x1 + 4 * bw - (x0 - 4 * bw)) / 127 AS step FROM b2),
+b3 AS (SELECT *, x0 - 4 * bw AS lo, (x1 + 4 * bw - (x0 - 4 * bw)) / 511 AS step FROM b2),
 put AS (SELECT ligand_conc, floor((y - lo) / step) AS node, (y - lo) / step - floor((y - lo) / step) AS part FROM v JOIN b3 USING (ligand_conc)),
 mass AS (SELECT ligand_conc, node, sum(w) AS w FROM
   (SELECT ligand_conc, node, 1 - part AS w FROM put UNION ALL SELECT ligand_conc, node + 1, part FROM put) GROUP BY ligand_conc, node),
 dens AS (SELECT ligand_conc, k, sum(w * exp(-0.5 * pow((k - node) * step / bw, 2))) / (any_value(bw) * any_value(n) * sqrt(2 * pi())) AS dk
-  FROM b3 JOIN mass USING (ligand_conc), (SELECT unnest(range(0, 128)) AS k) GROUP BY ligand_conc, k),
-grid_x AS (SELECT *, x0 + point * (x1 - x0) / 127 AS x FROM b3, (SELECT CAST(unnest(range(0, 128)) AS INTEGER) AS point)),
-placed AS (SELECT *, (x - lo) / step AS pos, least(CAST(floor((x - lo) / step) AS INTEGER), 126) AS low FROM grid_x)""",
+  FROM b3 JOIN mass USING (ligand_conc), (SELECT unnest(range(0, 512)) AS k) GROUP BY ligand_conc, k),
+grid_x AS (SELECT *, x0 + point * (x1 - x0) / 511 AS x FROM b3, (SELECT CAST(unnest(range(0, 512)) AS INTEGER) AS point)),
+placed AS (SELECT *, (x - lo) / step AS pos, least(CAST(floor((x - lo) / step) AS INTEGER), 510) AS low FROM grid_x)""",
     f"""SELECT {d('ligand_conc')}, n, {d('bw')}, {d('median')}, point, {d('x')}, {d('d0.dk + (d1.dk - d0.dk) * (pos - low)', 'density')}
   FROM placed JOIN dens d0 ON d0.ligand_conc = placed.ligand_conc AND d0.k = low JOIN dens d1 ON d1.ligand_conc = placed.ligand_conc AND d1.k = low + 1""".replace(
         d("ligand_conc"), "round(placed.ligand_conc, 6) + 0.0 AS ligand_conc"))
@@ -513,6 +513,7 @@ add("equal_width_bins_overall", GRID_OVERALL, counts("experiment, bin_id, bin_lo
 add("equal_width_bins_per_sample", GATED + """, s AS (SELECT *, concat_ws('_', cell_line, dox, replicate, gate) AS sample FROM gated),"""
     + bins("b", "s", "experiment, sample, ligand", 20), counts("experiment, sample, ligand, bin_id", "b", "ha"))
 add("log_spaced_bins", LOG_BINNED, f"""SELECT cell_line, {d('ligand_conc')}, bin_id, {d('avg(psmad2)', 'mean_psmad2')}, count(*) AS n_cells,
+  {d('exp(min(llo) + (bin_id - 1) * min(lstep))', 'bin_lo')}, {d('exp(min(llo) + bin_id * min(lstep))', 'bin_hi')},
   {d('median(psmad2)', 'median_psmad2')} FROM log_binned GROUP BY cell_line, ligand_conc, bin_id""")
 add("forward_differences", DIFFS, f"""SELECT experiment, ligand, {d('ligand_conc')}, bin_id, diff_id, {d('mean_norm_psmad2')}, {d('diffs')} FROM tgf_diffs""")
 add("metric_steps", STEPS, f"""SELECT experiment, bin_id, {d('diff_rls')}, {d('diff_lic')}, diff_id, {d('eucl_diff')}, {d('theta')}, group_id FROM steps""")
@@ -551,12 +552,18 @@ add("row_scaled_matrix", _BASE + f""", scaled AS (SELECT exp_rep, bin_id, {z('v'
     WHERE bin_id > 1 AND bin_id < (SELECT max(bin_id) FROM base))""",
     "SELECT exp_rep, " + ", ".join(d(f"max(zv) FILTER (bin_id = {b})", f"bin_{b}") for b in range(2, 10)) + " FROM scaled GROUP BY exp_rep")
 add("scaled_by_largest_range", PLUS + RANGES.format(source="plus", where="ligand <> 'TGFB1' AND ligand_conc > 0"),
-    f"SELECT {_RANGE_COLUMNS}, {d('range / nullif(max(range) OVER (PARTITION BY experiment, replicate, ligand), 0)', 'norm_range')} FROM ranges")
-add("qq_positions", DIFFS + """,
+    f"SELECT {_RANGE_COLUMNS}, {d('range / nullif(max(range) OVER (PARTITION BY experiment), 0)', 'norm_range')} FROM ranges")
+_STEP = "(x / 400)"
+_AREA = (f"({_STEP} / 3 * list_sum(list_transform(range(0, 401), lambda i: (CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) "
+    f"* exp(-0.5 * pow(i * {_STEP}, 2)))))")
+# Newton's steps from 0 on the area under the bell curve by Simpson's rule.
+_NORMAL_QUANTILE = f"list_reduce(list_prepend(0.0, list_transform(range(0, 40), lambda k: 0.0)), lambda x, k: x - ({_AREA} - (p - 0.5) * sqrt(2 * pi())) * exp(0.5 * x * x))"
+add("qq_points", DIFFS + """,
 r AS (SELECT exp_rep, ligand_conc, diffs AS sample, row_number() OVER (PARTITION BY exp_rep, ligand_conc ORDER BY diffs) AS point,
     count(*) OVER (PARTITION BY exp_rep, ligand_conc) AS n FROM tgf_diffs WHERE diffs IS NOT NULL),
 q AS (SELECT *, CASE WHEN n <= 10 THEN 0.375 ELSE 0.5 END AS a FROM r)""",
-    f"SELECT exp_rep, {d('ligand_conc')}, CAST(point AS INTEGER) AS point, {d('sample')}, {d('(point - a) / (n + 1 - 2 * a)', 'position')} FROM q")
+    f"SELECT exp_rep, {d('ligand_conc')}, CAST(point AS INTEGER) AS point, {d('sample')}, {d('p', 'position')}, {d(_NORMAL_QUANTILE, 'theoretical')} "
+    "FROM (SELECT *, (point - a) / (n + 1 - 2 * a) AS p FROM q)")
 add("qq_line", DIFFS, f"""SELECT exp_rep, {d('ligand_conc')},
   {d('(quantile_cont(diffs, 0.75) - quantile_cont(diffs, 0.25)) / (2 * 0.6744897501960817)', 'slope')},
   {d('(quantile_cont(diffs, 0.75) + quantile_cont(diffs, 0.25)) / 2', 'intercept')} FROM tgf_diffs WHERE diffs IS NOT NULL GROUP BY exp_rep, ligand_conc""")
@@ -572,9 +579,13 @@ add("range_preview", TGF + RANGES.format(source="tgf", where="true"),
     f"SELECT {_RANGE_COLUMNS} FROM ranges ORDER BY ranges.experiment, ranges.replicate, ranges.ligand, ranges.ligand_conc LIMIT 6")
 
 
-def analysed(source_ctes, source, control, gate_keys, bin_keys, summary_keys, number_keys, n=10, qs=0.0, qh=0.1, binned_by=None) -> str:
+def analysed(
+    source_ctes, source, control, gate_keys, bin_keys, summary_keys, number_keys, n=10, qs=0.0, qh=0.1, binned_by=None, boot=False
+) -> str:
     cte = source_ctes + "," + gate("ag", source, control, qs, qh, gate_keys) + ","
     cte += binned_by("ab", "ag") if binned_by else bins("ab", "ag", bin_keys, n)
+    if boot:
+        return cte + "," + bootstrap("boot", "ab", summary_keys) + "," + renumber("ax", "boot", number_keys)
     return cte + "," + summary("ax", "ab", summary_keys, number_keys)
 
 
@@ -591,6 +602,7 @@ def result(keys: str, *extra: str) -> str:
 
 
 _ALL = ("mean_norm_psmad2", "median_norm_psmad2", "n_cells")
+_SIX = (*[f"{s}_norm_psmad2{e}" for s in ("mean", "median") for e in ("", "_low", "_high")], "n_cells")
 _GATED_KEYS = [f"gate, {k}" for k in ("experiment", BIN_KEYS, SUMMARY_KEYS, f"{BIN_KEYS}, dox")]
 _BY_GATE = analysed(TRIMMED, "trimmed", UNTREATED, *_GATED_KEYS)
 add("stacked_gates", _BY_GATE, result(f"gate, {SUMMARY_KEYS}", "mean_norm_psmad2", "n_cells"))
@@ -599,15 +611,18 @@ add("wide_profiles", _BASE,
 add("single_ligand_analysis", BINNED + "," + bootstrap("boot", "binned", SUMMARY_KEYS) + "," + renumber("r", "boot", f"{BIN_KEYS}, dox"),
     f"SELECT {cols(SUMMARY_KEYS)}, bin_id, {boot_columns('norm_psmad2')} FROM r")
 add("decile_analysis", analysed(TRIMMED, "trimmed", UNTREATED, "experiment", BIN_KEYS, SUMMARY_KEYS, f"{BIN_KEYS}, dox",
-    binned_by=ntile_bins(BIN_KEYS)), result(SUMMARY_KEYS, *_ALL))
+    binned_by=ntile_bins(BIN_KEYS), boot=True), result(SUMMARY_KEYS, *_SIX))
 add("two_ligand_analysis", GRID_BINNED + "," + bootstrap("boot", "grid_binned", GRID_SUMMARY) + "," + renumber("r", "boot", GRID_KEYS),
     f"SELECT {cols(GRID_SUMMARY)}, bin_id, {boot_columns('norm_psmad2')} FROM r")
 _REP = f"{GRID_KEYS}, replicate"
 add("two_ligand_decile_analysis", analysed(GRID_CELLS, "grid_cells", "dox = '-dox'", "experiment", _REP, f"{GRID_SUMMARY}, replicate",
-    f"{_REP}, dox", binned_by=ntile_bins(_REP)), result(f"{GRID_SUMMARY}, replicate", *_ALL))
+    f"{_REP}, dox", binned_by=ntile_bins(_REP), boot=True), result(f"{GRID_SUMMARY}, replicate", *_SIX))
 add("one_experiment_analysis", GATED + "," + bins("b", "gated", "experiment", 5), f"""SELECT experiment, cell_line, ligand, {d('ligand_conc')}, bin_id,
-  {d('avg(norm_psmad2)', 'mean_norm_psmad2')}, count(*) AS n_cells, {d('median(norm_psmad2)', 'median_norm_psmad2')}
-  FROM b GROUP BY experiment, cell_line, ligand, ligand_conc, bin_id""")
+  {d('avg(norm_psmad2)', 'mean_norm_psmad2')}, count(*) AS n_cells, {d('median(norm_psmad2)', 'median_norm_psmad2')},
+  {d('min(bin_lo)', 'bin_lo')}, {d('min(bin_hi)', 'bin_hi')} FROM b GROUP BY experiment, cell_line, ligand, ligand_conc, bin_id""")
+add("one_experiment_bootstrap", analysed(TRIMMED, "trimmed", UNTREATED, "experiment", "experiment", SUMMARY_KEYS, SUMMARY_KEYS, n=5, boot=True),
+    result(SUMMARY_KEYS, *_SIX))
+add("one_experiment_density_of_all", TRIMMED, hist2("trimmed", "ha", "norm_psmad2", "experiment, cell_line, ligand_conc", 128))
 add("one_experiment_density", GATED, hist2("gated", "ha", "norm_psmad2", "experiment, cell_line, ligand_conc", 128))
 
 _SWEEP_KEYS = "q_signal, q_ha, n_bins"
@@ -618,14 +633,28 @@ sweep_limits AS (SELECT experiment, quantile_cont(norm_psmad2, [0.9, 0.5, 0.0])
 swept AS (SELECT t.*, g.* FROM trimmed t JOIN sweep_limits USING (experiment), grid_q g WHERE cell_line = 'R3' AND ha > qh
   AND norm_psmad2 > CASE q_signal WHEN 0.9 THEN qs[1] WHEN 0.5 THEN qs[2] ELSE qs[3] END),""" + bins("ab", "swept", f"{_SWEEP_KEYS}, {BIN_KEYS}", "n_bins").replace(
         "len(list_filter(range(1, CAST(n_bins AS BIGINT))", "len(list_filter(range(1, CAST(n_bins AS BIGINT))") + ","
-    + summary("ax", "ab", f"{_SWEEP_KEYS}, {SUMMARY_KEYS}", f"{_SWEEP_KEYS}, {BIN_KEYS}, dox"),
+    + bootstrap("boot", "ab", f"{_SWEEP_KEYS}, {SUMMARY_KEYS}") + "," + renumber("ax", "boot", f"{_SWEEP_KEYS}, {BIN_KEYS}, dox"),
     f"""SELECT 'pSMAD2_' || CAST(q_signal AS VARCHAR) || '_HA_' || CAST(q_ha AS VARCHAR) || '_bins_' || n_bins AS param_combo,
-  {cols(SUMMARY_KEYS)}, bin_id, {d('bin_id / n_bins', 'relative_bin')}, {d('mean_norm_psmad2')}, {d('median_norm_psmad2')}, n_cells FROM ax""")
-add("gate_comparison", _BY_GATE, result(f"gate, {SUMMARY_KEYS}", *_ALL))
+  {cols(SUMMARY_KEYS)}, bin_id, {d('bin_id / n_bins', 'relative_bin')}, {boot_columns('norm_psmad2')} FROM ax""")
+add("gate_comparison", analysed(TRIMMED, "trimmed", UNTREATED, *_GATED_KEYS, boot=True), result(f"gate, {SUMMARY_KEYS}", *_SIX))
 add("rebinned_after_band", analysed(TRIMMED + "," + trim("band", "trimmed", "experiment, ligand_conc", ("dapi",), 0.08, 0.75), "band", UNTREATED,
-    "experiment", BIN_KEYS, SUMMARY_KEYS, f"{BIN_KEYS}, dox", qh=0.5), result(SUMMARY_KEYS, "mean_norm_psmad2", "n_cells"))
+    "experiment", BIN_KEYS, SUMMARY_KEYS, f"{BIN_KEYS}, dox", qh=0.5, boot=True), result(SUMMARY_KEYS, *_SIX))
 _LEGACY = "experiment, ligand, cell_line, ligand_conc"
 add("grouped_legacy_analysis", analysed(TRIMMED, "trimmed", "cell_line = 'Luc'", "experiment, ligand", "experiment, ligand", _LEGACY,
     "experiment, ligand, ligand_conc", n=8, qs=0.75), result(_LEGACY, *_ALL))
 add("minimum_slice", _EDGES, f"""SELECT {cols(SUMMARY_KEYS)}, bin_id, {d('bin_lo')}, {d('bin_hi')}, {d('mean_norm_psmad2')},
   {d('median_norm_psmad2')}, n_cells FROM single JOIN bin_edges USING ({BIN_KEYS}, old_bin)""")
+ORACLE["tree_to_bootstrapped_bins"] = ORACLE["single_ligand_analysis"]
+ORACLE["heat_map_round_trip"] = ORACLE["rls_lic"]
+add("wide_profiles_of_20_bins", analysed(TRIMMED, "trimmed", UNTREATED, "experiment", BIN_KEYS, SUMMARY_KEYS, f"{BIN_KEYS}, dox", n=20),
+    "SELECT exp_rep, " + ", ".join(d(f"max(mean_norm_psmad2) FILTER (bin_id = {b})", f"bin_{b}") for b in range(1, 21))
+    + " FROM ax WHERE dox = '+dox' AND ligand_conc = 0 GROUP BY exp_rep")
+add("legacy_analysis", analysed(TRIMMED + """,
+legacy AS (SELECT * REPLACE (CASE ligand WHEN 'No Cyto' THEN 'TGFB1' ELSE ligand END AS ligand) FROM trimmed)""", "legacy", LUC,
+    "experiment, ligand", "experiment, ligand", _LEGACY, "experiment, ligand, ligand_conc", n=8, qs=0.75, boot=True), result(_LEGACY, *_SIX))
+_PLAIN = CELLS + """,
+plain AS (SELECT *, concat_ws('_', cell_line, CASE dox WHEN '+dox' THEN 'pD' ELSE 'mD' END, 'mC', replicate) AS sample FROM cells WHERE ligand = 'No Cyto')"""
+add("no_ligand_scan", _PLAIN, counts("sample, experiment, cell_line, dox, ligand, replicate", "plain", "ha", "psmad2", "smad2", "norm_psmad2"))
+_SAMPLE = "experiment, sample, ligand"
+add("no_ligand_analysis", analysed(_PLAIN + "," + trim("t", "plain", "experiment, cell_line, ligand"), "t", UNTREATED, "experiment",
+    _SAMPLE, f"{_SAMPLE}, cell_line, dox", "experiment, sample, dox", n=20, boot=True), result(f"{_SAMPLE}, cell_line, dox", *_SIX))

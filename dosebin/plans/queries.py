@@ -42,15 +42,16 @@ from . import analysis as A
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-N_BOOT = 25
+N_BOOT = 1000
 SEED = 7
 MEAN = "mean_norm_psmad2"
+INTERVALS = [f"{s}_norm_psmad2{e}" for s in ("mean", "median") for e in ("", "_low", "_high")]
 
 # Looser control quantile than the defaults: the star-schema cells have few high values.
 SINGLE = replace(A.SINGLE_LIGAND, q_ha=0.1, statistic="mean")
 BOOT = replace(SINGLE, statistic="bootstrap", n_boot=N_BOOT, seed=SEED)
 GRID = replace(A.TWO_LIGAND, q_ha=0.1, statistic="mean")
-LEGACY = replace(A.LEGACY, statistic="mean", n_boot=N_BOOT, seed=SEED)
+LEGACY = replace(A.LEGACY, q_ha=0.1, n_boot=N_BOOT, seed=SEED)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def query(fn: Query) -> Query:
 
 
 def trimmed(spark: SparkSession, folder: str) -> DataFrame:
-    return gates.trim_outliers(cells(spark, folder), S.TRIM_KEYS_GATED)
+    return materialize(gates.trim_outliers(cells(spark, folder), S.TRIM_KEYS_GATED))
 
 
 def gated(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,7 +114,7 @@ def tgf_diffs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def grid_cells(spark: SparkSession, folder: str) -> DataFrame:
-    return gates.trim_outliers(cells(spark, folder), S.TRIM_KEYS_TWO_LIGAND)
+    return materialize(gates.trim_outliers(cells(spark, folder), S.TRIM_KEYS_TWO_LIGAND))
 
 
 def heat_map(spark: SparkSession, folder: str) -> DataFrame:
@@ -205,11 +206,8 @@ def replicate_numbers(spark, folder):
 
 @query
 def legacy_name_fields(spark, folder):
-    raw = raw_cells(spark, folder).where(F.col("ligand") != S.NO_LIGAND)
-    name = F.concat(
-        F.col("cell_line"), F.lit("_"), F.col("ligand_conc").cast("string"), F.substring("ligand", 1, 1)
-    )
-    out = raw.select(name.alias("sample")).select(
+    raw = raw_cells(spark, folder)
+    out = raw.select(_NAME["legacy"]().alias("sample")).select(
         "sample",
         legacy_cell_line(F.col("sample")).alias("cell_line"),
         legacy_ligand(F.col("sample")).alias("ligand"),
@@ -248,6 +246,13 @@ _NAME = {
         F.col("replicate").cast("string"),
         F.when(F.col("gate") == "DAPI", "DAPI"),
     ),
+    "no_ligand": lambda: F.concat_ws(
+        "_",
+        "cell_line",
+        F.when(F.col("dox") == "+dox", "pD").otherwise("mD"),
+        F.lit("mC"),
+        F.col("replicate").cast("string"),
+    ),
     "legacy": lambda: F.concat(
         F.col("cell_line"), F.lit("_"), F.col("ligand_conc").cast("string"),
         F.when(F.col("ligand") == "GDF11", "G").otherwise("T"),
@@ -539,7 +544,7 @@ def plain_predicates(spark, folder):
 
 @query
 def groups_with_enough_rows(spark, folder):
-    ranges = dose.dose_range(tgf_by_dose(spark, folder), ["experiment", "replicate", "ligand", "ligand_conc"])
+    ranges = dose.dose_range(plus(spark, folder), ["experiment", "replicate", "ligand", "ligand_conc"])
     return gates.min_group_rows(ranges, ["experiment", "replicate", "ligand"], 3)
 
 
@@ -755,7 +760,7 @@ def histogram_2d_per_sample(spark, folder):
 
 @query
 def violin_density(spark, folder):
-    return density.violin_density(tgf_diffs(spark, folder), ["ligand_conc"], "diffs", points=128)
+    return density.violin_density(tgf_diffs(spark, folder), ["ligand_conc"], "diffs")
 
 
 @query
@@ -819,7 +824,7 @@ def _log_binned(spark, folder):
 @query
 def log_spaced_bins(spark, folder):
     b = _log_binned(spark, folder).where(F.col("bin_id").isNotNull())
-    return binning.bin_summary(b, ["cell_line", "ligand_conc"], "psmad2").drop("bin_lo", "bin_hi")
+    return binning.bin_summary(b, ["cell_line", "ligand_conc"], "psmad2")
 
 
 @query
@@ -899,12 +904,7 @@ def row_scaled_matrix(spark, folder):
 def scaled_by_largest_range(spark, folder):
     rows = plus(spark, folder).where((F.col("ligand") != "TGFB1") & (F.col("ligand_conc") > 0))
     ranges = dose.dose_range(rows, ["experiment", "replicate", "ligand", "ligand_conc"])
-    return normalize.scale_by_max(ranges, ["experiment", "replicate", "ligand"], "range", "norm_range")
-
-
-@query
-def qq_positions(spark, folder):
-    return stats.qq_points(tgf_diffs(spark, folder), ["exp_rep", "ligand_conc"], "diffs").drop("theoretical")
+    return normalize.scale_by_max(ranges, ["experiment"], "range", "norm_range")
 
 
 @query
@@ -956,7 +956,15 @@ def stacked_gates(spark, folder):
 @query
 def wide_profiles(spark, folder):
     rows = plus(spark, folder).where(F.col("ligand_conc") == 0)
-    return matrix.wide_profiles(rows)
+    return matrix.wide_profiles(rows, columns=list(range(1, 11)))
+
+
+@query
+def wide_profiles_of_20_bins(spark, folder):
+    boot = A.analyse(trimmed(spark, folder), replace(SINGLE, n_bins=20)).boot
+    rows = boot.where((F.col("dox") == S.PLUS_DOX) & (F.col("ligand_conc") == 0))
+    rows = rows.withColumn("exp_rep", composite_key(F.col("experiment"), F.col("replicate")))
+    return matrix.wide_profiles(rows, columns=list(range(1, 21)))
 
 
 # ------------------------------------------------------------------ full analyses
@@ -970,8 +978,8 @@ def single_ligand_analysis(spark, folder):
 
 @query
 def decile_analysis(spark, folder):
-    boot = A.analyse(trimmed(spark, folder), replace(SINGLE, binning="equal_count")).boot
-    return boot.select(*SINGLE.summary_keys, "bin_id", MEAN, "median_norm_psmad2", "n_cells")
+    boot = A.analyse(trimmed(spark, folder), replace(BOOT, binning="equal_count")).boot
+    return boot.select(*BOOT.summary_keys, "bin_id", *INTERVALS, "n_cells")
 
 
 @query
@@ -982,16 +990,28 @@ def two_ligand_analysis(spark, folder):
 
 @query
 def two_ligand_decile_analysis(spark, folder):
-    s = replace(A.TWO_LIGAND_DECILES, q_ha=0.1, statistic="mean")
+    s = replace(A.TWO_LIGAND_DECILES, q_ha=0.1, n_boot=N_BOOT, seed=SEED)
     boot = A.analyse(grid_cells(spark, folder), s).boot
-    return boot.select(*s.summary_keys, "bin_id", MEAN, "median_norm_psmad2", "n_cells")
+    return boot.select(*s.summary_keys, "bin_id", *INTERVALS, "n_cells")
 
 
 @query
 def one_experiment_analysis(spark, folder):
     """Bins over all conditions of an experiment, for every experiment."""
     s = replace(SINGLE, n_bins=5, bin_keys=("experiment",))
-    return A.analyse_experiment(trimmed(spark, folder), s)["bin_summary"].drop("bin_lo", "bin_hi")
+    return A.analyse_experiment(trimmed(spark, folder), s)["bin_summary"]
+
+
+@query
+def one_experiment_bootstrap(spark, folder):
+    s = replace(BOOT, n_bins=5, bin_keys=("experiment",), number_keys=tuple(S.SUMMARY_KEYS))
+    boot = A.analyse_experiment(trimmed(spark, folder), s)["boot"]
+    return boot.select(*s.summary_keys, "bin_id", *INTERVALS, "n_cells")
+
+
+@query
+def one_experiment_density_of_all(spark, folder):
+    return A.analyse_experiment(trimmed(spark, folder), replace(SINGLE, n_bins=5))["density_all"]
 
 
 @query
@@ -1001,24 +1021,22 @@ def one_experiment_density(spark, folder):
 
 @query
 def parameter_sweep(spark, folder):
-    s = replace(SINGLE, control="luc")
+    s = replace(BOOT, control="luc")
     out = A.parameter_sweep(trimmed(spark, folder), s=s)
-    return out.select(
-        "param_combo", *s.summary_keys, "bin_id", "relative_bin", MEAN, "median_norm_psmad2", "n_cells"
-    )
+    return out.select("param_combo", *s.summary_keys, "bin_id", "relative_bin", *INTERVALS, "n_cells")
 
 
 @query
 def gate_comparison(spark, folder):
-    s = SINGLE.with_keys("gate")
+    s = BOOT.with_keys("gate")
     boot = A.compare_gates(trimmed(spark, folder), s).boot
-    return boot.select(*s.summary_keys, "bin_id", MEAN, "median_norm_psmad2", "n_cells")
+    return boot.select(*s.summary_keys, "bin_id", *INTERVALS, "n_cells")
 
 
 @query
 def rebinned_after_band(spark, folder):
-    boot = A.rebin_after_band(trimmed(spark, folder), replace(SINGLE, q_ha=0.5)).boot
-    return boot.select(*SINGLE.summary_keys, "bin_id", MEAN, "n_cells")
+    boot = A.rebin_after_band(trimmed(spark, folder), replace(BOOT, q_ha=0.5)).boot
+    return boot.select(*BOOT.summary_keys, "bin_id", *INTERVALS, "n_cells")
 
 
 @query
@@ -1030,6 +1048,52 @@ def grouped_legacy_analysis(spark, folder):
     return out.select(*S.SUMMARY_KEYS_LEGACY, "bin_id", MEAN, "median_norm_psmad2", "n_cells")
 
 
+@query
+def legacy_analysis(spark, folder):
+    """Gate against the control line at dose 0 per (experiment, ligand); dose 0 goes by the name of TGFB1."""
+    named = F.when(F.col("ligand") == S.NO_LIGAND, "TGFB1").otherwise(F.col("ligand"))
+    boot = A.analyse(trimmed(spark, folder).withColumn("ligand", named), LEGACY).boot
+    return boot.select(*LEGACY.summary_keys, "bin_id", *INTERVALS, "n_cells")
+
+
+@query
+def tree_to_bootstrapped_bins(spark, folder):
+    """From a tree of CSV samples to the bootstrapped bins of the single-ligand analysis."""
+    root = _fresh(spark, "csv")
+    _write_tree(raw_cells(spark, folder), root, "single", ["experiment"], FIVE)
+    loaded = csv_tree.load_cells(spark, root, "single_ligand")
+    return A.analyse(gates.trim_outliers(loaded, S.TRIM_KEYS_GATED), BOOT).boot
+
+
+@query
+def heat_map_round_trip(spark, folder):
+    """Dose grid written as CSV, read back with stated types, then both dose metrics."""
+    out, path = heat_map(spark, folder), _fresh(spark, "results")
+    csv_tree.write_result(out, path)
+    return dose.rls_lic(csv_tree.read_result(spark, path, out.schema))
+
+
+def _no_ligand(spark, folder):
+    root = _fresh(spark, "csv")
+    raw = raw_cells(spark, folder).where(F.col("ligand") == S.NO_LIGAND)
+    _write_tree(raw, root, "no_ligand", ["experiment"], FIVE)
+    return csv_tree.load_cells(spark, root, "no_ligand")
+
+
+@query
+def no_ligand_scan(spark, folder):
+    keys = ["sample", "experiment", "cell_line", "dox", "ligand", "replicate"]
+    return counts_by(_no_ligand(spark, folder), keys, "ha", "psmad2", "smad2", "norm_psmad2")
+
+
+@query
+def no_ligand_analysis(spark, folder):
+    """Samples without any ligand: twenty bins per sample."""
+    s = replace(A.NO_LIGAND, q_ha=0.1, n_boot=N_BOOT, seed=SEED)
+    boot = A.analyse(gates.trim_outliers(_no_ligand(spark, folder), S.TRIM_KEYS_NO_LIGAND), s).boot
+    return boot.select(*s.summary_keys, "bin_id", *INTERVALS, "n_cells")
+
+
 @query
 def minimum_slice(spark, folder):
     """Trim, ratio, gate, bin, summarise, renumber."""

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_WRITTEN: list[str] = []
+
+
 def local_session(app: str = "dosebin", cores: str = "*", partitions: int = 8) -> SparkSession:
     """Session for tests and single-machine runs."""
     return (
@@ -21,7 +24,7 @@ def local_session(app: str = "dosebin", cores: str = "*", partitions: int = 8) -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
-        .config("spark.driver.memory", "20g")
+        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
@@ -39,6 +42,10 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="dosebin-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
+    elif not spark.sparkContext.master.startswith("local"):
+        place = folder.removeprefix("file:").replace("//", "/")
+        if place.startswith(tempfile.gettempdir() + "/"):
+            raise RuntimeError(f"{folder} is a temporary folder of one machine; executors do not share it")
     return folder.rstrip("/")
 
 
@@ -53,34 +60,18 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-SMALL_INPUT_SETTING = "dosebin.smallInputBytes"
-
-
-def scanned_bytes(df: DataFrame) -> int:
-    """Size of the largest input of ``df`` by the optimizer's statistics; no job is run."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return max(
-        (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), default=0
-    )
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether the input of ``df`` is so small that any of its groups fits one task."""
-    limit = int(df.sparkSession.conf.get(SMALL_INPUT_SETTING, str(SMALL_INPUT_BYTES)))
-    return scanned_bytes(df) <= limit
-
-
-def settle(summary: DataFrame) -> DataFrame:
-    """A per-group summary ready to be joined to the rows it came from.
-
-    When the scanned input is small, so is its summary, and it is broadcast as it
-    is; otherwise it is written once, so that its true size decides.
-    """
-    return F.broadcast(summary) if is_small(summary) else materialize(summary)
+def release_tables(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` has written so far; results not read yet need them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        done += path.getFileSystem(conf).delete(path, True)
+    return done
 
 
 def attach(df: DataFrame, summary: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

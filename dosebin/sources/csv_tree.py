@@ -1,15 +1,16 @@
 """Folders of per-sample CSV exports, as cell tables; and CSV results.
 
-Columns are bound by name: files are grouped by their header, each group is read
-with the schema its header spells out, and the groups are stacked by name, so a
-file with another column order or a missing channel lands in the right columns.
+Columns are bound by name: every file's header tells at which place of a line each
+channel stands, so a file with another column order or a missing channel lands in the
+right columns.  Headers and lines are both read by Spark's text source; only the different
+headers, not the files, come to the driver.
 """
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,46 +31,28 @@ from ..functions import (
     sample_of_path,
     suffixed_dose,
 )
+from ..session import materialize
 
-HEADER_BYTES = 1 << 16
-MAX_HEADERS = 1000
 
-
-def _file_headers(spark: SparkSession, root: str) -> list[tuple[str, list[str]]]:
-    """(header line, files that have it), read from the first bytes of each file in tasks."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
-        .load(root)
-        .select("path")
+def _lines(spark: SparkSession, root: str) -> DataFrame:
+    """All lines of the CSV files below ``root`` that are not blank, with the place of their block."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+    return (
+        files.text(root)
+        .where(F.trim("value") != "")
+        .select("value", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__start"))
     )
 
-    def first_lines(batches):
-        from urllib.parse import quote
-
-        from pyarrow import fs
 
-        for pdf in batches:
-            lines = []
-            for path in pdf["path"]:
-                system, name = fs.FileSystem.from_uri(quote(path, safe="/:%=+,@&$!~()"))
-                with system.open_input_stream(name) as stream:
-                    lines.append(stream.read(HEADER_BYTES).decode("utf-8-sig").split("\n")[0].rstrip("\r"))
-            yield pd.DataFrame({"path": pdf["path"], "header": lines})
-
-    heads = files.mapInPandas(first_lines, "path string, header string").where(
-        F.length("header") > 0
-    )
-    groups = heads.groupBy("header").agg(F.collect_list("path").alias("paths")).limit(MAX_HEADERS + 1)
-    rows = groups.collect()
-    if len(rows) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} different headers under {root}")
-    return [(r["header"], sorted(r["paths"])) for r in sorted(rows, key=lambda r: r["header"])]
+def _headers(lines: DataFrame) -> DataFrame:
+    """First line of every file: ``__path, __header``."""
+    first = lines.where(F.col("__start") == 0).withColumn("__at", F.monotonically_increasing_id())
+    return first.groupBy("__path").agg(F.min_by("value", "__at").alias("__header"))
 
 
 def _columns(header: str) -> list[str]:
-    return [c.strip().strip('"') for c in header.split(",")]
+    """Column names of a header line; names in quotes may hold commas."""
+    return [c.strip() for c in next(csv.reader([header.removeprefix("\ufeff")], skipinitialspace=True))]
 
 
 def pick_channels(columns: list[str], channels: dict[str, str], scatter: str = "FSC-A") -> dict[str, str]:
@@ -164,28 +147,36 @@ def scan_samples(spark: SparkSession, root: str, layout: str = "single_ligand")
     name decides which map applies.
     """
     kind = LAYOUTS[layout]
-    out = None
-    for header, paths in _file_headers(spark, root):
-        columns = _columns(header)
-        schema = T.StructType([T.StructField(c, T.DoubleType()) for c in columns])
-        by_map: dict[bool, list[str]] = {}
-        for p in paths:
-            above = _folders(p)[1] if kind.three_laser else ""
-            by_map.setdefault("3 Laser" in above, []).append(p)
-        for three, some in sorted(by_map.items()):
-            channels = kind.three_laser if three else kind.channels
-            picked = pick_channels(columns, channels, kind.scatter)
-            raw = spark.read.option("header", True).schema(schema).csv([p.replace("%20", " ") for p in some])
-            path = F.col("_metadata.file_path")
-            part = raw.select(
-                sample_of_path(path).alias("sample"),
-                _folder_of(path, 0).alias("experiment"),
-                *([_folder_of(path, 1).alias("instrument")] if kind.three_laser else []),
-                *[F.col(f"`{c}`").alias(name) for c, name in picked.items()],
-            )
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+    lines = _lines(spark, root)
+    path = F.col("__path")
+    heads = _headers(lines).withColumn(
+        "__three", _folder_of(path, 1).contains("3 Laser") if kind.three_laser else F.lit(False)
+    )
+    heads = materialize(heads)
+    places: list[tuple[str, bool, dict[str, int]]] = []
+    width = 1
+    for r in heads.select("__header", "__three").distinct().collect():  # one row per kind of file
+        columns = _columns(r["__header"])
+        picked = pick_channels(columns, kind.three_laser if r["__three"] else kind.channels, kind.scatter)
+        places.append((r["__header"], r["__three"], {name: columns.index(c) for c, name in picked.items()}))
+        width = max(width, len(columns))
+    if not places:
         raise FileNotFoundError(f"no CSV file with a header under {root}")
+    names = sorted({n for *_, at in places for n in at})
+    rows = [(h, t, [at.get(n) for n in names]) for h, t, at in places]
+    known = spark.createDataFrame(rows, "__header string, __three boolean, __places array<int>")
+    heads = heads.join(known, ["__header", "__three"]).drop("__three")
+    data = lines.join(heads, "__path").where(~((F.col("__start") == 0) & (F.col("value") == F.col("__header"))))
+    cells = F.from_csv("value", ", ".join(f"c{i} double" for i in range(width)))
+    out = data.withColumn("__cells", cells).select(
+        sample_of_path(path).alias("sample"),
+        _folder_of(path, 0).alias("experiment"),
+        *([_folder_of(path, 1).alias("instrument")] if kind.three_laser else []),
+        *[
+            F.get(F.array(*[F.col(f"__cells.c{j}") for j in range(width)]), F.get("__places", F.lit(i))).alias(n)
+            for i, n in enumerate(names)
+        ],
+    )
     fields = kind.parse(F.col("sample"))
     sample = fields.pop("sample", None)
     out = out.withColumns(fields)
@@ -200,14 +191,6 @@ def _folder_of(path: Column, up: int) -> Column:
     return F.regexp_extract(decoded, _FOLDERS, 2 - up)
 
 
-def _folders(path: str) -> tuple[str, str]:
-    import re
-    from urllib.parse import unquote
-
-    m = re.search(_FOLDERS, unquote(path))
-    return (m.group(2), m.group(1)) if m else ("", "")
-
-
 def load_cells(
     spark: SparkSession, root: str, layout: str = "single_ligand", zero: str = "drop"
 ) -> DataFrame:

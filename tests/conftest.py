@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from dosebin.session import SMALL_INPUT_SETTING, local_session  # noqa: E402
+from dosebin.session import local_session  # noqa: E402
 
 TESTDATA = "/root/testdata/sf0.001"
 
@@ -18,14 +18,6 @@ def spark():
     s.stop()
 
 
-@pytest.fixture
-def large(spark):
-    """Treat every input as too large for one task, as on a cluster."""
-    spark.conf.set(SMALL_INPUT_SETTING, "0")
-    yield
-    spark.conf.unset(SMALL_INPUT_SETTING)
-
-
 @pytest.fixture(scope="session")
 def folder():
     return TESTDATA

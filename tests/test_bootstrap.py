@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from dosebin.operators import bootstrap
 from dosebin.operators.bootstrap import bootstrap_bins, bootstrap_replicates
 
 P = (1 << 31) - 1
@@ -64,39 +65,34 @@ def test_low_mean_high(spark):
             assert r[f"{s}_norm_psmad2_low"] - 1e-9 <= x <= r[f"{s}_norm_psmad2_high"] + 1e-9
 
 
-def test_sliced_bin_resamples_like_a_whole_one(spark, large):
-    """A hot bin in slices, with a value held by a third of its cells."""
+@pytest.mark.parametrize("slice_cells", [7, 250, 2999])
+def test_slices_do_not_change_any_number(spark, monkeypatch, slice_cells):
+    """A hot bin in slices of several widths, with a value held by a third of its cells."""
+    monkeypatch.setattr(bootstrap, "CHUNK_DRAWS", 700)
+    monkeypatch.setattr(bootstrap, "DRAWS_AT_ONCE", 3000)
     rng = np.random.default_rng(0)
     x = rng.normal(10, 2, 3000)
     x[:1000] = 11.0
     df = spark.createDataFrame(
         pd.DataFrame({"k": "hot", "bin_id": 1, "norm_psmad2": x})
     ).unionByName(spark.createDataFrame([("cold", 1, 1.0), ("cold", 1, 2.0)], "k string, bin_id long, norm_psmad2 double"))
-    sliced = bootstrap_replicates(df, ["k"], n_boot=300, seed=1, slice_cells=250).toPandas()
-    whole = bootstrap_replicates(df, ["k"], n_boot=300, seed=1).toPandas()
-    assert len(sliced) == len(whole) == 600
-    assert sliced.notna().all().all()
-    cold = lambda d: d[d.k == "cold"].sort_values("replicate_no").reset_index(drop=True)
-    pd.testing.assert_frame_equal(cold(sliced), cold(whole))
-    a, b = sliced[sliced.k == "hot"], whole[whole.k == "hot"]
-    assert set(a.n_cells) == {3000}
-    se = x.std() / np.sqrt(len(x))
-    assert a.boot_mean.mean() == pytest.approx(x.mean(), abs=4 * se / np.sqrt(300))
-    assert a.boot_mean.std() == pytest.approx(se, rel=0.15)
-    assert a.boot_mean.std() == pytest.approx(b.boot_mean.std(), rel=0.2)
-    assert a.boot_median.mean() == pytest.approx(b.boot_median.mean(), abs=0.02)
-
-
-def test_bin_over_the_slice_size_in_one_task(spark):
-    """The same limit holds inside a task when the input as a whole is small."""
-    spark.conf.set("dosebin.smallInputBytes", str(1 << 62))
-    try:
-        df = spark.range(2000).select(
-            F.lit("k").alias("k"), F.lit(1).alias("bin_id"), (F.col("id") % 500).cast("double").alias("norm_psmad2")
-        )
-        r = bootstrap_bins(df, ["k"], n_boot=200, slice_cells=100).first()
-    finally:
-        spark.conf.unset("dosebin.smallInputBytes")
+    order = ["k", "replicate_no"]
+    sliced = bootstrap_replicates(df, ["k"], n_boot=30, seed=1, slice_cells=slice_cells).toPandas()
+    whole = bootstrap_replicates(df, ["k"], n_boot=30, seed=1).toPandas()
+    sliced, whole = (d.sort_values(order).reset_index(drop=True) for d in (sliced, whole))
+    pd.testing.assert_frame_equal(sliced, whole, check_exact=False, rtol=1e-12)
+    hot = whole[whole.k == "hot"]
+    assert set(hot.n_cells) == {3000} and len(whole) == 60
+    mean, median = by_hand(x.tolist(), "hot|1", 1, 4)
+    four = hot[hot.replicate_no == 4].iloc[0]
+    assert (four.boot_mean, four.boot_median) == (pytest.approx(mean), pytest.approx(median))
+
+
+def test_intervals_are_those_of_the_mean(spark):
+    df = spark.range(2000).select(
+        F.lit("k").alias("k"), F.lit(1).alias("bin_id"), (F.col("id") % 500).cast("double").alias("norm_psmad2")
+    )
+    r = bootstrap_bins(df, ["k"], n_boot=400, slice_cells=100).first()
     assert r.n_cells == 2000
-    assert r.mean_norm_psmad2 == pytest.approx(249.5, abs=3)
-    assert r.mean_norm_psmad2_low < 249.5 < r.mean_norm_psmad2_high
+    assert r.mean_norm_psmad2 == pytest.approx(249.5, abs=1)
+    assert r.mean_norm_psmad2_high - r.mean_norm_psmad2_low == pytest.approx(2 * 1.96 * 144.3 / 2000**0.5, rel=0.15)

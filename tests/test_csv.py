@@ -33,6 +33,26 @@ def test_columns_are_bound_by_name(spark, tmp_path):
     assert sorted(r["sample"] for r in loaded.collect()) == ["R3_mD_mC_DAPI", "R3_pD_0.1T_2"]
 
 
+def test_long_and_quoted_headers_and_odd_names(spark, tmp_path):
+    root = str(tmp_path)
+    many = ",".join(f"Comp-{i}-{'x' * 60}" for i in range(1200))  # over 64 KiB
+    put(root, "a+b 50%/R3_pD_0.1T_2.csv", f'{many},"B1-A :: HA, area",YG1-A,R2-A,UV7-A,FSC-A\n' + "0," * 1200 + "10,100,1000,5,1\n")
+    put(root, "e/R3_mD_mC.csv", "\ufeff\nFSC-A,B1-A,YG1-A,R2-A,UV7-A\r\n2,20,200,2000,6\r\n\r\n3,,300,3000,7\r\n")
+    rows = sorted(csv_tree.scan_samples(spark, root).collect(), key=lambda r: r.fsc_a)
+    assert [(r.experiment, r.ha, r.dapi) for r in rows] == [("a+b 50%", 10, 5), ("e", 20, 6), ("e", None, 7)]
+
+
+def test_no_path_reaches_the_driver(spark, tmp_path, monkeypatch):
+    for i in range(30):
+        put(str(tmp_path), f"e{i}/R3_pD_mC.csv", "FSC-A,B1-A,YG1-A,R2-A,UV7-A\n1,2,3,4,5\n")
+    seen = []
+    frame = type(spark.range(1))
+    keep = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: seen.extend(keep(df)) or seen)
+    csv_tree.scan_samples(spark, str(tmp_path))
+    assert len(seen) == 1 and "__path" not in seen[0].asDict()
+
+
 def test_two_columns_for_one_channel(spark, tmp_path):
     put(str(tmp_path), "e/R3_pD_mC.csv", "FSC-A,B1-A,B1-A extra,YG1-A,R2-A,UV7-A\n1,2,3,4,5,6\n")
     with pytest.raises(ValueError, match="B1-A"):

@@ -49,7 +49,7 @@ def test_names(spark):
 CELL = "experiment string, cell_line string, dox string, ligand string, ligand_conc double, ha double, norm_psmad2 double"
 
 
-def test_gate_is_strict_and_needs_a_control(spark, large):
+def test_gate_is_strict_and_needs_a_control(spark):
     rows = [("e1", "R3", "-dox", "No Cyto", 0.0, h, h) for h in (1.0, 2.0, 3.0)]
     rows += [("e1", "R3", "+dox", "TGFB1", 1.0, 3.0, 2.0), ("e1", "R3", "+dox", "TGFB1", 1.0, 3.1, 2.0)]
     rows += [("e1", "Luc", "+dox", "TGFB1", 1.0, 9.0, 9.0), ("e2", "R3", "+dox", "TGFB1", 1.0, 9.0, 9.0)]
@@ -60,7 +60,7 @@ def test_gate_is_strict_and_needs_a_control(spark, large):
     assert [r.experiment for r in missing] == ["e2"]
 
 
-def test_trim_is_inclusive(spark, large):
+def test_trim_is_inclusive(spark):
     df = spark.createDataFrame([("g", float(i)) for i in range(11)], "k string, x double")
     kept = gates.trim_outliers(df, ["k"], ("x",), 0.1, 0.9)
     assert sorted(r.x for r in kept.collect()) == [float(i) for i in range(1, 10)]
@@ -158,13 +158,13 @@ def test_distances_scale_up_for_missing_bins(spark):
     assert got == {("a", "b"): 5.0, ("a", "c"): pytest.approx(math.sqrt(2)), ("b", "c"): pytest.approx(math.sqrt(8))}
 
 
-def test_null_keys_are_a_group(spark, large):
+def test_null_keys_are_a_group(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "k string, ha double")
     out = binning.equal_width_bins(df, 2, ["k"]).collect()
     assert len(out) == 3 and all(r.bin_id is not None for r in out)
 
 
-def test_rank_sum_of_a_hot_group(spark, large):
+def test_rank_sum_of_a_hot_group(spark):
     """Slots and ties: against ranks by pandas."""
     import numpy as np
     import pandas as pd

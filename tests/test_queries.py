@@ -1,5 +1,7 @@
 """Registered queries against their SQL at the smallest scale, and their plans."""
 
+import os
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,9 +9,11 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import check
 from dosebin import schema as S
-from dosebin.operators import binning, gates
+from dosebin import session
+from dosebin.operators import binning, gates, matrix
 from dosebin.plans import analysis as A
 from dosebin.plans import queries as Q
+from dosebin.plans.oracle import ORACLE
 from dosebin.sources.tables import cells
 
 FEW = [
@@ -38,14 +42,8 @@ def test_query_matches_sql(spark, con, folder, name):
     same(spark, con, folder, name)
 
 
-@pytest.mark.parametrize("name", ["gate_on_untreated", "equal_count_bins", "bootstrap_event_values", "bin_summary"])
-def test_query_matches_sql_as_if_large(spark, con, folder, name, large):
-    same(spark, con, folder, name)
-
-
-def test_every_query_but_one_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"qq_points"}
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+def test_every_query_has_sql():
+    assert set(Q.QUERIES) == set(ORACLE)
 
 
 def test_entry(spark):
@@ -66,13 +64,42 @@ def test_gated_cells_are_not_shuffled(spark, folder):
     assert "Exchange hashpartitioning" not in top
 
 
-def test_large_inputs_look_up_written_summaries(spark, folder, large):
+def test_rows_look_up_written_summaries(spark, folder):
     rows = gates.control_gate(gates.trim_outliers(cells(spark, folder), S.TRIM_KEYS), q_ha=0.1)
     text = plan_of(rows)
     assert "percentile" not in text and "Exchange hashpartitioning" not in text
     assert text.count("BroadcastHashJoin") == 2
 
 
+def scans_of(spark, monkeypatch, build):
+    """How often the raw line items are read: by the tables written on the way and by the result."""
+    plans = []
+    writer = type(spark.range(1).write)
+    keep = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda w, path, *a, **k: plans.append(plan_of(w._df)) or keep(w, path, *a, **k))
+    plans.append(plan_of(build()))
+    return sum(p.count("lineitem.parquet") for p in plans)
+
+
+@pytest.mark.parametrize("name", ["single_ligand_analysis", "equal_width_bins", "parameter_sweep", "trim_outliers"])
+def test_raw_cells_are_read_three_times_at_most(spark, folder, monkeypatch, name):
+    assert 0 < scans_of(spark, monkeypatch, lambda: Q.QUERIES[name](spark, folder)) <= 3
+
+
+def test_profiles_of_any_width(spark):
+    df = spark.createDataFrame([("a", b, float(b)) for b in (1, 3, 20)], "exp_rep string, bin_id int, mean_norm_psmad2 double")
+    assert matrix.wide_profiles(df).columns == ["exp_rep", "bin_1", "bin_3", "bin_20"]
+    with pytest.raises(Exception, match="not among the columns: 20"):
+        matrix.wide_profiles(df, columns=[1, 2, 3]).collect()
+
+
+def test_written_tables_can_be_released(spark, monkeypatch):
+    monkeypatch.setattr(session, "_WRITTEN", [])
+    table = session.materialize(spark.range(5))
+    path = table.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and session.release_tables(spark) == 1 and not os.path.exists(path)
+
+
 def test_only_needed_columns_are_read(spark, folder):
     text = plan_of(cells(spark, folder).groupBy("experiment").agg(F.avg("ha")))
     assert "l_suppkey" not in text.split("ReadSchema")[1] and "l_discount" not in text

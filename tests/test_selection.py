@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from dosebin.operators import selection
 from dosebin.operators.binning import equal_count_bins
-from dosebin.operators.selection import quantiles, slot
+from dosebin.operators.selection import quantiles, running_count, slot
 
 
 def uneven(n=6000, seed=1):
@@ -24,33 +25,54 @@ def uneven(n=6000, seed=1):
 QS = [0.0, 0.001, 0.25, 0.5, 0.9, 0.999, 1.0]
 
 
-@pytest.mark.parametrize("path", ["large", "small"])
-def test_quantiles_match_numpy(spark, path):
+@pytest.mark.parametrize("slot_rows", [100_000, 40])
+def test_quantiles_match_numpy(spark, monkeypatch, slot_rows):
+    monkeypatch.setattr(selection, "SLOT_ROWS", slot_rows)
+    monkeypatch.setattr(selection, "STEPS", 16)
     pdf = uneven()
     df = spark.createDataFrame(pdf)
-    spark.conf.set("dosebin.smallInputBytes", "0" if path == "large" else str(1 << 62))
-    try:
-        got = quantiles(df, ["k"], {f"q{i}": ("x", q) for i, q in enumerate(QS)}).toPandas().set_index("k")
-    finally:
-        spark.conf.unset("dosebin.smallInputBytes")
+    got = quantiles(df, ["k"], {f"q{i}": ("x", q) for i, q in enumerate(QS)}).toPandas().set_index("k")
     assert sorted(got.index) == ["a", "b", "c", "hot", "single"]
     for k, part in pdf.groupby("k"):
         np.testing.assert_allclose(got.loc[k].to_numpy(float), np.quantile(part.x, QS), rtol=1e-12, err_msg=k)
 
 
-def test_quantiles_skip_missing_and_keep_infinity(spark, large):
+def test_quantiles_skip_missing_and_keep_infinity(spark):
     rows = [("a", 1.0), ("a", None), ("a", float("nan")), ("a", float("-inf")), ("a", 3.0), ("n", None), (None, 4.0)]
     got = quantiles(spark.createDataFrame(rows, "k string, x double"), ["k"], {"lo": ("x", 0.0), "mid": ("x", 0.5)})
     assert {(r.k, r.lo, r.mid) for r in got.collect()} == {("a", float("-inf"), 1.0), (None, 4.0, 4.0)}
 
 
-def test_quantiles_of_two_columns_without_keys(spark, large):
+def test_quantiles_of_two_columns_without_keys(spark):
     pdf = uneven(500)
     pdf["y"] = -pdf.x
     row = quantiles(spark.createDataFrame(pdf), [], {"a": ("x", 0.3), "b": ("y", 0.7)}).first()
     assert row.a == pytest.approx(np.quantile(pdf.x, 0.3)) and row.b == pytest.approx(np.quantile(pdf.y, 0.7))
 
 
+def test_a_narrow_range_is_cut_until_few_rows_are_left(spark, monkeypatch):
+    """Values like time stamps all fall into one slot; it is cut by their own range."""
+    monkeypatch.setattr(selection, "SLOT_ROWS", 500)
+    stamps = 1.7e12 + np.random.default_rng(2).integers(0, 40_000_000, 20_000).astype(float)
+    stamps[:7000] = 1.7e12 + 777
+    df = spark.createDataFrame(pd.DataFrame({"k": "hot", "x": stamps}))
+    assert df.select(slot(F.col("x"))).distinct().count() == 1
+    seen = []
+    keep = selection.materialize
+    monkeypatch.setattr(selection, "materialize", lambda t: seen.append(keep(t)) or seen[-1])
+    got = quantiles(df, ["k"], {f"q{i}": ("x", q) for i, q in enumerate(QS)}).first()
+    assert [got[f"q{i}"] for i in range(len(QS))] == np.quantile(stamps, QS).tolist()
+    last = seen[-1].where("__slot_lo < __slot_hi").agg(F.max("__c")).first()[0]
+    assert len(seen) == 2 and last < 500
+
+
+def test_running_count_does_not_hold_a_group_in_one_task(spark):
+    values = 1.7e12 + np.random.default_rng(4).permutation(6000)
+    runs = spark.createDataFrame(pd.DataFrame({"k": "hot", "v": values, "c": 2}))
+    got = running_count(runs, ["k"], "v", "c", "upto").orderBy("v").toPandas()
+    assert got.upto.tolist() == (2 * np.arange(1, 6001)).tolist()
+
+
 def test_slot_never_decreases(spark):
     xs = sorted([*np.geomspace(1e-300, 1e300, 400), *-np.geomspace(1e-300, 1e300, 400), 0.0, 1.0, float("inf"), float("-inf")])
     df = spark.createDataFrame([(float(x),) for x in xs], "x double").select("x", slot(F.col("x")).alias("s"))
@@ -59,7 +81,7 @@ def test_slot_never_decreases(spark):
 
 
 @pytest.mark.parametrize("n_bins", [3, 10])
-def test_equal_count_bins_are_ntile(spark, large, n_bins):
+def test_equal_count_bins_are_ntile(spark, n_bins):
     df = spark.createDataFrame(uneven(2000)).cache()
     got = equal_count_bins(df, n_bins, ["k"], "x", "id").select("id", "bin_id")
     want = df.withColumn("want", F.ntile(n_bins).over(Window.partitionBy("k").orderBy("x", "id"))).select("id", "want")
@@ -68,7 +90,7 @@ def test_equal_count_bins_are_ntile(spark, large, n_bins):
     assert joined.where(F.col("bin_id") != F.col("want")).count() == 0
 
 
-def test_equal_count_bins_seven_in_three(spark, large):
+def test_equal_count_bins_seven_in_three(spark):
     df = spark.createDataFrame([("g", float(i), i) for i in range(1, 8)], "k string, x double, id bigint")
     got = equal_count_bins(df, 3, ["k"], "x", "id").orderBy("id").collect()
     assert [r.bin_id for r in got] == [1, 1, 1, 2, 2, 3, 3]
