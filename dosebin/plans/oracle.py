@@ -80,17 +80,13 @@ def bootstrap(name, source, keys, value="norm_psmad2", n_boot=N_BOOT, seed=SEED)
     group = f"{keys}, bin_id"
     c = [f"(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT) & 268435455)" for i in range(4)]
     return f"""
-{name}_rows AS (SELECT {group}, {value} AS x,
-    row_number() OVER (PARTITION BY {group} ORDER BY {value}) - 1 AS pos,
-    count(*) OVER (PARTITION BY {group}) AS n FROM {source}),
+{name}_bins AS (SELECT {group}, list({value} ORDER BY {value}) AS xs, count(*) AS n FROM {source} GROUP BY {group}),
 {name}_reps AS (SELECT *, md5('{seed}|' || concat_ws('|', {group}) || '|' || b) AS h
-  FROM (SELECT DISTINCT {group}, n FROM {name}_rows), (SELECT unnest(range(1, {n_boot} + 1)) AS b)),
+  FROM {name}_bins, (SELECT unnest(range(1, {n_boot} + 1)) AS b)),
 {name}_coef AS (SELECT *, {c[0]} AS c0, {c[1]} AS c1, {c[2]} AS c2, {c[3]} AS c3 FROM {name}_reps),
-{name}_draws AS (SELECT {group}, b,
-    ((((((c3 * i + c2) % {PRIME}) * i + c1) % {PRIME}) * i + c0) % {PRIME} * n) >> 31 AS pos
-  FROM (SELECT *, unnest(range(n)) AS i FROM {name}_coef)),
-{name}_stats AS (SELECT {group}, b, avg(x) AS m, median(x) AS md, any_value(n) AS n
-  FROM {name}_draws JOIN {name}_rows USING ({group}, pos) GROUP BY {group}, b),
+{name}_draws AS (SELECT {group}, n, list_transform(range(n), lambda i:
+    xs[1 + (((((((c3 * i + c2) % {PRIME}) * i + c1) % {PRIME}) * i + c0) % {PRIME} * n) >> 31)]) AS drawn FROM {name}_coef),
+{name}_stats AS (SELECT {group}, list_avg(drawn) AS m, list_median(drawn) AS md, n FROM {name}_draws),
 {name} AS (SELECT {group}, avg(m) AS mean_{value}, quantile_cont(m, 0.025) AS mean_{value}_low,
     quantile_cont(m, 0.975) AS mean_{value}_high, avg(md) AS median_{value},
     quantile_cont(md, 0.025) AS median_{value}_low, quantile_cont(md, 0.975) AS median_{value}_high,
