@@ -112,4 +112,33 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
 }
-ORACLE: dict[str, str] = {}
+
+def _sql_words(column: str) -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"regexp_extract_all(translate(coalesce({column}, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+# Operators without fitted models, tokenizers or keyed hashes.
+ORACLE: dict[str, str] = {
+    "op3_decontamination": f"""
+WITH w AS (SELECT doc_id, {_sql_words('text')} AS ws FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_sql_words('text')} AS ws FROM benchmark),
+sized AS (SELECT *, least(10, len(ws)) AS n FROM items WHERE len(ws) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS t
+  FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM sized)),
+grams AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS t
+  FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM w JOIN (SELECT DISTINCT n FROM windows) ON len(ws) >= n)),
+hits AS (SELECT doc_id, n, i, item FROM grams JOIN windows USING (n, t)),
+words AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS these FROM hits GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(these), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(these, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op10_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(x, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to, true AS intact FROM d""",
+}
