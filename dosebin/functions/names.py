@@ -20,6 +20,23 @@ __all__ = [
     "suffixed_dose",
 ]
 
+# Fixed values of the sample names: codes and marks, and the labels they stand for.
+DOX_CODES = {"pD": "+dox", "mD": "-dox"}
+LIGAND_CODES = {"T": "TGFB1", "G": "GDF11"}
+NO_LIGAND_CODE, NO_LIGAND = "mC", "No Cyto"
+GATE_MARK, OTHER_GATE = "DAPI", "Singlet"
+UNKNOWN, UNKNOWN_LEGACY = "Error", "error"
+DOSE_PATTERN = "^[0-9.]+[TG]$"
+LEGACY_DOSE_PATTERN = "(?<=_).*?(?=[TG])"
+
+
+def _label(codes: dict[str, str], holds, other: str) -> Column:
+    """Label of the first code that holds."""
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for code, label in codes.items():
+        out = out.when(holds(code), label)
+    return out.otherwise(other)
+
 
 def strip_extension(name: Column) -> Column:
     return F.regexp_replace(name, r"\.csv$", "")
@@ -36,7 +53,7 @@ def sample_of_path(path: Column) -> Column:
 
 
 def gate_label(name: Column) -> Column:
-    return F.when(name.contains("DAPI"), "DAPI").otherwise("Singlet")
+    return F.when(name.contains(GATE_MARK), GATE_MARK).otherwise(OTHER_GATE)
 
 
 def name_field(name: Column, index: int) -> Column:
@@ -45,26 +62,21 @@ def name_field(name: Column, index: int) -> Column:
 
 
 def dox_label(field: Column) -> Column:
-    return F.when(field == "pD", "+dox").when(field == "mD", "-dox").otherwise("Error")
+    return _label(DOX_CODES, lambda code: field == code, UNKNOWN)
 
 
 def ligand_conc(field: Column) -> Column:
     """Dose in ng/ml: 0 without ligand, -1 when the field is not a dose."""
     dose = F.regexp_replace(field, "[TG]$", "").try_cast("double")
     return (
-        F.when(field == "mC", F.lit(0.0))
-        .when(field.rlike("^[0-9.]+[TG]$"), dose)
+        F.when(field == NO_LIGAND_CODE, F.lit(0.0))
+        .when(field.rlike(DOSE_PATTERN), dose)
         .otherwise(F.lit(-1.0))
     )
 
 
 def ligand_label(field: Column) -> Column:
-    return (
-        F.when(field.contains("T"), "TGFB1")
-        .when(field.contains("G"), "GDF11")
-        .when(field.contains("mC"), "No Cyto")
-        .otherwise("Error")
-    )
+    return _label({**LIGAND_CODES, NO_LIGAND_CODE: NO_LIGAND}, field.contains, UNKNOWN)
 
 
 def replicate_number(field: Column) -> Column:
@@ -76,12 +88,11 @@ def legacy_cell_line(name: Column) -> Column:
 
 
 def legacy_ligand(name: Column) -> Column:
-    last = F.substring(name, -1, 1)
-    return F.when(last == "T", "TGFB1").when(last == "G", "GDF11").otherwise("error")
+    return _label(LIGAND_CODES, name.endswith, UNKNOWN_LEGACY)
 
 
 def legacy_conc(name: Column) -> Column:
-    return F.regexp_substr(name, F.lit("(?<=_).*?(?=[TG])")).try_cast("double")
+    return F.regexp_substr(name, F.lit(LEGACY_DOSE_PATTERN)).try_cast("double")
 
 
 def suffixed_dose(field: Column, suffix: str) -> Column:

@@ -2,28 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-# Columns of a cleaned single-ligand cell table.
-CELL_SCHEMA = T.StructType(
-    [
-        T.StructField("sample", T.StringType()),
-        T.StructField("cell_line", T.StringType()),
-        T.StructField("dox", T.StringType()),
-        T.StructField("ligand", T.StringType()),
-        T.StructField("ligand_conc", T.DoubleType()),
-        T.StructField("replicate", T.IntegerType()),
-        T.StructField("gate", T.StringType()),
-        T.StructField("fsc_a", T.DoubleType()),
-        T.StructField("ha", T.DoubleType()),
-        T.StructField("psmad2", T.DoubleType()),
-        T.StructField("smad2", T.DoubleType()),
-        T.StructField("dapi", T.DoubleType()),
-        T.StructField("norm_psmad2", T.DoubleType()),
-        T.StructField("experiment", T.StringType()),
-    ]
-)
-
 # Channel name prefix in the export -> analyte column.
 FIVE_LASER = {"B1-A": "ha", "YG1-A": "psmad2", "R2-A": "smad2", "UV7-A": "dapi"}
 FIVE_LASER_NO_DAPI = {"B1-A": "ha", "YG1-A": "psmad2", "R2-A": "smad2"}
