@@ -47,6 +47,7 @@ class Encoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
+        self.letters: set[str] = set()
         self.lower = self._ignores_case()
         self.ends = self._word_ends(json.loads(vocabulary)["model"].get("end_of_word_suffix"), size)
 
@@ -67,6 +68,17 @@ class Encoder:
             ends[i] = token.endswith(suffix)
         return ends
 
+    def _only_letters(self, stem: bytes) -> bool:
+        """Whether a stem is letters that stay letters when normalized; some become letter and mark."""
+        text = stem.decode()
+        if not text.isalpha():
+            return False
+        for c in () if self.letters.issuperset(text) else set(text).difference(self.letters):
+            if self.tokenizer.normalizer and not self.tokenizer.normalizer.normalize_str(c).isalpha():
+                return False
+            self.letters.add(c)
+        return True
+
     def _learn(self, words: list[bytes]) -> None:
         known = self.known
         if len(known) + len(words) > CACHED_WORDS:
@@ -74,7 +86,7 @@ class Encoder:
         cut, letters, others = [], set(), set()
         for w in words:
             stem = w.rstrip(MARKS)
-            if stem.decode().isalpha():
+            if self._only_letters(stem):
                 letters.add(stem)
                 if len(stem) < len(w):
                     others.add(w[len(stem) :])

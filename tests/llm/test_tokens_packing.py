@@ -39,6 +39,19 @@ def test_encoding_is_that_of_the_library(tokenizer, odd_rows, monkeypatch):
     assert [np.frombuffer(d, "<u2").tolist() for d in encode.Encoder(vocabulary).encode(texts)] == want
 
 
+def test_letters_that_normalize_to_letter_and_mark(tokenizer):
+    parted = [
+        0x130, *range(0x958, 0x960), 0x9DC, 0x9DD, 0x9DF, 0xA33, 0xA36, 0xA59, 0xA5A, 0xA5B, 0xA5E, 0xB5C, 0xB5D, 0xF43, 0xF4D, 0xF52,
+        0xF57, 0xF5C, 0xF69, 0xFB1D, 0xFB1F, *range(0xFB2A, 0xFB37), 0xFB38, 0xFB39, 0xFB3A, 0xFB3B, 0xFB3C, 0xFB3E, 0xFB40, 0xFB41,
+        0xFB43, 0xFB44, *range(0xFB46, 0xFB4F),
+    ]
+    texts = [f"a{chr(c)}{m}" for c in parted for m in ("", ",", "...", "_", "b,")] + ["ÉTÉ, été. Σ! 한, एक।"]
+    encoder = encode.Encoder(queries.vocabulary())
+    got = [np.frombuffer(d, "<u2").tolist() for d in encoder.encode(texts)]
+    assert len(parted) == 60 and got == [direct(tokenizer, t, 0)[:-1] for t in texts]
+    assert [encoder._only_letters(s.encode()) for s in ("a", "été", "a\u0130", "क़", "a1", "")] == [True, True, False, False, False, False]
+
+
 def test_op1_against_direct_encoding(spark, folder, table, tokenizer):
     got = sorted(map(tuple, queries.op1_token_files(spark, folder).collect()))
     start, want = 0, []
