@@ -217,9 +217,29 @@ def fit(graphs: list[Graph], rounds: int = 200, rate: float = 0.3, penalty: floa
     return Model(node, chain, float(skip))
 
 
+def _levels(edges: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Most links before each edge's first token and after its second, all links going forward."""
+    before, after = [0] * n, [0] * n
+    for a, b in edges[np.argsort(edges[:, 1], kind="stable")].tolist():
+        before[b] = max(before[b], before[a] + 1)
+    for a, b in edges[np.argsort(-edges[:, 0], kind="stable")].tolist():
+        after[a] = max(after[a], after[b] + 1)
+    return np.array(before, int)[edges[:, 0]], np.array(after, int)[edges[:, 1]]
+
+
+def _grouped(level: np.ndarray) -> list[np.ndarray]:
+    """Positions of each level, the lowest first."""
+    order = np.argsort(level, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(level[order])) + 1) if len(order) else []
+
+
 def marginals(model: Model, graphs: list[Graph], most: int = 25, enough: float = 1e-3) -> list[np.ndarray]:
-    """Label probabilities of each graph's tokens by damped loopy sum-product messages.
+    """Label probabilities of each graph's tokens by loopy sum-product messages.
 
+    A sweep sends messages from the first token to the last and back, each after those it
+    depends on, so evidence passes any number of links at once.  Sweeps go on until the
+    messages of the graph itself change by less than ``enough``; they are damped after ``most``.
+    Only loops can keep a graph from that; it ends after ``most`` and two sweeps a token.
     All graphs are passed together; base labels are evidence.
     """
     sizes = [len(g.spans) for g in graphs]
@@ -236,23 +256,30 @@ def marginals(model: Model, graphs: list[Graph], most: int = 25, enough: float =
     phi = phi + np.where(has_left[:, None], 0, model.chain[OUT]) + np.where(has_right[:, None], 0, model.chain[:, OUT])
     phi[y < OUT] += np.where(np.eye(OUT + 1)[y[y < OUT]] > 0, 0.0, -1e3)
     edges = np.r_[c, s]
+    n = len(edges)
     psi = np.concatenate([np.repeat(model.chain[None], len(c), 0), np.repeat(model.skip * np.eye(OUT + 1)[None], len(s), 0)])
     source, target = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
     pair = np.concatenate([psi, psi.transpose(0, 2, 1)])  # message, source label, target label
-    back = np.r_[np.arange(len(edges)) + len(edges), np.arange(len(edges))]
-    sent = np.zeros((len(source), OUT + 1))
-    belief = phi
-    for _ in range(most if len(source) else 0):
-        z = (belief[source] - sent[back])[:, :, None] + pair
-        top = z.max(1)
-        new = top + np.log(np.exp(z - top[:, None]).sum(1))
-        new -= new.max(1, keepdims=True)
-        change = float(np.abs(new - sent).max())
-        sent = 0.5 * sent + 0.5 * new
-        belief = phi.copy()
-        np.add.at(belief, target, sent)
-        if change < enough:
-            break
+    back = np.r_[np.arange(n) + n, np.arange(n)]
+    owner = np.repeat(np.arange(len(graphs)), sizes)[source]
+    before, after = _levels(edges, len(y))
+    groups = _grouped(before) + [g + n for g in _grouped(after)]
+    sent, belief = np.zeros((2 * n, OUT + 1)), phi.copy()
+    ends, sweep = most + 2 * np.array(sizes), 0
+    while groups:
+        change = np.zeros(len(graphs))
+        for g in groups:
+            z = (belief[source[g]] - sent[back[g]])[:, :, None] + pair[g]
+            top = z.max(1)
+            new = top + np.log(np.exp(z - top[:, None]).sum(1))
+            new -= new.max(1, keepdims=True)
+            step = (new - sent[g]) * (1.0 if sweep < most else 0.5)
+            np.maximum.at(change, owner[g], np.abs(step).max(1))
+            sent[g] += step
+            np.add.at(belief, target[g], step)
+        sweep += 1
+        going = (change >= enough) & (sweep < ends)
+        groups = [g for g in (g[going[owner[g]]] for g in groups) if len(g)]
     p = np.exp(belief - belief.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
     return [p[a:b] for a, b in zip(at[:-1], at[1:])]

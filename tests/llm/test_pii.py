@@ -78,6 +78,19 @@ def test_messages_are_exact_on_trees():
     assert np.allclose(got[1], want, atol=1e-5) and np.allclose(got[2], want, atol=1e-5) and len(got[0]) == 0
 
 
+def test_evidence_reaches_every_repeat():
+    model = pii.Model(np.zeros((1 << pii.BITS, 5)), np.zeros((5, 5)), 7.0)
+    n = 60
+    g = pii.Graph([(0, 1)] * n, [3] + [4] * (n - 1), [[0] * 8] * n, [], [(i, i + 1) for i in range(n - 1)])
+    keep = np.exp(7.0) / (np.exp(7.0) + 4)  # a link's labels agree
+    want = 0.2 + 0.8 * (keep - (1 - keep) / 4) ** np.arange(n)
+    for many in ([g], [pii.Graph([], [], [], [], []), g, g]):
+        got = pii.marginals(model, many)[-1]
+        assert np.allclose(got[:, 3], want, atol=1e-3) and (got[:, 3] > pii.SURE * 0.8).all()
+    ring = g._replace(skip=[*g.skip, (0, n - 1)], labels=[3] + [4] * (n - 1))
+    assert (pii.marginals(model, [ring])[0].argmax(1) == 3).all()
+
+
 def test_distant_mentions_are_found_and_clean_text_is_left(model):
     text = "call +1 (017) 555-7713 today. " + "some words go here " * 50 + "or (017) 555-7713 later"
     spans = pii.find_spans(model, [text])[0]
