@@ -84,20 +84,36 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return np.unique(bins, return_inverse=True)[1].reshape(-1)
 
 
-def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int, patience: int = 8) -> np.ndarray:
+def _sums(lengths: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+    """Ascending sums of one or two of ``own``, each once with documents that have it; one is preferred to two."""
+    by_length: dict[int, list[int]] = {}
+    for i in own.tolist():
+        by_length.setdefault(int(lengths[i]), []).append(i)
+    found: dict[int, tuple[int, ...]] = {n: (some[0],) for n, some in by_length.items()}
+    sizes = sorted(by_length)  # few: different lengths of one bin
+    for x, n in enumerate(sizes):
+        if len(by_length[n]) > 1:
+            found.setdefault(2 * n, tuple(by_length[n][:2]))
+        for m in sizes[x + 1 :]:
+            found.setdefault(n + m, (by_length[n][0], by_length[m][0]))
+    sums = sorted(found)
+    return np.array(sums, np.int64), [found[s] for s in sums]
+
+
+def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
     """Exchange documents between underfull bins until no bin can be emptied.
 
     One bin at a time gives, the emptiest first.  The most that another, at least as full
-    bin can gain by a move, a one-for-one or a two-for-one exchange is done first; every
-    exchange makes the squared fill grow, so this ends.  It stops when the bins are as few as the sum
-    of lengths allows, or when ``patience`` bins in turn could not be emptied.
+    bin can gain by a move, a one-for-one or a two-for-one exchange of any of their documents
+    is done first; every exchange makes the squared fill grow, so this ends.  It stops when the bins
+    are as few as the sum of lengths allows, or when every underfull bin was tried since one was emptied.
     """
     lengths, bins = lengths.astype(np.int64), bins.copy()
     fill = np.bincount(bins, weights=lengths).astype(np.int64)
     fewest = -(-int(lengths.sum()) // capacity)
     given: set[int] = set()
-    while (fill > 0).sum() > fewest and len(given) < patience:
-        live = [b for b in np.argsort(fill, kind="stable").tolist() if fill[b] > 0 and b not in given]
+    while (fill > 0).sum() > fewest:
+        live = [b for b in np.argsort(fill, kind="stable").tolist() if 0 < fill[b] < capacity and b not in given]
         if not live:
             break
         giver = live[0]
@@ -114,14 +130,12 @@ def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int, patience: int
                     best = (int(lengths[i]), ((i,), None, int(fit[np.argmin(gap[fit])])))
             if best[1] is None and len(open_):
                 theirs, room = lengths[open_], gap[bins[open_]]
-                groups = [(i,) for i in own.tolist()]
-                groups += [(i, j) for x, i in enumerate(own[:48].tolist()) for j in own[x + 1 : 48].tolist()]
-                for g in groups:
-                    gain = int(lengths[list(g)].sum()) - theirs
-                    gain = np.where((gain > 0) & (gain <= room), gain, 0)
-                    k = int(np.argmax(gain))
-                    if gain[k] > best[0]:
-                        best = (int(gain[k]), (g, int(open_[k]), int(bins[open_[k]])))
+                sums, groups = _sums(lengths, own)
+                most = np.searchsorted(sums, theirs + room, "right") - 1  # the largest sum that fits
+                gain = np.where(most >= 0, sums[most] - theirs, 0)
+                k = int(np.argmax(gain))
+                if gain[k] > 0:
+                    best = (int(gain[k]), (groups[most[k]], int(open_[k]), int(bins[open_[k]])))
             if best[1] is None:
                 given.add(giver)
                 break
@@ -131,6 +145,8 @@ def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int, patience: int
                 bins[back] = giver
             fill[taker] += best[0]
             fill[giver] -= best[0]
+        else:
+            given.clear()
     return bins
 
 

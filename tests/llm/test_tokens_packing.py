@@ -142,3 +142,18 @@ def test_exchanges_empty_a_bin():
         fill = np.bincount(after, weights=x)
         assert fill.max() <= 100 and fill.sum() == x.sum() and (fill > 0).sum() <= before.max() + 1
         assert (fill**2).sum() >= (np.bincount(before, weights=x) ** 2).sum()
+
+
+def test_pairs_of_any_documents_and_every_underfull_bin():
+    # The pair that frees the giver is past its first 48 documents: 7 + 8 for the other bin's 14.
+    lengths = np.array([2] * 60 + [7, 8] + [986, 14] + [864])
+    bins = np.array([0] * 62 + [1, 1] + [2])
+    sums, groups = packing._sums(lengths, np.flatnonzero(bins == 0))
+    assert 15 in sums.tolist() and set(groups[sums.tolist().index(15)]) == {60, 61}
+    # Ten bins can give nothing; the fuller ones after them can be emptied.
+    hard = [501] * 10
+    x = np.array([*hard, 600, 700, 300, 400])
+    b = np.array([*range(10), 10, 11, 12, 12])
+    done = packing.improve(x, b, 1000)
+    fill = np.bincount(done, weights=x)
+    assert fill.max() <= 1000 and (fill > 0).sum() == 12 and fill.sum() == x.sum()
