@@ -638,6 +638,8 @@ add("rebinned_after_band", analysed(TRIMMED + "," + trim("band", "trimmed", "exp
 _LEGACY = "experiment, ligand, cell_line, ligand_conc"
 add("grouped_legacy_analysis", analysed(TRIMMED, "trimmed", "cell_line = 'Luc'", "experiment, ligand", "experiment, ligand", _LEGACY,
     "experiment, ligand, ligand_conc", n=8, qs=0.75), result(_LEGACY, *_ALL))
+add("grouped_legacy_intervals", analysed(TRIMMED, "trimmed", "cell_line = 'Luc'", "experiment, ligand", "experiment, ligand", _LEGACY,
+    "experiment, ligand, ligand_conc", n=8, qs=0.75, boot=True), result(_LEGACY, *_SIX))
 add("minimum_slice", _EDGES, f"""SELECT {cols(SUMMARY_KEYS)}, bin_id, {d('bin_lo')}, {d('bin_hi')}, {d('mean_norm_psmad2')},
   {d('median_norm_psmad2')}, n_cells FROM single JOIN bin_edges USING ({BIN_KEYS}, old_bin)""")
 ORACLE["tree_to_bootstrapped_bins"] = ORACLE["single_ligand_analysis"]

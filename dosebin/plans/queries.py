@@ -1048,6 +1048,14 @@ def grouped_legacy_analysis(spark, folder):
     return out.select(*S.SUMMARY_KEYS_LEGACY, "bin_id", MEAN, "median_norm_psmad2", "n_cells")
 
 
+@query
+def grouped_legacy_intervals(spark, folder):
+    """Gate and bins of ``grouped_legacy_analysis``, resampled."""
+    g = gates.control_gate(trimmed(spark, folder), F.col("cell_line") == "Luc", 0.75, 0.1, ["experiment", "ligand"])
+    boot = A.summarise(binning.equal_width_bins(g, 8, S.BIN_KEYS_LEGACY), LEGACY)
+    return boot.select(*LEGACY.summary_keys, "bin_id", *INTERVALS, "n_cells")
+
+
 @query
 def legacy_analysis(spark, folder):
     """Gate against the control line at dose 0 per (experiment, ligand); dose 0 goes by the name of TGFB1."""

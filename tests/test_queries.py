@@ -42,6 +42,10 @@ def test_query_matches_sql(spark, con, folder, name):
     same(spark, con, folder, name)
 
 
+def test_any_dose_legacy_gate_has_intervals(spark, con, folder):
+    same(spark, con, folder, "grouped_legacy_intervals")
+
+
 def test_every_query_has_sql():
     assert set(Q.QUERIES) == set(ORACLE)
 
