@@ -86,7 +86,7 @@ class Encoder:
         cut, letters, others = [], set(), set()
         for w in words:
             stem = w.rstrip(MARKS)
-            if self._only_letters(stem):
+            if stem.isalpha() or self._only_letters(stem):  # bytes: ASCII letters
                 letters.add(stem)
                 if len(stem) < len(w):
                     others.add(w[len(stem) :])
