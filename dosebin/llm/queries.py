@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import ann, decontam, langid, packing, pii, quality, sharding, simhash, tokens, warc
+from . import ann, decontam, langid, packing, pieces, pii, quality, sharding, simhash, tokens, warc
 from .samples import remainder
 
 KEPT_SCORE = 0.3
 WORDS_49K = "word_bpe_49k.json"
+PIECES_32K = "piece_bpe_32k.model"
 
 
 def vocabulary() -> str:
@@ -100,6 +101,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.model_bytes(public_tokenizers.path(PIECES_32K))
+    coded = pieces.encode(read_table(spark, sf_dir, "documents"), model, keep=["doc_id"])
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256")
+    rows = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest, "ids")
+    back = pieces.decode(rows, model, keep=["doc_id", "n_tokens", "ids_sha256"])
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_language": op2_language,
@@ -111,6 +121,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
+    "op13_pieces": op13_pieces,
 }
 
 def _sql_words(column: str) -> str:
