@@ -30,6 +30,7 @@ KEPT_UNITS = 500_000
 KEPT_LENGTH = 64
 KEPT_PAIRS = 1_000_000
 ROWS = 64
+NEVER = float("-inf")
 _CODERS: dict[str, Coder] = {}
 
 
@@ -101,6 +102,7 @@ class Coder:
                 self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         self._follow()
+        self.ends: dict[int, tuple | None] = {}
         self.units, self.pairs = Store(KEPT_UNITS), Store(KEPT_PAIRS)
 
     def _shorter(self, piece: str) -> int:
@@ -121,9 +123,12 @@ class Coder:
             raise ValueError("every character of a piece must be a piece itself")
         self.single = np.array([-1, *map(self.ids.__getitem__, known)], np.int32)
 
-    def merged(self, text: str) -> list[str]:
-        """Pieces left when adjacent ones are merged, best score first, the leftmost of equals; for short texts."""
-        parts = list(text)
+    def _merges(self, text: str) -> tuple[list[str], list[tuple[float, str | None, str | None]]]:
+        """Pieces left when adjacent ones are merged, best score first, the leftmost of equals; for short texts.
+
+        And of each merge in order its score, and the first and the last part if it uses them up.
+        """
+        parts, done = list(text), []
         scores = self.scores
         while len(parts) > 1:
             best, at = None, -1
@@ -133,13 +138,48 @@ class Coder:
                     best, at = score, i
             if best is None:
                 break
+            done.append((best, None if at else parts[0], parts[-1] if at == len(parts) - 2 else None))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        return parts, done
+
+    def merged(self, text: str) -> list[str]:
+        return self._merges(text)[0]
+
+    def _ends(self, piece: int) -> tuple[list[tuple[str, float]], list[tuple[str, float]]] | None:
+        """First parts and last parts of a piece while its characters merge, each with the score at which it is used up.
+
+        None if merging doesn't give the piece, or not by ever lower scores.
+        """
+        if piece not in self.ends:
+            text, found = self.text[piece], None
+            parts, done = self._merges(text)
+            if parts == [text] and all(x[0] > y[0] for x, y in zip(done, done[1:])):
+                found = tuple([*((m[side], m[0]) for m in done if m[side] is not None), (text, NEVER)] for side in (1, 2))
+            self.ends[piece] = found
+        return self.ends[piece]
+
+    def _fit(self, before: int, piece: int) -> bool:
+        left, right = self._ends(before), self._ends(piece)
+        if left and right:
+            # The parts at the border grow while scores fall; a merge across it must never be the best one.
+            i = j = 0
+            while True:
+                (x, x_ends), (y, y_ends) = left[1][i], right[0][j]
+                next_one = max(x_ends, y_ends)
+                across = self.scores.get(x + y)
+                if across is not None and across > next_one:
+                    return False
+                if next_one == NEVER:
+                    return True
+                if across == next_one or x_ends == y_ends:
+                    break  # places decide between equal scores
+                i, j = (i + 1, j) if x_ends > y_ends else (i, j + 1)
+        pair = [self.text[before], self.text[piece]]
+        return self.merged("".join(pair)) == pair
 
     def fits(self, before: int, piece: int) -> bool:
         """Whether merging gives these two pieces for the text of both; ``before`` is -1 at the start."""
-        pair = [self.text[piece]] if before < 0 else [self.text[before], self.text[piece]]
-        found = self.merged("".join(pair)) == pair
+        found = self._fit(before, piece) if before >= 0 else self.merged(self.text[piece]) == [self.text[piece]]
         self.pairs.put((before + 1) * len(self.text) + piece, found)
         return found
 
