@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import ann, decontam, langid, packing, pieces, pii, quality, sharding, simhash, tokens, warc
+from . import ann, decontam, divergence, langid, packing, phrases, pieces, pii, quality, sharding, simhash, tokens, warc
 from .samples import remainder
 
 KEPT_SCORE = 0.3
@@ -101,6 +101,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"), top_terms=200, least_docs=3)
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.model_bytes(public_tokenizers.path(PIECES_32K))
     coded = pieces.encode(read_table(spark, sf_dir, "documents"), model, keep=["doc_id"])
@@ -121,12 +129,22 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
+    "op11_collocations": op11_collocations,
+    "op12_divergence": op12_divergence,
     "op13_pieces": op13_pieces,
 }
 
-def _sql_words(column: str) -> str:
+def _sql_lower(column: str) -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return rf"regexp_extract_all(translate(coalesce({column}, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"translate(coalesce({column}, ''), '{upper}', '{lower}')"
+
+
+def _sql_words(column: str) -> str:
+    return rf"regexp_extract_all({_sql_lower(column)}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _sql_share(n: str, total: str) -> str:
+    return f"CAST(1 + (1000000000::HUGEINT * ({n} + 1)) // ({total}) AS HUGEINT)"
 
 
 # Operators without fitted models, tokenizers or keyed hashes.
@@ -152,4 +170,39 @@ SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lamb
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(x, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
   CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> last THEN last END AS refers_to, true AS intact FROM d""",
+    "op11_collocations": rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all({_sql_lower('text')}, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(ws) - m + 2)) AS i
+  FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(ws) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS n FROM grams GROUP BY ALL HAVING count(*) >= 100),
+parted AS (SELECT lang, m, phrase, n, string_split(phrase, ' ') AS ws FROM f),
+longer AS (SELECT lang, array_to_string(ws[b:e], ' ') AS phrase, max(n) AS longer
+  FROM (SELECT *, unnest([1, 2]) AS b, b + m - 2 AS e FROM parted WHERE m > 2) GROUP BY ALL),
+kept AS (SELECT p.* FROM parted p LEFT JOIN longer USING (lang, phrase) WHERE m > 1 AND coalesce(100 * longer < 100 * n, true)),
+cuts AS (SELECT *, array_to_string(ws[:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+scored AS (SELECT c.lang, c.phrase, c.n AS a, k, lf.n AS l, rt.n AS r, t.n, (1000::HUGEINT * c.n * t.n) // (lf.n::HUGEINT * rt.n) AS score
+  FROM cuts c JOIN f lf ON lf.lang = c.lang AND lf.phrase = x JOIN f rt ON rt.lang = c.lang AND rt.phrase = y JOIN totals t ON t.lang = c.lang),
+worst AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM worst WHERE cut = 1)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000""",
+    "op12_divergence": rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+  regexp_extract_all({_sql_lower('text')}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS (SELECT lang, source, id, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS group_n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, term, coalesce(n, 0) AS n, {_sql_share('coalesce(n, 0)', 'group_n + v')} AS p, {_sql_share('total', 'lang_n + v')} AS q
+  FROM g JOIN langs USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+found AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS r FROM found)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR r <= 200""",
 }
