@@ -4,8 +4,10 @@ An item's window is ``min_words`` consecutive words of it, or, for an item with
 the share ``coverage`` of its words (all of them by default).  The automaton of all
 items is walked with a document's words; at each word it gives the longest suffix read
 that occurs in an item, and so every window that ends there.  Words inside an
-occurrence are hit.  Automata are built over at most BLOCK_WORDS item words; a larger
-test set is split into blocks that each scan the documents, and results are united.
+occurrence are hit.  Automata are built over at most BLOCK_WORDS item words.  A larger test
+set is stored in blocks of that size: a task reads the blocks one after another from the shared
+folder, scans what documents it holds with each, and unites the runs.  The test set is neither
+on the driver nor whole in any task.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,7 @@ from . import files
 
 BLOCK_WORDS = 100_000
 PART_WORDS = 10_000
+CHUNK_BYTES = 16 << 20  # of texts that are scanned with a block at a time
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 # Everything that WORD leaves out becomes a space; upper-case ASCII letters become lower-case.
 _TABLE = bytes(32 if re.match(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", bytes([b])) else bytes([b]).lower()[0] for b in range(256))
@@ -124,9 +129,59 @@ class Automaton:
         return runs, items
 
 
-def item_blocks(
-    benchmark: DataFrame, min_words: int, coverage: float, item_col: str, text_col: str
-) -> Iterator[list[tuple[str, list[bytes], int]]]:
+class Items:
+    """The stored blocks of a test set; holds the automaton of one of them at a time."""
+
+    def __init__(self, folder: str, blocks: int):
+        self.folder, self.blocks = folder, blocks
+        self.held, self.now = -1, None
+
+    def automaton(self, block: int) -> Automaton:
+        if self.held != block:
+            self.now = None  # before the next one is built
+            system, path = files.filesystem(f"{self.folder}/block={block}")
+            rows = []
+            if system.get_file_info(path).type == fs.FileType.Directory:
+                rows = ds.dataset(path, filesystem=system, format="parquet").to_table(["item", "words", "need"]).to_pylist()
+            self.now, self.held = Automaton([(r["item"], r["words"].encode().split(b" "), r["need"]) for r in rows]), block
+        return self.now
+
+    def scan(self, texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[str]]]:
+        """Of each list of words the runs of hit words (first, last) and the items with occurring windows."""
+        found = [self.automaton(0).scan(words) for words in texts]
+        for block in range(1, self.blocks):
+            automaton = self.automaton(block)
+            for k, words in enumerate(texts):
+                runs, items = automaton.scan(words)
+                if items:
+                    found[k] = united(found[k][0] + runs), found[k][1] | items
+        return found
+
+
+def united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(runs):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(last, out[-1][1])
+        else:
+            out.append((first, last))
+    return out
+
+
+def _chunks(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, some texts of about CHUNK_BYTES at a time."""
+    size, first = 0, 0
+    for k, text in enumerate(texts):
+        size += len(text.as_buffer()) if text.is_valid else 0
+        if size > CHUNK_BYTES:
+            yield batch.slice(first, k + 1 - first)
+            size, first = 0, k + 1
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
+def store_items(benchmark: DataFrame, min_words: int, coverage: float, item_col: str, text_col: str) -> Items:
     """Items in blocks of about BLOCK_WORDS words; long items are cut with overlaps.
 
     A null item id counts as the empty string; items without words have no window.
@@ -153,22 +208,9 @@ def item_blocks(
     parts = files.written(items.mapInArrow(cut, "item string, words string, need int, n int"), folder, "items")
     total = parts.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_WORDS))
-    for b in range(blocks):
-        rows = parts.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b).collect()
-        yield [(r["item"], r["words"].encode().split(b" "), r["need"]) for r in rows]
-
-
-def _scanner(spark, items):
-    """A function from words to runs and items; each worker builds the automaton once per task."""
-    sent = spark.sparkContext.broadcast(items)
-    built: list[Automaton] = []
-
-    def scan(words: list[bytes]):
-        if not built:
-            built.append(Automaton(sent.value))
-        return built[0].scan(words)
-
-    return scan
+    block = F.pmod(F.xxhash64("item", "words"), F.lit(blocks)).cast("int")
+    parts.withColumn("block", block).write.partitionBy("block").parquet(f"{folder}/blocks")
+    return Items(f"{folder}/blocks", blocks)
 
 
 def find(
@@ -187,48 +229,20 @@ def find(
     ids as strings.  Every row of ``docs`` gives a row: null and empty texts have no words.
     An empty test set hits nothing.
     """
-    spark = docs.sparkSession
-    blocks = list(item_blocks(benchmark, min_words, coverage, item_col, item_text_col))
+    items = store_items(benchmark, min_words, coverage, item_col, item_text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
-    def scanning(items, scan):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n, runs, found = [], [], []
-                for text in batch.column("text"):
-                    words = words_of(text.as_py())
-                    r, s = scan(words)
-                    n.append(len(words))
-                    runs.append([{"first": a, "last": b} for a, b in r])
-                    found.append(sorted(s))
-                kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-                columns = [pa.array(n, pa.int64()), pa.array(runs, kind), pa.array(found, pa.list_(pa.string()))]
-                kept = [c for c in batch.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *columns], [*kept, "n_words", "runs", "items"])
-
-        return run
-
-    if len(blocks) == 1:
-        return rows.mapInArrow(scanning(blocks[0], _scanner(spark, blocks[0])), FOUND)
-    folder = files.new_folder(spark, "decontam")
-    rows = files.written(rows.withColumn("uid", F.monotonically_increasing_id()), folder, "texts").select("doc_id", "uid", "text")
-    schema = FOUND.replace("doc_id long", "doc_id long, uid long")
-    scans = [rows.mapInArrow(scanning(b, _scanner(spark, b)), schema) for b in blocks]
-    united = scans[0]
-    for more in scans[1:]:
-        united = united.unionByName(more.where(F.size("items") > 0))
-    merged = united.groupBy("uid").agg(  # at most one row per block
-        F.max("doc_id").alias("doc_id"),
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-    )
-    # Runs in order of their first word: one that starts after all before it opens a new one.
-    step = """aggregate(runs, cast(array() as array<struct<first:bigint,last:bigint>>), (a, r) ->
-        case when size(a) = 0 or r.first > element_at(a, -1).last + 1 then a || array(r)
-        else slice(a, 1, size(a) - 1) || array(named_struct('first', element_at(a, -1).first,
-             'last', greatest(element_at(a, -1).last, r.last))) end)"""
-    return merged.select("doc_id", "n_words", F.expr(step).alias("runs"), "items")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in _chunks(batch, batch.column(1)):
+                texts = [words_of(t) for t in some.column(1).to_pylist()]
+                found = items.scan(texts)
+                runs = [[{"first": a, "last": b} for a, b in r] for r, _ in found]
+                columns = [pa.array(map(len, texts), pa.int64()), pa.array(runs, kind), pa.array([sorted(s) for _, s in found], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([some.column(0), *columns], ["doc_id", "n_words", "runs", "items"])
+
+    return rows.mapInArrow(run, FOUND)
 
 
 def hit_words(runs: str = "runs"):
@@ -236,27 +250,32 @@ def hit_words(runs: str = "runs"):
     return F.aggregate(runs, F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"] + 1)
 
 
-def cut_runs(text: str, scans) -> tuple[str, int]:
-    """``text`` without its hit words, and how many words went.
+def cut_runs(text: str, runs: list[tuple[int, int]]) -> str:
+    """``text`` without the words of disjoint runs in order, and without what lies between the words of a run."""
+    data = text.encode()
+    ends = [m.span() for m in WORD.finditer(data.lower())]
+    kept, at = [], 0
+    for a, b in runs:
+        kept.append(data[at : ends[a][0]])
+        at = ends[b][1]
+    return b"".join([*kept, data[at:]]).decode()
 
-    Cutting brings words together that were apart, so it is done again until nothing is hit.
+
+def cut_texts(texts: list[str | None], items: Items) -> list[tuple[str | None, int]]:
+    """Texts without hit words, and how many words went.
+
+    Cutting brings words together that were apart, so the texts that changed are scanned again until nothing
+    is hit.  Every round takes at least a window from each of them, so there are no more rounds than windows in a text.
     """
-    gone = 0
-    while True:
-        data = text.encode()
-        words = words_of(text)
-        hit = sorted(r for scan in scans for r in scan(words)[0])
-        if not hit:
-            return text, gone
-        ends = [m.span() for m in WORD.finditer(data.lower())]
-        kept, at, upto = [], 0, -1
-        for a, b in hit:
-            if b <= upto:
-                continue
-            a = max(a, upto + 1)
-            kept.append(data[at : ends[a][0]])
-            at, upto, gone = ends[b][1], b, gone + b - a + 1
-        text = b"".join([*kept, data[at:]]).decode()
+    out: list[tuple[str | None, int]] = [(t, 0) for t in texts]
+    open_ = [k for k, t in enumerate(texts) if t]
+    while open_:
+        found = items.scan([words_of(out[k][0]) for k in open_])
+        hit = [(k, runs) for k, (runs, _) in zip(open_, found) if runs]
+        for k, runs in hit:
+            out[k] = cut_runs(out[k][0], runs), out[k][1] + sum(b - a + 1 for a, b in runs)
+        open_ = [k for k, _ in hit]
+    return out
 
 
 def decontaminate(
@@ -272,22 +291,20 @@ def decontaminate(
     """``docs`` with hit spans cut out of the texts, all columns kept.
 
     A document of which more than ``most_hit`` of the words went is removed.  Documents
-    without a hit come back unchanged, null and empty texts too.  All blocks of the test
-    set are applied to a text at once, so cutting is complete for each document.
+    without a hit come back unchanged, null and empty texts too.  A text is cut by the runs of all
+    blocks of the test set at once, and again until it holds no window of any.
     """
-    spark = docs.sparkSession
-    scans = [_scanner(spark, b) for b in item_blocks(benchmark, min_words, coverage, item_col, item_text_col)]
+    items = store_items(benchmark, min_words, coverage, item_col, item_text_col)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep = [], []
-            for text in batch.column(at).to_pylist():
-                cut, gone = cut_runs(text, scans) if text else (text, 0)
-                texts.append(cut)
-                keep.append(not gone or gone <= most_hit * len(words_of(text)))
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+            for some in _chunks(batch, batch.column(at)):
+                texts = some.column(at).to_pylist()
+                cut = cut_texts(texts, items)
+                keep = [not gone or gone <= most_hit * len(words_of(t)) for t, (_, gone) in zip(texts, cut)]
+                columns = list(some.columns)
+                columns[at] = pa.array([t for t, _ in cut], batch.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

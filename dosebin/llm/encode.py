@@ -1,7 +1,9 @@
 """Whole texts to token ids, with each distinct word encoded once per worker.
 
 The vocabulary's pattern never joins characters over white space, and a run of
-letters is one unit of its own, so a text's ids are those of its words in order.
+letters is one unit of its own, so a text's ids are those of its words in order.  Where
+the pattern also parts ASCII letters and digits from marks, words are cut there first, so that
+only words without their marks have to be known.
 """
 
 from __future__ import annotations
@@ -10,17 +12,21 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 JOINED_WORDS = 200
 SLICE_BYTES = 1 << 20
 SPACE = re.compile(rb"[ \n\t\r]")
 # Marks that end a word's letters and start a unit of their own, whatever follows; the
 # apostrophe and the signs of special tokens and of combined characters are not among them.
 MARKS = b".,;:!?*#$%&()[]{}\"/\\+-_@"
+BETWEEN = b"\xff"  # in no text
+# 1 for ASCII letters and digits, 2 for marks: a place between the two is where words are cut.
+KIND = np.array([1 if chr(b).isalnum() and b < 128 else 2 if b in MARKS else 0 for b in range(256)], np.uint8)
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -47,8 +53,10 @@ class Encoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.letters: set[str] = set()
         self.lower = self._ignores_case()
+        self.parts_marks = self._parts_marks()
         self.ends = self._word_ends(json.loads(vocabulary)["model"].get("end_of_word_suffix"), size)
 
     def _ignores_case(self) -> bool:
@@ -59,6 +67,11 @@ class Encoder:
             for w in words
         )
 
+    def _parts_marks(self) -> bool:
+        """Whether marks are units apart from ASCII letters and digits on both sides."""
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        return all(ids(a + m + a) == ids(a) + ids(m) + ids(a) for m in MARKS.decode() for a in ("a", "re", "7"))
+
     def _word_ends(self, suffix: str | None, size: int) -> np.ndarray | None:
         """Which ids end a word; None if the vocabulary doesn't tell."""
         if not suffix:
@@ -79,63 +92,89 @@ class Encoder:
             self.letters.add(c)
         return True
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: set[bytes]) -> None:
+        """Make all ``words`` known.  Of the store's two generations the older is forgotten when the young one is full."""
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.older = {}, self.known
         known = self.known
-        if len(known) + len(words) > CACHED_WORDS:
-            known.clear()
+        words = words.difference(known)
+        if self.older and words:
+            again = words.intersection(self.older)
+            known.update(zip(again, map(self.older.__getitem__, again)))
+            words -= again
         cut, letters, others = [], set(), set()
         for w in words:
+            if w.isalpha():  # ASCII letters
+                letters.add(w)
+                continue
             stem = w.rstrip(MARKS)
-            if stem.isalpha() or self._only_letters(stem):  # bytes: ASCII letters
+            if self._only_letters(stem):
                 letters.add(stem)
                 if len(stem) < len(w):
                     others.add(w[len(stem) :])
                     cut.append((w, stem, w[len(stem) :]))
             else:
                 others.add(w)
-        alone = [p for p in others if p not in known]
-        letters = [p for p in letters if p not in known]
-        for i in range(0, len(letters), JOINED_WORDS):
-            some = letters[i : i + JOINED_WORDS]
-            if self.ends is None or not self._learn_line(some):
-                alone += some
+        joined = [] if self.ends is None else list(letters.difference(known))
+        alone = self._learn_lines([joined[i : i + JOINED_WORDS] for i in range(0, len(joined), JOINED_WORDS)])
+        alone += (others if self.ends is not None else others | letters).difference(known)
         for i in range(0, len(alone), 20_000):
             some = alone[i : i + 20_000]
             codes = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-            for p, c in zip(some, codes):
-                known[p] = np.array(c.ids, self.dtype).tobytes()
+            known.update((p, array(self.dtype.char, c.ids).tobytes()) for p, c in zip(some, codes))
         for w, stem, marks in cut:
             known[w] = known[stem] + known[marks]
 
-    def _learn_line(self, words: list[bytes]) -> bool:
-        """Encode words of letters as one line and part its ids where words end."""
-        code = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0]
-        ids = np.array(code.ids, self.dtype)
-        stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
-        if len(stops) != len(words):
-            return False
-        data = ids.tobytes()
-        self.known.update((w, data[a:b]) for w, a, b in zip(words, [0, *stops], stops))
-        return True
+    def _learn_lines(self, lines: list[list[bytes]]) -> list[bytes]:
+        """Encode words of letters, many as one line, and part its ids where words end; returns the words of lines where that fails."""
+        failed = []
+        for words, code in zip(lines, self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False)):
+            ids = np.array(code.ids, self.dtype)
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
+            if len(stops) != len(words):
+                failed += words
+                continue
+            data = ids.tobytes()
+            self.known.update((w, data[a:b]) for w, a, b in zip(words, [0, *stops], stops))
+        return failed
+
+    def _parted(self, data: bytes) -> bytes:
+        """A space between ASCII letters or digits and marks."""
+        held = np.frombuffer(data, np.uint8)
+        kind = KIND[held]
+        at = np.flatnonzero(kind[:-1] + kind[1:] == 3) + 1
+        return np.insert(held, at, 32).tobytes() if len(at) else data
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as the bytes of little-endian ``self.dtype``; null is empty."""
-        out = []
-        for text in texts:
+        out: list[list[bytes]] = []
+        plain: list[tuple[int, bytes]] = []  # slices without a sign of special tokens
+        size = 0
+
+        def flush(some: list[tuple[int, bytes]], part: bool) -> None:
+            data = BETWEEN.join(x[1] for x in some)
+            words = [x.split() for x in (self._parted(data) if part else data).split(BETWEEN)]
+            self._learn(set().union(*words))
+            for (k, _), w in zip(some, words):
+                out[k].append(b"".join(map(self.known.__getitem__, w)))
+
+        for k, text in enumerate(texts):
+            out.append([])
             data = (text or "").encode()
-            if self.lower and b"<|" not in data:
-                data = data.lower()
-            parts = []
-            for piece in slices(data):
-                words = piece.split()
-                new = set(words).difference(self.known)
-                if new:
-                    self._learn(list(new))
-                    if not self.known.keys() >= set(words):  # the store was emptied meanwhile
-                        self._learn([w for w in set(words) if w not in self.known])
-                parts.append(b"".join(map(self.known.__getitem__, words)))
-            out.append(parts[0] if len(parts) == 1 else b"".join(parts))
-        return out
+            special = b"<|" in data
+            if special:
+                for piece in slices(data):
+                    flush([(k, piece)], False)
+                continue
+            for piece in slices(data.lower() if self.lower else data):
+                plain.append((k, piece))
+                size += len(piece)
+                if size > SLICE_BYTES:
+                    flush(plain, self.parts_marks)
+                    plain, size = [], 0
+        if plain:
+            flush(plain, self.parts_marks)
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
 
 def encoder(vocabulary: str) -> Encoder:

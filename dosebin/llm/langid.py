@@ -26,7 +26,7 @@ RUN = 3
 SAMPLE_ROWS = 2000
 AMBIGUOUS = 0.1
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # and some signs, such as fractions and Roman numerals
 # Bytes below 128 that are no letters are word ends, and so are their runs.
 _LETTERS = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
 
@@ -55,6 +55,10 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
     return best[1]
 
 
+def has_letter(text: str | None) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text or ""))
+
+
 def shares(text: str | None) -> np.ndarray:
     """Square roots of the shares of hashed n-grams (1 to RUN bytes) of a whole text; zeros if it has none."""
     counts = np.zeros(1 << BITS, np.int64)
@@ -121,7 +125,7 @@ def train(
         for batch in batches:
             kept, found = [], []
             for k, text in enumerate(batch.column("text")):
-                if LETTER.search(text.as_py() or ""):
+                if has_letter(text.as_py()):
                     kept.append(k)
                     found.append(shares(text.as_py()).astype(np.float16).tobytes())
             some = batch.take(pa.array(kept, pa.int64()))
@@ -152,7 +156,7 @@ def with_language(docs: DataFrame, model: Model | None, text_col: str = "text",
             name, score, doubt = np.full(n, UNKNOWN, object), np.zeros(n), np.ones(n, bool)
             for i in range(0, n if m else 0, 256):
                 texts = batch.column("__text").slice(i, 256).to_pylist()
-                has = np.array([bool(t and LETTER.search(t)) for t in texts])
+                has = np.array([has_letter(t) for t in texts])
                 if has.any():
                     best, s, d = decode(m, np.array([shares(t) for t, h in zip(texts, has) if h]))
                     at = i + np.flatnonzero(has)

@@ -34,6 +34,81 @@ def test_op6_held_out_accuracy(spark, larger):
     assert (good[:, None] > bad[None]).mean() > 0.97
 
 
+def plain_shares(text):
+    """N-grams counted one by one from a list of bytes."""
+    letters, word_end = [32], True
+    for b in (text or "").lower().encode():
+        letter = b >= 128 or 97 <= b <= 122
+        if letter or not word_end:
+            letters.append(b if letter else 32)
+        word_end = not letter
+    if not word_end:
+        letters.append(32)
+    counts = np.zeros(1 << langid.BITS)
+    for k in range(1, langid.RUN + 1):
+        for i in range(len(letters) - k + 1):
+            h = 0
+            for b in letters[i : i + k]:
+                h = ((h * 0x01000193 & 0xFFFFFFFF) ^ b) * 0x9E3779B1 & 0xFFFFFFFF
+            counts[h >> (32 - langid.BITS)] += 1
+    return np.sqrt(counts / max(1, counts.sum()))
+
+
+def test_op2_against_plain_counts_and_a_search_of_all_codewords(spark, folder, table):
+    model = langid.train(spark.read.parquet(f"{folder}/documents.parquet"))
+    got = {r.doc_id: r for r in queries.op2_language(spark, folder).collect()}
+    for r in table("documents")[:60]:
+        x = plain_shares(r["text"])
+        assert np.abs(langid.shares(r["text"]) - x).max() < 1e-6
+        bits = [sum(x[i] * float(model.weights[i, b]) for i in np.flatnonzero(x)) + float(model.bias[b]) for b in range(model.codes.shape[1])]
+        losses = []
+        for code, trust in zip(model.codes.tolist(), model.trust.tolist()):
+            losses.append(sum(t * np.log1p(np.exp(-c * b)) for t, c, b in zip(trust, code, bits)))
+        best = int(np.argmin(losses))
+        odds = [np.exp(-(v - losses[best]) * len(bits)) for v in losses]
+        if r["text"] and any(c.isalpha() for c in r["text"]):
+            assert got[r["doc_id"]].lang_pred == model.languages[best]
+            assert got[r["doc_id"]].score == pytest.approx(1 / sum(odds), abs=1e-4)
+            assert got[r["doc_id"]].ambiguous == (sorted(losses)[1] - losses[best] < langid.AMBIGUOUS)
+
+
+def test_signs_that_are_no_letters(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["½", "²", "Ⅷ", "①", "_ 12", "½ a", "漢"])], "doc_id long, text string")
+    model = langid.Model(["en", "fr"], langid.codewords(2), np.ones((2, 1)), np.zeros((1 << langid.BITS, 1)), np.zeros(1))
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.with_language(docs, model).collect()}
+    assert [found[i] for i in range(5)] == [("und", 0.0)] * 5 and found[5][0] == found[6][0] == "en"
+
+
+def test_quality_updates_against_single_weights():
+    """Follow the regularised leader, one weight at a time, in plain Python."""
+    r = np.random.default_rng(2)
+    rows = [(r.integers(0, 12, int(r.integers(1, 9))).astype(np.uint32), int(r.random() < 0.4)) for _ in range(40)]
+    model = quality.fit(rows, 0.4, epochs=2, alpha=0.5, beta=1.0, l1=1e-3, l2=1e-2, scale=3.0, seed=7)
+    z, n, zb, nb = [0.0] * 12, [0.0] * 12, 0.0, 0.0
+    ones = sum(y for _, y in rows)
+    order = np.random.default_rng(7)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= 1e-3 else -(z[i] - np.sign(z[i]) * 1e-3) / ((1.0 + n[i] ** 0.5) / 0.5 + 1e-2)
+
+    def bias():
+        return -zb / ((1.0 + nb**0.5) / 0.5)
+
+    for _ in range(2):
+        for k in order.permutation(40).tolist():
+            x, y = rows[k]
+            value = {int(i): 3.0 * x.tolist().count(i) / len(x) for i in x}
+            p = 1 / (1 + np.exp(-sum(v * weight(i) for i, v in value.items()) - bias()))
+            g = (p - y) * 20 / (ones if y else 40 - ones)
+            for i, v in value.items():
+                w, new = weight(i), n[i] + (g * v) ** 2
+                z[i] += g * v - (new**0.5 - n[i] ** 0.5) / 0.5 * w
+                n[i] = new
+            zb, nb = zb + g - ((nb + g * g) ** 0.5 - nb**0.5) / 0.5 * bias(), nb + g * g
+    assert model.weights[:12] == pytest.approx([3.0 * weight(i) for i in range(12)], rel=1e-5, abs=1e-7)
+    assert model.bias == pytest.approx(bias()) and np.count_nonzero(model.weights) <= 12
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 5, 6, 12, 40):
         code = langid.codewords(n)

@@ -76,6 +76,11 @@ def test_odd_rows_in_one_block_and_many(spark, odd, odd_rows, items, none, monke
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 300)
     monkeypatch.setattr(decontam, "PART_WORDS", 50)
     assert got() == want
+    stored = decontam.store_items(items, 10, 1.0, "item_id", "text")
+    assert stored.blocks > 8 and stored.now is None  # the driver has read none
+    sizes = [len(stored.automaton(b).vocabulary) for b in range(stored.blocks)]
+    whole = [stored.automaton(b) for b in range(stored.blocks)]
+    assert max(len(a.link) for a in whole) < 4 * 300 and len(sizes) == stored.blocks and stored.held == stored.blocks - 1
     assert decontam.find(none, items).count() == 0
     assert decontam.find(odd, items.limit(0)).where("size(runs) > 0").count() == 0
 
@@ -93,3 +98,22 @@ def test_cut_texts_hold_no_window(spark, items):
     assert set(got) == {1, 2, 4, 5, 6} and got[1] == rows[0][1] and got[4] is None and got[5] == ""
     assert decontam.find(cut, items).where("size(runs) > 0").count() == 0
     assert len(words(got[2])) >= 150 and "silver" not in got[6] and got[6].count("x") == 60
+
+
+def test_blocks_cut_as_one(spark, items, monkeypatch):
+    """Cutting until nothing is hit, with one block and many, in chunks of single texts; rounds are few."""
+    leak = prose(6, 3000).split()
+    texts = [" ".join([*leak[k : k + 5], *leak[k + 900 : k + 930], *leak[k + 5 : k + 12], "end"]) for k in range(0, 60, 7)] + [None, "", "silver window"]
+    docs = spark.createDataFrame([row(k, t) for k, t in enumerate(texts)], SCHEMA)
+    one = {r.doc_id: r.text for r in decontam.decontaminate(docs, items, most_hit=1.0).collect()}
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 200)
+    monkeypatch.setattr(decontam, "PART_WORDS", 40)
+    monkeypatch.setattr(decontam, "CHUNK_BYTES", 10)
+    assert {r.doc_id: r.text for r in decontam.decontaminate(docs, items, most_hit=1.0).collect()} == one
+    assert one[0].strip() == "end"  # the two ends met when the middle went, and went too
+    stored, scans = decontam.store_items(items, 10, 1.0, "item_id", "text"), []
+    real = stored.scan
+    stored.scan = lambda t: scans.append(len(t)) or real(t)
+    decontam.cut_texts(texts, stored)
+    assert len(scans) == 3 and scans[0] == len([t for t in texts if t])
+    assert decontam.united([(5, 6), (0, 1), (2, 3), (5, 9), (11, 12)]) == [(0, 3), (5, 9), (11, 12)]

@@ -1,5 +1,6 @@
 """Token files and packing against direct encoding; sequences and their fill."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -33,10 +34,28 @@ def test_encoding_is_that_of_the_library(tokenizer, odd_rows, monkeypatch):
     want = [direct(tokenizer, t, 0)[:-1] for t in texts]
     vocabulary = queries.vocabulary()
     assert [np.frombuffer(d, "<u2").tolist() for d in encode.Encoder(vocabulary).encode(texts)] == want
-    monkeypatch.setattr(encode, "CACHED_WORDS", 30)  # emptied again and again
+    monkeypatch.setattr(encode, "CACHED_WORDS", 30)  # forgotten again and again
     monkeypatch.setattr(encode, "SLICE_BYTES", 100)
     monkeypatch.setattr(encode, "slices", lambda d, most=100, f=encode.slices: f(d, most))
-    assert [np.frombuffer(d, "<u2").tolist() for d in encode.Encoder(vocabulary).encode(texts)] == want
+    small = encode.Encoder(vocabulary)
+    assert [np.frombuffer(d, "<u2").tolist() for d in small.encode(texts)] == want
+    assert [np.frombuffer(small.encode([t])[0], "<u2").tolist() for t in texts] == want and small.older
+
+
+def test_random_strings(tokenizer):
+    """Marks, composed and decomposed letters, contractions, special tokens, in one batch and alone."""
+    r = random.Random(11)
+    pools = [
+        "ab ,.\n  '", "the of 's 't 're ,.;:!? \t é", "x", "0123 abc.,;:!?<>/s'\"=+", "漢字かなカナ한국어 ,.", "😀👍🏽éàß́क़ ,.a",
+        [chr(c) for c in range(0x300)], [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000],
+        "a,.'s 'S'ReE=+̸̧́;`", ["<|endoftext|>", "<|", "a", ",", " ", "'s"], [*encode.MARKS.decode(), "a", "7", " ", "é", "'"],
+    ]
+    texts = ["".join(r.choice(pools[k % len(pools)]) for _ in range(r.randint(0, 40))) for k in range(20_000)]
+    encoder = encode.Encoder(queries.vocabulary())
+    assert encoder.parts_marks and encoder.lower
+    got = [d for i in range(0, len(texts), 64) for d in encoder.encode(texts[i : i + 64])]
+    want = tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(d, "<u2").tolist() for d in got] == [w.ids for w in want]
 
 
 def test_letters_that_normalize_to_letter_and_mark(tokenizer):
