@@ -90,11 +90,8 @@ def equal_count_bins(
     """
     rows = complete_rows(df, [column])
 
-    def start(j: int):
-        base = lambda n: F.floor(n / n_bins)
-        return lambda n: base(n) * j + F.least(F.lit(j), n - base(n) * n_bins)
-
-    cuts = [Position(str(j), column, start(j)) for j in range(1, n_bins)]
+    base = f"floor(__n / {n_bins})"
+    cuts = [Position(str(j), column, f"{base} * {j} + least({j}, __n - {base} * {n_bins})") for j in range(1, n_bins)]
     at = materialize(select_positions(rows, keys, cuts))
 
     split = at.where(F.col("run_offset") > 0).select(
@@ -133,34 +130,10 @@ def equal_count_bins(
 
 
 def _kth_tie(run: DataFrame, keys: list[str]) -> DataFrame:
-    """Tie-break value at ``run_offset`` within each run of equal values.
-
-    The tie-break is an integer wider than a double's mantissa, so it is selected
-    in two digits: high part first, then the low part among equal high parts.
-    """
-    base = 1 << 30
-    digits = run.withColumn("__hi", F.floor(F.col("__tie") / base)).withColumn(
-        "__lo", F.col("__tie") - F.floor(F.col("__tie") / base) * base
-    )
-    high = _at_offset(digits, keys, "__hi", "run_offset").withColumnRenamed("value", "__hi")
-    low_rows = attach(
-        digits.drop("run_offset"),
-        high.withColumn("__hi", F.col("__hi").cast("bigint")),
-        [*keys, "__hi"],
-    )
-    low = _at_offset(low_rows, [*keys, "__hi"], "__lo", "run_offset")
-    return low.select(
-        *keys, (F.col("__hi") * base + F.col("value").cast("bigint")).alias("__tie")
-    )
-
-
-def _at_offset(df: DataFrame, keys: list[str], column: str, offset: str) -> DataFrame:
-    """Value at the position held in column ``offset`` (one per group), with what is left of it."""
-    group = [*keys, "__want"]
-    found = select_positions(
-        df.withColumn("__want", F.col(offset)), group, [Position("k", column, lambda n: F.col("__want"))]
-    )
-    return found.select(*keys, "value", F.col("run_offset").alias(offset))
+    """Tie-break value at ``run_offset`` within each run of equal values."""
+    group = [*keys, "run_offset"]
+    found = select_positions(run, group, [Position("k", "__tie", "run_offset")], "bigint")
+    return found.select(*keys, F.col("value").alias("__tie"))
 
 
 def renumber_bins(df: DataFrame, keys: list[str], order: str = "bin_id") -> DataFrame:

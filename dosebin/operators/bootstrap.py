@@ -1,92 +1,168 @@
 """Bootstrap mean and median with percentile intervals, per condition and bin.
 
-Each replicate draws as many cells as the bin holds, with replacement.  Draws are
-positions in the bin's sorted values, taken from a keyed polynomial hash of the draw's
-number, so they depend on seed, bin, replicate and size of the bin alone: not on row
-order, partitions or the way the work is cut.
-
-Sorted values are cut into slices of ``slice_cells`` positions.  A bin of one slice is
-resampled by one task.  For a larger bin, draws are made in chunks, once to count how
-many each slice gets and once to send their positions to the slice, where they meet its
-values for a few replicates at a time.  Sums add up over the slices, and the median lies
-in a slice known from the counts.  Equal values are combined before the shuffle, so a
-repeated value costs one row per slice it fills.
+Each replicate draws as many cells as the bin holds, with replacement.  A bin's sorted
+values are cut into blocks of ``block_cells`` positions, and a binary tree over the blocks
+splits the draws of every replicate: of the draws of a node as many fall into its left
+half as a binomial variable says, down to one block, whose draws are positions in it.
+Splits and positions come from a keyed polynomial hash, with a key for each replicate and
+node, so they depend on seed, bin, replicate, size of the bin and of the blocks alone:
+not on row order, partitions or the way the work is cut.
+
+A task holds a slice of whole blocks.  A bin of one slice is resampled by one task.  For
+a larger bin the tree is walked first, which needs no values; its counts, one number per
+replicate and block, are all that meets the values of a slice, and each slice draws for
+itself.  Sums add up over the slices, and the median lies in a block known from the
+counts.  Equal values are combined before the shuffle, so a repeated value costs one row
+per slice it fills.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import schema as S
 from ..session import attach, materialize
+from .poisson import poisson_replicates
 from .selection import running_count
 
 PRIME = (1 << 31) - 1
-BLOCK = 1 << 16
-DRAWS_PER_TASK = 200_000_000
-SLICE_CELLS = 1_000_000
-CHUNK_DRAWS = 4_000_000
-DRAWS_AT_ONCE = 16_000_000
-MOST_CELLS = PRIME
-
-
-def _coefficients(key: str, seed: int, replicates: np.ndarray) -> np.ndarray:
-    """Four 28-bit hash coefficients per replicate: the 32-bit words of md5 of seed|key|replicate."""
-    start = hashlib.md5(f"{seed}|{key}|".encode())
-    digests = []
-    for b in replicates.tolist():
-        md5 = start.copy()
-        md5.update(str(b).encode())
-        digests.append(md5.digest())
-    words = np.frombuffer(b"".join(digests), dtype=">u4").astype(np.int64)
-    return words.reshape(-1, 4) & ((1 << 28) - 1)
-
-
-def _draws(coef: np.ndarray, n_draws: int, n_cells: int, start: int = 0) -> np.ndarray:
-    """Positions drawn by each replicate: cubic hash of the draw number, scaled to the bin.
-
-    Reduction modulo 2^31 - 1 folds the high bits onto the low ones.
+FIRST = 500_000_003  # numbers that are hashed begin here: small ones would show that coefficients are under 2^28
+HASHED_AT_ONCE = 1 << 16
+DRAWS_PER_TASK = 50_000_000
+BLOCK_CELLS = 1 << 16
+SLICE_CELLS = 1 << 18
+BITS = 30  # of a hash that serve as coins
+STEP = 1 << 25  # hashes for each digit of a split; coins for 10^9 draws at least
+DIGITS = 48  # of a binomial's probability; a draw that they leave open is one of 10^14
+SPLIT_DRAWS = 1_000_000_000
+
+
+def _coefficients(texts: list[str]) -> np.ndarray:
+    """Four 28-bit hash coefficients per key text: the 32-bit words of its md5."""
+    digests = b"".join(hashlib.md5(t.encode()).digest() for t in texts)
+    return np.frombuffer(digests, dtype=">u4").astype(np.int64).reshape(-1, 4) & ((1 << 28) - 1)
+
+
+def _hash(coef: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Cubic polynomials of the numbers ``z`` (under 2^31) modulo 2^31 - 1, a row per row of coefficients.
+
+    The powers of the numbers are reduced once for all rows, so a value stays under 2^61 and needs one
+    reduction, which folds the high bits onto the low ones.
     """
-    z = np.arange(start, start + n_draws, dtype=np.int64)[None, :]
-    h = np.repeat(coef[:, 3:4], n_draws, axis=1)
-    high = np.empty_like(h)
-    for i in (2, 1, 0):
-        h *= z
-        h += coef[:, i : i + 1]
-        np.right_shift(h, 31, out=high)
-        h &= PRIME
-        h += high
-    np.right_shift(h, 31, out=high)
+    squares = z * z % PRIME
+    h = coef[:, 3:4] * (squares * z % PRIME)
+    more = coef[:, 2:3] * squares
+    h += more
+    np.multiply(coef[:, 1:2], z, out=more)
+    h += more
+    h += coef[:, :1]
+    np.right_shift(h, 31, out=more)
     h &= PRIME
-    h += high
-    h -= (h >= PRIME) * PRIME
-    h *= n_cells
-    h >>= 31
+    h += more
+    np.multiply(h >= PRIME, PRIME, out=more)
+    h -= more
     return h
 
 
-def _resample_bin(values: np.ndarray, counts: np.ndarray, key: str, seed: int, n_boot: int):
-    """Sums and middle order statistics of the replicates of a whole bin."""
-    cells = np.repeat(values, counts)
-    n = len(cells)
-    sums, mid_lo, mid_hi = np.empty(n_boot), np.empty(n_boot), np.empty(n_boot)
-    step = max(1, BLOCK // n)
-    for at in range(0, n_boot, step):
-        rows = slice(at, min(at + step, n_boot))
-        coef = _coefficients(key, seed, np.arange(rows.start, rows.stop) + 1)
-        drawn = _draws(coef, n, n)
-        sums[rows] = cells[drawn].sum(axis=1)
-        ranked = np.sort(drawn.astype(np.int32), axis=1)
-        mid_lo[rows] = cells[ranked[:, (n - 1) // 2]]
-        mid_hi[rows] = cells[ranked[:, n // 2]]
-    return sums, mid_lo, mid_hi
+def _coins(coef: np.ndarray, n: np.ndarray, digit: int) -> np.ndarray:
+    """Of ``n[r]`` fair coins of each row, how many show one."""
+    ones = np.zeros(len(n), np.int64)
+    words = -(-int(n.max()) // BITS)
+    step = max(1, HASHED_AT_ONCE * 4 // len(n))
+    for at in range(0, words, step):
+        j = np.arange(at, min(at + step, words))
+        shown = np.clip(n[:, None] - BITS * j, 0, BITS)
+        h = _hash(coef, FIRST + digit * STEP + j) & ((1 << shown) - 1)
+        ones += np.bitwise_count(h).sum(axis=1, dtype=np.int64)
+    return ones
+
+
+def _left(texts: list[str], n: np.ndarray, left: int, size: int) -> np.ndarray:
+    """Binomial counts: of ``n[r]`` draws from ``size`` positions, how many are among the first ``left``.
+
+    A draw is a random number of unknown digits: it is compared with left / size digit by digit,
+    where one coin each tells whether it is settled, so half of the open draws are left each time.
+    """
+    done = np.zeros(len(n), np.int64)
+    for part in range(-(-int(n.max()) // SPLIT_DRAWS) if len(n) else 0):
+        coef = _coefficients([f"{t}|{part}" for t in texts] if part else texts)
+        open_ = np.clip(n - part * SPLIT_DRAWS, 0, SPLIT_DRAWS)
+        rest, digit = left, 0
+        while rest and digit < DIGITS and open_.any():
+            ones = _coins(coef, open_, digit)
+            rest, digit = 2 * rest, digit + 1
+            if rest >= size:
+                rest -= size
+                done += open_ - ones
+                open_ = ones
+            else:
+                open_ = open_ - ones
+    return done
+
+
+def block_counts(n_cells: int, block_cells: int, texts: list[str]) -> np.ndarray:
+    """Draws of each replicate (row) that fall into each block of a bin."""
+    blocks = -(-n_cells // block_cells)
+    counts = np.zeros((len(texts), blocks), np.int64)
+    nodes = [(0, blocks, np.full(len(texts), n_cells, np.int64))]
+    while nodes:
+        i, j, n = nodes.pop()
+        if j - i == 1:
+            counts[:, i] = n
+            continue
+        middle, size = (i + j) // 2, min(n_cells, j * block_cells) - i * block_cells
+        first = _left([f"{t}|{i}|{j}" for t in texts], n, (middle - i) * block_cells, size)
+        nodes += [(i, middle, first), (middle, j, n - first)]
+    return counts
+
+
+def _block_texts(texts: list[str], block: int, blocks: int) -> list[str]:
+    return texts if blocks == 1 else [f"{t}|{block}|{block + 1}" for t in texts]
+
+
+def _resample(cells: np.ndarray, first: int, counts: np.ndarray, before: np.ndarray, n_cells: int, block_cells: int, texts: list[str]):
+    """Sums and middle order statistics of the replicates' draws from a slice.
+
+    ``cells`` are the sorted values of the slice's blocks, ``first`` is the number of the first one,
+    ``counts`` the draws of each replicate in each, ``before`` those in the blocks before the slice.
+    A middle value that lies in another slice is NaN.
+    """
+    blocks = -(-n_cells // block_cells)
+    sums = np.zeros(len(texts))
+    middle = [np.full(len(texts), np.nan), np.full(len(texts), np.nan)]
+    ranks = [(n_cells - 1) // 2, n_cells // 2]
+    before = before.copy()
+    for k in range(counts.shape[1]):
+        held = np.append(cells[k * block_cells : (k + 1) * block_cells], 0.0)  # the last one pads
+        size, names, most = len(held) - 1, _block_texts(texts, first + k, blocks), counts[:, k]
+        step = max(1, HASHED_AT_ONCE // max(1, int(most.max())))
+        for at in range(0, len(texts), step):
+            rows = slice(at, min(at + step, len(texts)))
+            n = most[rows]
+            z = np.arange(int(n.max()))
+            drawn = _hash(_coefficients(names[rows]), FIRST + z)
+            drawn *= size
+            drawn >>= 31
+            if n.min() < len(z):
+                drawn[z >= n[:, None]] = size
+            sums[rows] += held[drawn].sum(axis=1)
+            own = [rank - before[rows] for rank in ranks]
+            here = np.flatnonzero(np.any([(0 <= x) & (x < n) for x in own], axis=0))
+            if len(here):
+                ranked = np.sort(drawn[here].astype(np.int32), axis=1)
+                for x, found in zip(own, middle):
+                    inside = (0 <= x[here]) & (x[here] < n[here])
+                    found[at + here[inside]] = held[ranked[inside, x[here][inside]]]
+        before += most
+    return sums, *middle
 
 
 def _key_text(keys: list[str]) -> Column:
@@ -100,31 +176,39 @@ def bootstrap_replicates(
     n_boot: int = 1000,
     seed: int = 0,
     slice_cells: int = SLICE_CELLS,
+    block_cells: int = BLOCK_CELLS,
+    mode: str = "exact",
+    row_id: str = "cell_id",
 ) -> DataFrame:
     """One row per condition, bin and replicate: keys, ``bin_id``, ``replicate_no``,
     ``boot_mean``, ``boot_median``, ``n_cells``.
 
-    A bin of more than MOST_CELLS cells has more positions than the hash and raises.
+    ``slice_cells`` is what a task holds at once, in whole blocks; it changes no number.  ``block_cells``
+    is part of the tree: other blocks are other draws.  With ``mode="poisson"`` cells get random weights by
+    their ``row_id`` instead of being drawn, see ``poisson``.
     """
+    if mode == "poisson":
+        return poisson_replicates(binned, keys, value, n_boot, seed, row_id, _key_text, _coefficients)
+    if mode != "exact":
+        raise ValueError("mode must be 'exact' or 'poisson'")
     spark = binned.sparkSession
     group = [*keys, "bin_id"]
     cells = binned.where(
         F.col("bin_id").isNotNull() & F.col(value).isNotNull() & ~F.isnan(value)
     ).select(*group, F.col(value).cast("double").alias("__x"))
-    runs = cells.groupBy(*group, "__x").agg(F.count(F.lit(1)).alias("__c"))
-    sizes = materialize(cells.groupBy(*group).agg(F.count(F.lit(1)).alias("n_cells")))
+    runs = materialize(cells.groupBy(*group, "__x").agg(F.count(F.lit(1)).alias("__c")))
+    sizes = materialize(runs.groupBy(*group).agg(F.sum("__c").alias("n_cells")))
     seen = sizes.agg(F.max("n_cells").alias("top"), F.sum("n_cells").alias("all")).first()
-    if (seen["top"] or 0) > MOST_CELLS:
-        raise ValueError(f"a bin of {seen['top']} cells has more positions than the hash ({MOST_CELLS})")
     # Draws are many times the bytes: the number of tasks follows them.
     tasks = max(spark.sparkContext.defaultParallelism * 2, (seen["all"] or 0) * n_boot // DRAWS_PER_TASK)
-    one = F.col("n_cells") <= slice_cells
+    per_slice = max(1, slice_cells // block_cells)
+    one = F.col("n_cells") <= per_slice * block_cells
     rows = attach(runs, sizes.where(one), group).withColumn("__key", _key_text(group))
-    each = _whole_bins(rows, group, n_boot, seed, tasks)
-    if (seen["top"] or 0) > slice_cells:
+    each = _whole_bins(rows, group, n_boot, seed, block_cells, tasks)
+    if (seen["top"] or 0) > per_slice * block_cells:
         large = sizes.where(~one)
         placed = materialize(running_count(attach(runs, large, group), group, "__x", "__c", "__upto"))
-        each = each.unionByName(_sliced_bins(placed, large, group, n_boot, seed, slice_cells, tasks))
+        each = each.unionByName(_sliced_bins(placed, large, group, n_boot, seed, block_cells, per_slice, tasks))
     return each.select(
         *group,
         "replicate_no",
@@ -134,6 +218,10 @@ def bootstrap_replicates(
     )
 
 
+def _texts(seed: int, key: str, numbers) -> list[str]:
+    return [f"{seed}|{key}|{b}" for b in numbers]
+
+
 def _schemas(fields: list[T.StructField]) -> tuple[T.StructType, pa.Schema]:
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
     return schema, pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
@@ -159,68 +247,50 @@ def _unpacked(parts: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def _whole_bins(rows: DataFrame, group: list[str], n_boot: int, seed: int, tasks: int) -> DataFrame:
+def _whole_bins(rows: DataFrame, group: list[str], n_boot: int, seed: int, block_cells: int, tasks: int) -> DataFrame:
     """Replicates of bins of one slice, each in one task."""
     schema, arrow = _lists(rows, group)
 
     def resample(table: pa.Table) -> pa.Table:
         table = table.sort_by("__x")
         values, counts = (table.column(c).to_numpy() for c in ("__x", "__c"))
-        made = _resample_bin(values, counts, table.column("__key")[0].as_py(), seed, n_boot)
-        return _row(table.slice(0, 1), group, arrow, int(counts.sum()), np.arange(n_boot) + 1, made)
+        n, numbers = int(counts.sum()), np.arange(n_boot) + 1
+        texts = _texts(seed, table.column("__key")[0].as_py(), numbers.tolist())
+        drawn = block_counts(n, block_cells, texts)
+        made = _resample(np.repeat(values, counts), 0, drawn, np.zeros(n_boot, np.int64), n, block_cells, texts)
+        return _row(table.slice(0, 1), group, arrow, n, numbers, made)
 
     return _unpacked(rows.repartition(tasks, *group).groupBy(*group).applyInArrow(resample, schema), group)
 
 
 def _sliced_bins(
-    rows: DataFrame, sizes: DataFrame, group: list[str], n_boot: int, seed: int, slice_cells: int, tasks: int
+    rows: DataFrame, sizes: DataFrame, group: list[str], n_boot: int, seed: int, block_cells: int, per_slice: int, tasks: int
 ) -> DataFrame:
     """Replicates of bins of several slices."""
-    at_once = max(1, DRAWS_AT_ONCE // slice_cells)
     work = (
         sizes.withColumn("__key", _key_text(group))
         .withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-        .withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_cells") - 1, F.lit(CHUNK_DRAWS).cast("long"))))
-        .repartition(tasks, *group, "__b", "__from")
+        .repartition(tasks, *group, "__b")
     )
     keys = [sizes.schema[c] for c in group]
-    own = [("__b", T.IntegerType()), ("__slice", T.IntegerType())]
-    counted, counted_arrow = _schemas(keys + [T.StructField(n, t) for n, t in [*own, ("__d", T.LongType())]])
-    sent, sent_arrow = _schemas(keys + [T.StructField(n, t) for n, t in [*own, ("__at", T.BinaryType())]])
-
-    def drawn(arrow: pa.Schema, pack):
-        """Rows per slice of each chunk of draws: how many, or the positions in the slice."""
-
-        def run(batches):
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    row = batch.slice(i, 1)
-                    n, b, start = (row.column(c)[0].as_py() for c in ("n_cells", "__b", "__from"))
-                    coef = _coefficients(row.column("__key")[0].as_py(), seed, np.array([b]))
-                    at = np.sort(_draws(coef, min(CHUNK_DRAWS, n - start), n, start)[0])
-                    slices, first = np.unique(at // slice_cells, return_index=True)
-                    ends = [*first[1:], len(at)]
-                    out = [pack(at[lo:hi] % slice_cells) for lo, hi in zip(first, ends)]
-                    same = [row.column(c).take(pa.array(np.zeros(len(slices), np.int64))) for c in group]
-                    columns = [*same, pa.array(np.full(len(slices), b)), pa.array(slices), pa.array(out)]
-                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
-
-        return run
-
-    shares = work.mapInArrow(drawn(counted_arrow, len), counted)
-    shares = shares.groupBy(*group, "__b", "__slice").agg(F.sum("__d").alias("__d"))
-    w = Window.partitionBy(*group, "__b").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    shares = shares.withColumn("__before", F.coalesce(F.sum("__d").over(w), F.lit(0)))
-    positions = work.mapInArrow(drawn(sent_arrow, lambda at: at.astype("<i4").tobytes()), sent)
-    block = F.floor((F.col("__b") - 1) / at_once).cast("int")
-    told = (
-        attach(positions, materialize(shares.drop("__d")), [*group, "__b", "__slice"])
-        .withColumn("__block", block)
-        .select(*group, "__slice", "__block", "__b", "__before", "__at")
-    )
-
+    own = [("__key", T.StringType()), ("__b", T.IntegerType()), ("__slice", T.IntegerType()), ("__before", T.LongType())]
+    told, told_arrow = _schemas(keys + [T.StructField(n, t) for n, t in [*own, ("__counts", T.ArrayType(T.LongType()))]])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each replicate, the draws in the blocks of every slice and before it."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                n, b, key = (row.column(c)[0].as_py() for c in ("n_cells", "__b", "__key"))
+                counts = block_counts(n, block_cells, _texts(seed, key, [b]))[0]
+                parts = [counts[k : k + per_slice] for k in range(0, len(counts), per_slice)]
+                sums = np.array([p.sum() for p in parts])
+                same = [row.column(c).take(pa.array(np.zeros(len(parts), np.int64))) for c in [*group, "__key", "__b"]]
+                columns = [*same, pa.array(np.arange(len(parts))), pa.array(np.cumsum(sums) - sums), pa.array([p.tolist() for p in parts])]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, told_arrow)], schema=told_arrow)
+
+    size = F.lit(per_slice * block_cells).cast("long")
     start = F.col("__upto") - F.col("__c")
-    size = F.lit(slice_cells).cast("long")
     held = (
         rows.withColumn(
             "__slice",
@@ -229,8 +299,7 @@ def _sliced_bins(
         .withColumn(
             "__in", F.least(F.col("__upto"), (F.col("__slice") + 1) * size) - F.greatest(start, F.col("__slice") * size)
         )
-        .withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // at_once))))
-        .select(*group, "__slice", "__block", "n_cells", "__x", "__in")
+        .select(*group, "__slice", "n_cells", "__x", "__in")
     )
     schema, arrow = _lists(sizes, group)
 
@@ -239,20 +308,16 @@ def _sliced_bins(
             return arrow.empty_table()
         values = values.sort_by("__x")
         cells = np.repeat(values.column("__x").to_numpy(), values.column("__in").to_numpy())
-        n = values.column("n_cells")[0].as_py()
-        numbers, before = draws.column("__b").to_numpy(), draws.column("__before").to_numpy()
-        chunks = draws.column("__at")
-        found = []
-        for b in np.unique(numbers):
-            mine = np.flatnonzero(numbers == b)
-            at = np.sort(np.concatenate([np.frombuffer(chunks[int(i)].as_py(), "<i4") for i in mine]))
-            middle = [k - before[mine[0]] for k in ((n - 1) // 2, n // 2)]
-            middle = [cells[at[k]] if 0 <= k < len(at) else np.nan for k in middle]
-            found.append((cells[at].sum(), *middle))
-        return _row(values.slice(0, 1), group, arrow, n, np.unique(numbers), np.array(found).T)
-
-    part = [*group, "__slice", "__block"]
-    both = held.groupBy(*part).cogroup(told.groupBy(*part)).applyInArrow(resample, schema)
+        n, k = values.column("n_cells")[0].as_py(), draws.column("__slice")[0].as_py()
+        numbers = draws.column("__b").to_numpy()
+        counts = np.array(draws.column("__counts").to_pylist(), np.int64)
+        texts = _texts(seed, draws.column("__key")[0].as_py(), numbers.tolist())
+        made = _resample(cells, k * per_slice, counts, draws.column("__before").to_numpy(), n, block_cells, texts)
+        return _row(values.slice(0, 1), group, arrow, n, numbers, made)
+
+    part = [*group, "__slice"]
+    values, draws = held.repartition(tasks, *part), work.mapInArrow(walk, told).repartition(tasks, *part)
+    both = values.groupBy(*part).cogroup(draws.groupBy(*part)).applyInArrow(resample, schema)
     return _unpacked(both, group).groupBy(*group, "n_cells", "replicate_no").agg(
         F.sum("sums").alias("sums"),
         F.max(F.nanvl("mid_lo", F.lit(None))).alias("mid_lo"),
@@ -282,7 +347,10 @@ def bootstrap_bins(
     n_boot: int = 1000,
     seed: int = 0,
     slice_cells: int = SLICE_CELLS,
+    block_cells: int = BLOCK_CELLS,
+    mode: str = "exact",
+    row_id: str = "cell_id",
 ) -> DataFrame:
     """Bootstrap summary per condition and bin, with ``n_cells``."""
-    reps = bootstrap_replicates(binned, keys, value, n_boot, seed, slice_cells)
+    reps = bootstrap_replicates(binned, keys, value, n_boot, seed, slice_cells, block_cells, mode, row_id)
     return bootstrap_summary(reps, keys, value)

@@ -16,13 +16,17 @@ def trim_outliers(
     columns: tuple[str, ...] = ("psmad2", "ha"),
     low: float = 0.001,
     high: float = 0.999,
+    accuracy: int | None = None,
 ) -> DataFrame:
-    """Keep rows whose ``columns`` all lie in their own per-group quantile range, inclusive."""
+    """Keep rows whose ``columns`` all lie in their own per-group quantile range, inclusive.
+
+    ``accuracy`` takes the limits from sketches of that size: one scan, ranks off by about 1.7 / accuracy.
+    """
     wanted = {}
     for c in columns:
         wanted[f"__low_{c}"] = (c, low)
         wanted[f"__high_{c}"] = (c, high)
-    limits = materialize(quantiles(df, keys, wanted))
+    limits = materialize(quantiles(df, keys, wanted, accuracy))
     rows = attach(df, limits, keys)
     for c in columns:
         rows = rows.where(F.col(c).between(F.col(f"__low_{c}"), F.col(f"__high_{c}")))
@@ -58,12 +62,14 @@ def gate_thresholds(
     keys: tuple[str, ...] | list[str] = ("experiment",),
     signal: str = "norm_psmad2",
     ha: str = "ha",
+    accuracy: int | None = None,
 ) -> DataFrame:
     """Control quantiles per group: ``signal_threshold`` and ``ha_threshold``."""
     return quantiles(
         df.where(control),
         list(keys),
         {"signal_threshold": (signal, q_signal), "ha_threshold": (ha, q_ha)},
+        accuracy,
     )
 
 
@@ -77,13 +83,14 @@ def control_gate(
     ha: str = "ha",
     cell_line: str | None = "R3",
     keep_thresholds: bool = False,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """Keep ``cell_line`` rows strictly above the control quantiles of their group.
 
     A group without control rows keeps nothing; ``groups_without_control`` lists them.
     """
     control = control_untreated() if control is None else control
-    limits = materialize(gate_thresholds(df, control, q_signal, q_ha, keys, signal, ha))
+    limits = materialize(gate_thresholds(df, control, q_signal, q_ha, keys, signal, ha, accuracy))
     rows = df if cell_line is None else df.where(F.col("cell_line") == cell_line)
     rows = attach(rows, limits, list(keys)).where(
         (F.col(signal) > F.col("signal_threshold")) & (F.col(ha) > F.col("ha_threshold"))

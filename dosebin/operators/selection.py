@@ -17,7 +17,6 @@ one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,8 +24,9 @@ from pyspark.sql import functions as F
 
 from ..functions import interpolate
 from ..session import attach, materialize
+from .sketches import sketch_quantiles, sketch_table
 
-SLOTS_PER_OCTAVE = 16384
+SLOTS_PER_OCTAVE = 256
 SLOT_SCALE = 2.0**20
 SLOT_LIMIT = 1e9
 SLOT_ROWS = 100_000
@@ -36,8 +36,8 @@ STEPS = 65_536
 def slot(value: Column) -> Column:
     """Bucket number that never decreases with ``value``.
 
-    About 16,000 slots per factor of two (equal steps close to zero), the same
-    for all groups, so no range has to be known first.
+    256 slots per factor of two (equal steps close to zero), the same for all groups, so
+    no range has to be known first.
     """
     steps = F.log1p(F.abs(value) * SLOT_SCALE) * (SLOTS_PER_OCTAVE / 0.6931471805599453)
     size = F.floor(F.least(steps, F.lit(SLOT_LIMIT))).cast("bigint")
@@ -50,11 +50,18 @@ class Position:
 
     name: str
     column: str
-    at: Callable[[Column], Column]
+    at: str  # SQL over the group's size ``__n`` and its keys
 
 
-def _present(value: Column) -> Column:
-    return value.isNotNull() & ~F.isnan(value)
+def _quoted(names: list[str]) -> list[str]:
+    return [f"`{c}`" for c in names]
+
+
+def _over(total: str, keys: list[str], order: str | None = None) -> str:
+    """SQL of a total per group, running up to a row if ``order`` is given."""
+    by = f"partition by {', '.join(_quoted(keys))}" if keys else ""
+    run = f"order by `{order}` rows between unbounded preceding and current row" if order else ""
+    return f"{total} over ({by} {run})"
 
 
 def _running(keys: list[str], order: str) -> Window:
@@ -85,121 +92,83 @@ def running_count(runs: DataFrame, keys: list[str], value: str, count: str, name
     )
 
 
-def select_positions(df: DataFrame, keys: list[str], positions: list[Position]) -> DataFrame:
+def select_positions(df: DataFrame, keys: list[str], positions: list[Position], kind: str = "double") -> DataFrame:
     """Values at the wanted positions.
 
     One row per group and position that exists: keys, ``position`` (its name),
     ``value``, ``n`` (group size) and ``run_offset`` (how many equal values come
-    before the position).
+    before the position).  Values are compared as ``kind``, double or bigint.
     """
     columns = sorted({p.column for p in positions})
-    long = df.select(
-        *keys,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("v"))
-                    for i, c in enumerate(columns)
-                ]
-            )
-        ).alias("e"),
-    ).select(*keys, F.col("e.m").alias("__m"), F.col("e.v").alias("__v"))
-    long = long.where(_present(F.col("__v"))).withColumn("__slot", slot(F.col("__v")))
+    # Plans are written as SQL text here: one call to the JVM for each, not one for each part of it.
+    each = ", ".join(f"named_struct('m', {i}, 'v', cast(`{c}` as {kind}))" for i, c in enumerate(columns))
+    present = "__v is not null" + " and not isnan(__v)" * (kind == "double")
+    long = df.selectExpr(*_quoted(keys), f"inline(array({each})) as (__m, __v)").where(present)
+    long = long.withColumn("__slot", slot(F.col("__v").cast("double")))
 
     group = [*keys, "__m"]
-    totals = [F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__slot_lo"), F.max("__v").alias("__slot_hi")]
-    before = F.col("__upto") - F.col("__c")
-    wanted = F.lit(False)
-    for p in positions:
-        k = p.at(F.col("__n"))
-        wanted = wanted | (
-            (F.col("__m") == columns.index(p.column)) & (before <= k) & (k < F.col("__upto"))
-        )
+    totals = [F.expr(x) for x in ("count(1) as __c", "min(__v) as __slot_lo", "max(__v) as __slot_hi")]
+    wanted = " or ".join(f"(__m = {columns.index(p.column)} and __upto - __c <= {p.at} and {p.at} < __upto)" for p in positions)
+    large = f"__c > {SLOT_ROWS} and __slot_lo < __slot_hi"
 
     def kept(counts: DataFrame) -> DataFrame:
-        shown = [*group, "__slot", before.alias("__before"), "__n", "__c", "__slot_lo", "__slot_hi"]
-        return materialize(counts.where(wanted).select(*shown))
+        shown = [*_quoted([*group, "__slot"]), "__upto - __c as __before", "__n", "__c", "__slot_lo", "__slot_hi"]
+        return materialize(counts.where(wanted).selectExpr(*shown))
 
     counts = long.groupBy(*group, "__slot").agg(*totals)
-    counts = counts.withColumn("__upto", F.sum("__c").over(_running(group, "__slot"))).withColumn(
-        "__n", F.sum("__c").over(Window.partitionBy(*group))
-    )
-    slots = kept(counts)
-    large = (F.col("__c") > SLOT_ROWS) & (F.col("__slot_lo") < F.col("__slot_hi"))
+    slots = kept(counts.selectExpr("*", _over("sum(__c)", group, "__slot") + " as __upto", _over("sum(__c)", group) + " as __n"))
     part = [*group, "__slot", "__before", "__n"]
 
     def near() -> DataFrame:
-        return attach(long, slots, [*group, "__slot"]).where(F.col("__v").between(F.col("__slot_lo"), F.col("__slot_hi")))
+        return attach(long, slots, [*group, "__slot"]).where("__v between __slot_lo and __slot_hi")
 
+    half = (lambda c: f"{c} / 2") if kind == "double" else (lambda c: f"cast({c} as decimal(20,0))")  # no overflow
+    at = f"cast(({half('__v')} - {half('__slot_lo')}) / ({half('__slot_hi')} - {half('__slot_lo')}) as double)"
+    step = f"case when {large} then floor({at} * {STEPS}) else 0L end as __step"
     while slots.where(large).take(1):
-        at = (F.col("__v") / 2 - F.col("__slot_lo") / 2) / (F.col("__slot_hi") / 2 - F.col("__slot_lo") / 2)
-        step = F.when(large, F.floor(at * STEPS)).otherwise(F.lit(0).cast("bigint"))
-        counts = near().groupBy(*part, step.alias("__step")).agg(*totals)
-        upto = F.col("__before") + F.sum("__c").over(_running(part, "__step"))
-        slots = kept(counts.withColumn("__upto", upto))
-
-    runs = near().groupBy(*part, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    runs = runs.withColumn("__upto", F.col("__before") + F.sum("__c").over(_running(part, "__v")))
-    first = F.col("__upto") - F.col("__c")
-    choices = F.array(
-        *[
-            F.struct(
-                F.lit(p.name).alias("position"),
-                F.lit(columns.index(p.column)).alias("m"),
-                p.at(F.col("__n")).cast("bigint").alias("k"),
-            )
-            for p in positions
-        ]
-    )
-    hits = F.filter(
-        choices, lambda s: (s["m"] == F.col("__m")) & (first <= s["k"]) & (s["k"] < F.col("__upto"))
+        counts = near().groupBy(*part, F.expr(step)).agg(*totals)
+        slots = kept(counts.selectExpr("*", f"__before + {_over('sum(__c)', part, '__step')} as __upto"))
+
+    runs = near().groupBy(*part, "__v").agg(F.expr("count(1) as __c"))
+    runs = runs.selectExpr("*", f"__before + {_over('sum(__c)', part, '__v')} as __upto")
+    choices = ", ".join(
+        f"named_struct('position', '{p.name}', 'm', {columns.index(p.column)}, 'k', cast({p.at} as bigint))" for p in positions
     )
-    return runs.select(
-        *keys, F.explode(hits).alias("__h"), F.col("__v"), F.col("__n"), first.alias("__first")
-    ).select(
-        *keys,
-        F.col("__h.position").alias("position"),
-        F.col("__v").alias("value"),
-        F.col("__n").alias("n"),
-        (F.col("__h.k") - F.col("__first")).alias("run_offset"),
+    hits = f"filter(array({choices}), s -> s.m = __m and __upto - __c <= s.k and s.k < __upto)"
+    found = runs.selectExpr(*_quoted(keys), f"explode({hits}) as __h", "__v", "__n", "__upto - __c as __first")
+    return found.selectExpr(
+        *_quoted(keys), "__h.position as position", "__v as value", "__n as n", "__h.k - __first as run_offset"
     )
 
 
 def quantiles(
-    df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]
+    df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], accuracy: int | None = None
 ) -> DataFrame:
     """Linear-interpolation quantiles per group.
 
     ``wanted`` maps output column -> (input column, probability).  NULL and NaN
-    are left out.  Returns one row per group that has any value.
+    are left out.  Returns one row per group that has any value.  With ``accuracy`` they
+    come from sketches of that size instead, in one scan.
     """
+    if accuracy is not None:
+        columns = sorted({c for c, _ in wanted.values()})
+        found = sketch_quantiles(sketch_table(df, keys, columns, accuracy), keys, wanted)
+        return found.dropna(how="all", subset=list(wanted))
 
-    def lower(q):
-        return lambda n: F.floor((n - 1) * F.lit(float(q)))
-
-    def upper(q):
-        return lambda n: F.least(F.floor((n - 1) * F.lit(float(q))) + 1, n - 1)
-
+    places = {name: f"(__n - 1) * double('{float(q)!r}')" for name, (_, q) in wanted.items()}
     positions = []
-    for name, (column, q) in wanted.items():
-        positions.append(Position(f"{name}|lo", column, lower(q)))
-        positions.append(Position(f"{name}|hi", column, upper(q)))
+    for name, (column, _) in wanted.items():
+        positions.append(Position(f"{name}|lo", column, f"floor({places[name]})"))
+        positions.append(Position(f"{name}|hi", column, f"least(floor({places[name]}) + 1, __n - 1)"))
     found = select_positions(df, keys, positions)
-
-    def pick(position: str, what: str) -> Column:
-        return F.max(F.when(F.col("position") == position, F.col(what)))
-
-    wide = found.groupBy(*keys).agg(
-        *[pick(f"{n}|lo", "value").alias(f"__lo_{n}") for n in wanted],
-        *[pick(f"{n}|hi", "value").alias(f"__hi_{n}") for n in wanted],
-        *[pick(f"{n}|lo", "n").alias(f"__n_{n}") for n in wanted],
-    )
+    picked = [
+        F.expr(f"max(case when position = '{name}|{end}' then {what} end) as `__{short}_{name}`")
+        for name in wanted
+        for end, what, short in (("lo", "value", "lo"), ("hi", "value", "hi"), ("lo", "n", "n"))
+    ]
+    wide = found.groupBy(*keys).agg(*picked)
     out = []
     for name, (_, q) in wanted.items():
-        at = (F.col(f"__n_{name}") - 1) * F.lit(float(q))
-        out.append(
-            interpolate(
-                F.col(f"__lo_{name}"), F.col(f"__hi_{name}"), at - F.floor(at)
-            ).alias(name)
-        )
+        at = f"((`__n_{name}` - 1) * double('{float(q)!r}'))"
+        out.append(interpolate(F.col(f"__lo_{name}"), F.col(f"__hi_{name}"), F.expr(f"{at} - floor({at})")).alias(name))
     return wide.select(*keys, *out)

@@ -119,18 +119,23 @@ def summarise(binned: DataFrame, s: Settings) -> DataFrame:
     return binning.renumber_bins(table, list(s.number_keys))
 
 
+def gated_cells(cells: DataFrame, s: Settings) -> DataFrame:
+    """Cells that pass the gate, written once."""
+    filtered = gates.control_gate(
+        cells, CONTROLS[s.control](), s.q_signal, s.q_ha, s.gate_keys, s.signal
+    )
+    if s.only_dox is not None:
+        filtered = filtered.where(F.col("dox") == s.only_dox)
+    return materialize(filtered)
+
+
 def analyse(cells: DataFrame, s: Settings = SINGLE_LIGAND) -> Result:
     """Gate, bin and summarise trimmed cells of any number of experiments at once.
 
     Gated cells are written once, so that ranges, bins and resamples read them and not
     all that made them; give cells that are stored, too.
     """
-    filtered = gates.control_gate(
-        cells, CONTROLS[s.control](), s.q_signal, s.q_ha, s.gate_keys, s.signal
-    )
-    if s.only_dox is not None:
-        filtered = filtered.where(F.col("dox") == s.only_dox)
-    filtered = materialize(filtered)
+    filtered = gated_cells(cells, s)
     binned = bin_cells(filtered, s)
     return Result(cells, filtered, binned, summarise(binned, s))
 

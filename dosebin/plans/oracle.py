@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 N_BOOT = 1000
+N_TREE = 200
+BLOCK = 256
 SEED = 7
 PRIME = (1 << 31) - 1
+FIRST = 500_000_003
 
 # ------------------------------------------------------------------ fragments
 
@@ -84,7 +89,7 @@ def bootstrap(name, source, keys, value="norm_psmad2", n_boot=N_BOOT, seed=SEED)
 {name}_reps AS (SELECT *, md5('{seed}|' || concat_ws('|', {group}) || '|' || b) AS h
   FROM {name}_bins, (SELECT unnest(range(1, {n_boot} + 1)) AS b)),
 {name}_coef AS (SELECT *, {c[0]} AS c0, {c[1]} AS c1, {c[2]} AS c2, {c[3]} AS c3 FROM {name}_reps),
-{name}_draws AS (SELECT {group}, n, list_transform(range(n), lambda i:
+{name}_draws AS (SELECT {group}, n, list_transform(range({FIRST}, {FIRST} + n), lambda i:
     xs[1 + (((((((c3 * i + c2) % {PRIME}) * i + c1) % {PRIME}) * i + c0) % {PRIME} * n) >> 31)]) AS drawn FROM {name}_coef),
 {name}_stats AS (SELECT {group}, list_avg(drawn) AS m, list_median(drawn) AS md, n FROM {name}_draws),
 {name} AS (SELECT {group}, avg(m) AS mean_{value}, quantile_cont(m, 0.025) AS mean_{value}_low,
@@ -93,12 +98,82 @@ def bootstrap(name, source, keys, value="norm_psmad2", n_boot=N_BOOT, seed=SEED)
     any_value(n) AS n_cells FROM {name}_stats GROUP BY {group})"""
 
 
+def polynomial(h: str, z: str) -> str:
+    """Cubic hash of ``z`` modulo 2^31 - 1 with the four 28-bit words of the md5 text ``h``."""
+    c = [f"(CAST('0x' || substr({h}, {1 + 8 * i}, 8) AS BIGINT) & 268435455)" for i in range(4)]
+    return f"((((({c[3]} * ({z}) + {c[2]}) % {PRIME}) * ({z}) + {c[1]}) % {PRIME}) * ({z}) + {c[0]}) % {PRIME}"
+
+
+def bootstrap_tree(name, source, keys, value, n_boot, block, seed=SEED) -> str:
+    """Replicates by a tree over blocks: coins split the draws of a node, then draws are positions in their block."""
+    group = f"{keys}, bin_id"
+    coins = f"""CAST(coalesce(list_sum(list_transform(range(0, (acc.u + 29) // 30), lambda w:
+        bit_count(({polynomial('h', f'{FIRST} + x.d * 33554432 + w')}) & ((1 << least(30, acc.u - 30 * w)) - 1)))), 0) AS BIGINT)"""
+    return f"""
+{name}_bins AS (SELECT {group}, list({value} ORDER BY {value}) AS xs, count(*) AS n, CAST(ceil(count(*) / {block}) AS BIGINT) AS m
+  FROM {source} GROUP BY {group}),
+{name}_nodes AS (SELECT {group}, b, n, '{seed}|' || concat_ws('|', {group}) || '|' || b AS text, CAST(0 AS BIGINT) AS i, m AS j, n AS c, m
+    FROM {name}_bins, (SELECT unnest(range(1, {n_boot} + 1)) AS b)
+  UNION ALL
+  SELECT {group}, b, n, text, CASE side WHEN 0 THEN i ELSE mid END, CASE side WHEN 0 THEN mid ELSE j END,
+    CASE side WHEN 0 THEN lefts ELSE c - lefts END, m
+  FROM (SELECT *, unnest([0, 1]) AS side FROM (SELECT *, CAST(list_reduce(digits, lambda acc, x:
+      CASE WHEN acc.u = 0 THEN acc
+        WHEN x.one THEN {{'s': acc.s + acc.u - {coins}, 'u': {coins}, 'd': acc.d, 'one': acc.one}}
+        ELSE {{'s': acc.s, 'u': acc.u - {coins}, 'd': acc.d, 'one': acc.one}} END,
+      {{'s': CAST(0 AS BIGINT), 'u': c, 'd': CAST(0 AS BIGINT), 'one': false}}).s AS BIGINT) AS lefts
+    FROM (SELECT *, md5(text || '|' || i || '|' || j) AS h,
+        list_transform(list_filter(range(0, 48), lambda k: (left_cells * ((1::BIGINT << k) % size)) % size > 0),
+          lambda k: {{'s': CAST(0 AS BIGINT), 'u': CAST(0 AS BIGINT), 'd': k,
+            'one': 2 * ((left_cells * ((1::BIGINT << k) % size)) % size) >= size}}) AS digits
+      FROM (SELECT *, (i + j) // 2 AS mid, ((i + j) // 2 - i) * {block} AS left_cells, least(n, j * {block}) - i * {block} AS size
+        FROM {name}_nodes WHERE j - i > 1))))),
+{name}_leaves AS (SELECT {group}, b, i, c, least(n, j * {block}) - i * {block} AS size,
+    md5(CASE WHEN m = 1 THEN text ELSE text || '|' || i || '|' || j END) AS h FROM {name}_nodes WHERE j - i = 1),
+{name}_drawn AS (SELECT {group}, b, flatten(list(list_transform(range({FIRST}, {FIRST} + c), lambda z:
+    xs[1 + i * {block} + ((({polynomial('h', 'z')}) * size) >> 31)]))) AS drawn, any_value(n) AS n
+  FROM {name}_leaves JOIN {name}_bins USING ({group}) GROUP BY {group}, b),
+{name}_stats AS (SELECT {group}, list_avg(drawn) AS m, list_median(drawn) AS md, n FROM {name}_drawn),
+{name} AS (SELECT {group}, avg(m) AS mean_{value}, quantile_cont(m, 0.025) AS mean_{value}_low,
+    quantile_cont(m, 0.975) AS mean_{value}_high, avg(md) AS median_{value},
+    quantile_cont(md, 0.025) AS median_{value}_low, quantile_cont(md, 0.975) AS median_{value}_high,
+    any_value(n) AS n_cells FROM {name}_stats GROUP BY {group})"""
+
+
+def bootstrap_poisson(name, source, keys, value, row_id, n_boot, seed=SEED) -> str:
+    """Every row weighed in every replicate; the median from running weights."""
+    group = f"{keys}, bin_id"
+    limits = [int(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(13)]
+    weight = " + ".join(f"CAST(h >= {x} AS BIGINT)" for x in limits)
+    return f"""
+{name}_reps AS (SELECT {group}, b, md5('{seed}|' || concat_ws('|', {group}) || '|' || b) AS text
+  FROM (SELECT DISTINCT {group} FROM {source}), (SELECT unnest(range(1, {n_boot} + 1)) AS b)),
+{name}_low AS (SELECT {group}, b, text, {value} AS x, {row_id} // {PRIME} % {PRIME} AS high,
+    {polynomial('text', f'{row_id} % {PRIME}')} AS first FROM {source} JOIN {name}_reps USING ({group})),
+{name}_hash AS (SELECT {group}, b, x, {polynomial('text', f'(first + high) % {PRIME}')} AS h FROM {name}_low),
+{name}_run AS (SELECT *, sum(w) OVER (PARTITION BY {group}, b ORDER BY x) AS upto, sum(w) OVER (PARTITION BY {group}, b) AS total
+  FROM (SELECT {group}, b, x, {weight} AS w FROM {name}_hash)),
+{name}_stats AS (SELECT {group}, b, count(*) AS n, sum(w * x) / nullif(sum(w), 0) AS m,
+    (min(x) FILTER (upto > (total - 1) // 2) + min(x) FILTER (upto > total // 2)) / 2 AS md FROM {name}_run GROUP BY {group}, b),
+{name} AS (SELECT {group}, avg(m) AS mean_{value}, quantile_cont(m, 0.025) AS mean_{value}_low,
+    quantile_cont(m, 0.975) AS mean_{value}_high, avg(md) AS median_{value},
+    quantile_cont(md, 0.025) AS median_{value}_low, quantile_cont(md, 0.975) AS median_{value}_high,
+    any_value(n) AS n_cells FROM {name}_stats GROUP BY {group})"""
+
+
 def renumber(name, source, number_keys) -> str:
     return f"""
 {name} AS (SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY {number_keys} ORDER BY bin_id) AS INTEGER) AS bin_id)
   FROM {source})"""
 
 
+def booted(name, source, keys, number_keys) -> str:
+    """Bootstrap summary with the bins numbered anew, the old numbers and the unit's name."""
+    return bootstrap(f"{name}_boot", source, keys) + f""",
+{name} AS (SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY {number_keys} ORDER BY bin_id) AS INTEGER) AS bin_id), bin_id AS old_bin,
+    experiment || ' #' || {'replicate' if 'replicate' in keys else "'-'"} AS exp_rep FROM {name}_boot)"""
+
+
 def d(expression: str, name: str | None = None) -> str:
     """A double for the result: digits by size, no negative zero."""
     if name is None and expression in DOUBLE_KEYS:
@@ -129,7 +204,8 @@ def cols(keys: str) -> str:
 TRIMMED = CELLS + "," + trim("trimmed", "cells", TRIM_KEYS)
 GATED = TRIMMED + "," + gate("gated", "trimmed", UNTREATED, 0.0, 0.1)
 BINNED = GATED + "," + bins("binned", "gated", BIN_KEYS, 10)
-SINGLE = BINNED + "," + summary("single", "binned", SUMMARY_KEYS, f"{BIN_KEYS}, dox")
+SINGLE = BINNED + "," + booted("single", "binned", SUMMARY_KEYS, f"{BIN_KEYS}, dox")
+PLAIN = BINNED + "," + summary("single", "binned", SUMMARY_KEYS, f"{BIN_KEYS}, dox")
 PLUS = SINGLE + ", plus AS (SELECT * FROM single WHERE dox = '+dox')"
 TGF = PLUS + ", tgf AS (SELECT * FROM plus WHERE ligand = 'TGFB1')"
 DIFFS = TGF + """,
@@ -150,7 +226,7 @@ GRID_GATED = GRID_CELLS + "," + gate(
     "grid_gated", "grid_cells", "dox = '-dox'", 0.0, 0.1, more="AND dox = '+dox'"
 )
 GRID_BINNED = GRID_GATED + "," + bins("grid_binned", "grid_gated", GRID_KEYS, 10)
-GRID = GRID_BINNED + "," + summary("grid", "grid_binned", GRID_SUMMARY, GRID_KEYS)
+GRID = GRID_BINNED + "," + booted("grid", "grid_binned", GRID_SUMMARY, GRID_KEYS)
 
 
 def min_max(name, source, column) -> str:
@@ -363,6 +439,17 @@ add("bootstrap_intervals", BINNED + "," + bootstrap("boot", "binned", SUMMARY_KE
     f"SELECT {cols(SUMMARY_KEYS)}, bin_id, {boot_columns('norm_psmad2')} FROM boot")
 add("bootstrap_event_values", bins("b", "events", "event_type", 4, "value").lstrip() + "," + bootstrap("boot", "b", "event_type", "value"),
     f"SELECT event_type, bin_id, {boot_columns('value')} FROM boot")
+add("bootstrap_poisson", bins("b", "events", "event_type", 4, "value").lstrip() + ","
+    + bootstrap_poisson("boot", "b", "event_type", "value", "event_id", N_TREE), f"SELECT event_type, bin_id, {boot_columns('value')} FROM boot")
+ORACLE["sketched_quantiles"] = f"""SELECT event_type, CAST(day(ts) AS INTEGER) AS day, {d('quantile_disc(value, 0.05)', 'low')},
+  {d('quantile_disc(value, 0.5)', 'middle')}, {d('quantile_disc(value, 0.95)', 'high')} FROM events GROUP BY event_type, day(ts)"""
+add("trim_by_sketches", CELLS.lstrip() + f""",
+limits AS (SELECT {TRIM_KEYS}, quantile_disc(ha, 0.05) AS lo_ha, quantile_disc(ha, 0.95) AS hi_ha,
+    quantile_disc(psmad2, 0.05) AS lo_p, quantile_disc(psmad2, 0.95) AS hi_p FROM cells GROUP BY ALL),
+kept AS (SELECT c.* FROM cells c JOIN limits USING ({TRIM_KEYS}) WHERE ha BETWEEN lo_ha AND hi_ha AND psmad2 BETWEEN lo_p AND hi_p)""",
+    counts("experiment, gate", "kept", "ha", "psmad2"))
+add("bootstrap_block_tree", "RECURSIVE " + bins("b", "events", "event_type", 2, "value").lstrip() + "," + bootstrap_tree("boot", "b", "event_type", "value", N_TREE, BLOCK),
+    f"SELECT event_type, bin_id, {boot_columns('value')} FROM boot")
 add("dynamic_range_per_dose", TGF + RANGES.format(source="tgf", where="replicate = 1 AND ligand_conc >= 0.1") + """,
 kept AS (SELECT * FROM ranges QUALIFY count(*) OVER (PARTITION BY experiment, replicate, ligand) >= 3)""",
     f"""SELECT {_RANGE_COLUMNS}, {d('range / nullif(max(range) OVER (PARTITION BY experiment, replicate, ligand), 0)', 'norm_range')} FROM kept""")
@@ -498,7 +585,7 @@ add("profile_distances", PLUS + ", p AS (SELECT exp_rep, bin_id, mean_norm_psmad
   {d('sqrt(sum(pow(a.v - b.v, 2)) * (SELECT count(DISTINCT bin_id) FROM p) / count(*))', 'distance')}
   FROM p a JOIN p b ON a.bin_id = b.bin_id AND a.exp_rep < b.exp_rep GROUP BY a.exp_rep, b.exp_rep""")
 
-_EDGES = SINGLE + f", bin_edges AS (SELECT DISTINCT {BIN_KEYS}, bin_id AS old_bin, bin_lo, bin_hi FROM binned)"
+_EDGES = PLAIN + f", bin_edges AS (SELECT DISTINCT {BIN_KEYS}, bin_id AS old_bin, bin_lo, bin_hi FROM binned)"
 add("renumbered_bins", _EDGES, f"""SELECT {cols(SUMMARY_KEYS)}, bin_id, {d('bin_lo')}, {d('bin_hi')}, n_cells
   FROM single JOIN bin_edges USING ({BIN_KEYS}, old_bin)""")
 ORACLE["equal_count_bins"] = f"""SELECT event_type, bin_id, count(*) AS n, {d('min(value)', 'lowest')}, {d('max(value)', 'highest')},
@@ -581,7 +668,7 @@ def analysed(
     cte = source_ctes + "," + gate("ag", source, control, qs, qh, gate_keys) + ","
     cte += binned_by("ab", "ag") if binned_by else bins("ab", "ag", bin_keys, n)
     if boot:
-        return cte + "," + bootstrap("boot", "ab", summary_keys) + "," + renumber("ax", "boot", number_keys)
+        return cte + "," + booted("ax", "ab", summary_keys, number_keys)
     return cte + "," + summary("ax", "ab", summary_keys, number_keys)
 
 
@@ -600,7 +687,7 @@ def result(keys: str, *extra: str) -> str:
 _ALL = ("mean_norm_psmad2", "median_norm_psmad2", "n_cells")
 _SIX = (*[f"{s}_norm_psmad2{e}" for s in ("mean", "median") for e in ("", "_low", "_high")], "n_cells")
 _GATED_KEYS = [f"gate, {k}" for k in ("experiment", BIN_KEYS, SUMMARY_KEYS, f"{BIN_KEYS}, dox")]
-_BY_GATE = analysed(TRIMMED, "trimmed", UNTREATED, *_GATED_KEYS)
+_BY_GATE = analysed(TRIMMED, "trimmed", UNTREATED, *_GATED_KEYS, boot=True)
 add("stacked_gates", _BY_GATE, result(f"gate, {SUMMARY_KEYS}", "mean_norm_psmad2", "n_cells"))
 add("wide_profiles", _BASE,
     "SELECT exp_rep, " + ", ".join(d(f"max(v) FILTER (bin_id = {b})", f"bin_{b}") for b in range(1, 11)) + " FROM base GROUP BY exp_rep")
@@ -644,7 +731,7 @@ add("minimum_slice", _EDGES, f"""SELECT {cols(SUMMARY_KEYS)}, bin_id, {d('bin_lo
   {d('median_norm_psmad2')}, n_cells FROM single JOIN bin_edges USING ({BIN_KEYS}, old_bin)""")
 ORACLE["tree_to_bootstrapped_bins"] = ORACLE["single_ligand_analysis"]
 ORACLE["heat_map_round_trip"] = ORACLE["rls_lic"]
-add("wide_profiles_of_20_bins", analysed(TRIMMED, "trimmed", UNTREATED, "experiment", BIN_KEYS, SUMMARY_KEYS, f"{BIN_KEYS}, dox", n=20),
+add("wide_profiles_of_20_bins", analysed(TRIMMED, "trimmed", UNTREATED, "experiment", BIN_KEYS, SUMMARY_KEYS, f"{BIN_KEYS}, dox", n=20, boot=True),
     "SELECT exp_rep, " + ", ".join(d(f"max(mean_norm_psmad2) FILTER (bin_id = {b})", f"bin_{b}") for b in range(1, 21))
     + " FROM ax WHERE dox = '+dox' AND ligand_conc = 0 GROUP BY exp_rep")
 add("legacy_analysis", analysed(TRIMMED + """,
@@ -656,3 +743,15 @@ add("no_ligand_scan", _PLAIN, counts("sample, experiment, cell_line, dox, ligand
 _SAMPLE = "experiment, sample, ligand"
 add("no_ligand_analysis", analysed(_PLAIN + "," + trim("t", "plain", "experiment, cell_line, ligand"), "t", UNTREATED, "experiment",
     _SAMPLE, f"{_SAMPLE}, cell_line, dox", "experiment, sample, dox", n=20, boot=True), result(f"{_SAMPLE}, cell_line, dox", *_SIX))
+for _name in ("two_way_anova", "range_ancova"):
+    ORACLE[f"{_name}_by_gram"] = ORACLE[_name]
+
+
+def described(keys: str) -> str:
+    return f"""SELECT {cols(keys)}, bin_id, count(*) AS n, {d('avg(norm_psmad2)', 'mean')}, {d('stddev_samp(norm_psmad2)', 'sd')},
+  {d('min(norm_psmad2)', 'least')}, {d('max(norm_psmad2)', 'most')}, {d('quantile_disc(norm_psmad2, 0.5)', 'median')}
+  FROM binned GROUP BY {keys}, bin_id"""
+
+
+add("summaries_with_one_more_experiment", BINNED, described(SUMMARY_KEYS))
+add("summaries_merged_over_experiments", BINNED, described("cell_line, dox, ligand, ligand_conc"))

@@ -33,41 +33,38 @@ from ..functions import (
     strip_extension,
     suffixed_dose,
 )
-from ..operators import binning, bootstrap, density, dose, gates, matrix, normalize, selection, stats
+from ..operators import binning, bootstrap, density, dose, gates, linear_models, matrix, normalize, selection, sketches, stats
 from ..session import attach, materialize, shared_folder
 from ..sources import csv_tree
-from ..sources.tables import cells, raw_cells, read_table
+from ..sources.tables import cells, landed_table, raw_cells, read_table
 from . import analysis as A
+from . import summaries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 N_BOOT = 1000
+N_TREE = 200
+BLOCK = 256
 SEED = 7
 MEAN = "mean_norm_psmad2"
 INTERVALS = [f"{s}_norm_psmad2{e}" for s in ("mean", "median") for e in ("", "_low", "_high")]
 
 # Looser control quantile than the defaults: the star-schema cells have few high values.
-SINGLE = replace(A.SINGLE_LIGAND, q_ha=0.1, statistic="mean")
-BOOT = replace(SINGLE, statistic="bootstrap", n_boot=N_BOOT, seed=SEED)
-GRID = replace(A.TWO_LIGAND, q_ha=0.1, statistic="mean")
+SINGLE = BOOT = replace(A.SINGLE_LIGAND, q_ha=0.1, n_boot=N_BOOT, seed=SEED)
+PLAIN = replace(SINGLE, statistic="mean")
+GRID = replace(A.TWO_LIGAND, q_ha=0.1, n_boot=N_BOOT, seed=SEED)
 LEGACY = replace(A.LEGACY, q_ha=0.1, n_boot=N_BOOT, seed=SEED)
 
 
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles rounded by size (six digits below 1000), negative zero made plain."""
 
-    def short(c):
-        size = F.abs(c)
-        cut = F.when(size < 1e3, F.round(c, 6)).when(size < 1e6, F.round(c, 4))
-        return cut.when(size < 1e9, F.round(c, 2)).otherwise(F.round(c, 0)) + F.lit(0.0)
+    def short(c: str) -> str:
+        cuts = f"when abs({c}) < 1e3D then round({c}, 6) when abs({c}) < 1e6D then round({c}, 4) when abs({c}) < 1e9D then round({c}, 2)"
+        return f"case {cuts} else round({c}, 0) end + 0.0D as {c}"
 
-    return df.select(
-        *[
-            short(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
-            for f in df.schema
-        ]
-    )
+    return df.selectExpr(*[short(f"`{f.name}`") if isinstance(f.dataType, T.DoubleType) else f"`{f.name}`" for f in df.schema])
 
 
 def query(fn: Query) -> Query:
@@ -82,8 +79,10 @@ def query(fn: Query) -> Query:
 # ---------------------------------------------------------------- shared steps
 
 
-def trimmed(spark: SparkSession, folder: str) -> DataFrame:
-    return materialize(gates.trim_outliers(cells(spark, folder), S.TRIM_KEYS_GATED))
+def trimmed(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    """Trimmed cells without their number, if it is not asked for."""
+    rows = gates.trim_outliers(cells(spark, folder), S.TRIM_KEYS_GATED)
+    return materialize(rows if "cell_id" in more else rows.drop("cell_id"))
 
 
 def gated(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,7 +90,7 @@ def gated(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def single(spark: SparkSession, folder: str) -> DataFrame:
-    """Renumbered bin summary of the single-ligand analysis."""
+    """Bootstrapped and renumbered bins of the single-ligand analysis."""
     boot = A.analyse(trimmed(spark, folder), SINGLE).boot
     return materialize(boot).withColumn(
         "exp_rep", composite_key(F.col("experiment"), F.col("replicate"))
@@ -113,8 +112,9 @@ def tgf_diffs(spark: SparkSession, folder: str) -> DataFrame:
     return gates.min_group_distinct(diffs, ["exp_rep"], "ligand_conc", 3)
 
 
-def grid_cells(spark: SparkSession, folder: str) -> DataFrame:
-    return materialize(gates.trim_outliers(cells(spark, folder), S.TRIM_KEYS_TWO_LIGAND))
+def grid_cells(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    rows = gates.trim_outliers(cells(spark, folder), S.TRIM_KEYS_TWO_LIGAND)
+    return materialize(rows if "cell_id" in more else rows.drop("cell_id"))
 
 
 def heat_map(spark: SparkSession, folder: str) -> DataFrame:
@@ -651,6 +651,39 @@ def bootstrap_event_values(spark, folder):
     return bootstrap.bootstrap_bins(binned, ["event_type"], "value", n_boot=N_BOOT, seed=SEED)
 
 
+@query
+def bootstrap_block_tree(spark, folder):
+    """The same bins with blocks and slices so small that draws pass through the tree and meet several slices."""
+    events = read_table(spark, folder, "events")
+    binned = binning.equal_width_bins(events, 2, ["event_type"], "value")
+    return bootstrap.bootstrap_bins(binned, ["event_type"], "value", N_TREE, SEED, slice_cells=1024, block_cells=BLOCK)
+
+
+@query
+def bootstrap_poisson(spark, folder):
+    """Event values by Poisson weights of the events."""
+    events = read_table(spark, folder, "events")
+    binned = binning.equal_width_bins(events, 4, ["event_type"], "value")
+    return bootstrap.bootstrap_bins(binned, ["event_type"], "value", N_TREE, SEED, mode="poisson", row_id="event_id")
+
+
+@query
+def sketched_quantiles(spark, folder):
+    """Quantiles of event values from one stored table of sketches: per user, and merged per type and day of the month."""
+    events = read_table(spark, folder, "events").withColumn("day", F.dayofmonth("ts"))
+    wanted = {"low": ("value", 0.05), "middle": ("value", 0.5), "high": ("value", 0.95)}
+    table = materialize(sketches.sketch_table(events, ["event_type", "day", "user_id"], ["value"], 60_000))
+    of_type = sketches.merge_sketches(table, keys=["event_type", "day"])
+    return sketches.sketch_quantiles(of_type, ["event_type", "day"], wanted)
+
+
+@query
+def trim_by_sketches(spark, folder):
+    """The outlier trim with limits from sketches; these groups are small enough to be exact."""
+    kept = gates.trim_outliers(cells(spark, folder), S.TRIM_KEYS_GATED, low=0.05, high=0.95, accuracy=60_000)
+    return counts_by(kept, ["experiment", "gate"], "ha", "psmad2")
+
+
 @query
 def dynamic_range_per_dose(spark, folder):
     """The exported range table: at least three doses, scaled by the largest range."""
@@ -720,6 +753,21 @@ def range_ancova(spark, folder):
     return stats.ancova(ranges)
 
 
+@query
+def two_way_anova_by_gram(spark, folder):
+    """The same model from merged cross products."""
+    terms = [("experiment",), ("group_id",), ("experiment", "group_id")]
+    return linear_models.anova(steps(spark, folder), "eucl_diff", terms, ["experiment", "group_id"])
+
+
+@query
+def range_ancova_by_gram(spark, folder):
+    rows = tgf_by_dose(spark, folder).where(F.col("replicate") == 1)
+    ranges = dose.dose_range(rows, ["experiment", "replicate", "ligand", "ligand_conc"])
+    terms, covariates = [("experiment",), ("covariate",)], {"covariate": F.log10("ligand_conc")}
+    return linear_models.anova(ranges, "range", terms, ["experiment"], covariates, adjusted=True)
+
+
 @query
 def rank_sum_test(spark, folder):
     return stats.rank_sum_test(steps(spark, folder), ["experiment"])
@@ -779,12 +827,13 @@ def profile_distances(spark, folder):
 
 @query
 def renumbered_bins(spark, folder):
-    return single(spark, folder).select(*SINGLE.summary_keys, "bin_id", "bin_lo", "bin_hi", "n_cells")
+    boot = A.analyse(trimmed(spark, folder), PLAIN).boot
+    return boot.select(*SINGLE.summary_keys, "bin_id", "bin_lo", "bin_hi", "n_cells")
 
 
 @query
 def equal_count_bins(spark, folder):
-    ev = read_table(spark, folder, "events")
+    ev = landed_table(spark, folder, "events", ["event_type", "value", "event_id"])
     b = binning.equal_count_bins(ev, 10, ["event_type"], "value", "event_id")
     return b.groupBy("event_type", "bin_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("lowest"), F.max("value").alias("highest"),
@@ -948,7 +997,7 @@ def stacked_gates(spark, folder):
     parts = []
     for name in ("DAPI", "Singlet"):
         one = rows.where(F.col("gate") == name)
-        parts.append((name, A.analyse(one, SINGLE).boot))
+        parts.append((name, A.analyse(one, SINGLE.with_keys("gate")).boot))
     out = A.stack(*parts)
     return out.select("gate", *SINGLE.summary_keys, "bin_id", MEAN, "n_cells")
 
@@ -978,27 +1027,26 @@ def single_ligand_analysis(spark, folder):
 
 @query
 def decile_analysis(spark, folder):
-    boot = A.analyse(trimmed(spark, folder), replace(BOOT, binning="equal_count")).boot
+    boot = A.analyse(trimmed(spark, folder, "cell_id"), replace(BOOT, binning="equal_count")).boot
     return boot.select(*BOOT.summary_keys, "bin_id", *INTERVALS, "n_cells")
 
 
 @query
 def two_ligand_analysis(spark, folder):
-    s = replace(GRID, statistic="bootstrap", n_boot=N_BOOT, seed=SEED)
-    return A.analyse(grid_cells(spark, folder), s).boot
+    return A.analyse(grid_cells(spark, folder), GRID).boot
 
 
 @query
 def two_ligand_decile_analysis(spark, folder):
     s = replace(A.TWO_LIGAND_DECILES, q_ha=0.1, n_boot=N_BOOT, seed=SEED)
-    boot = A.analyse(grid_cells(spark, folder), s).boot
+    boot = A.analyse(grid_cells(spark, folder, "cell_id"), s).boot
     return boot.select(*s.summary_keys, "bin_id", *INTERVALS, "n_cells")
 
 
 @query
 def one_experiment_analysis(spark, folder):
     """Bins over all conditions of an experiment, for every experiment."""
-    s = replace(SINGLE, n_bins=5, bin_keys=("experiment",))
+    s = replace(PLAIN, n_bins=5, bin_keys=("experiment",))
     return A.analyse_experiment(trimmed(spark, folder), s)["bin_summary"]
 
 
@@ -1011,12 +1059,12 @@ def one_experiment_bootstrap(spark, folder):
 
 @query
 def one_experiment_density_of_all(spark, folder):
-    return A.analyse_experiment(trimmed(spark, folder), replace(SINGLE, n_bins=5))["density_all"]
+    return A.analyse_experiment(trimmed(spark, folder), replace(PLAIN, n_bins=5))["density_all"]
 
 
 @query
 def one_experiment_density(spark, folder):
-    return A.analyse_experiment(trimmed(spark, folder), replace(SINGLE, n_bins=5))["density_filtered"]
+    return A.analyse_experiment(trimmed(spark, folder), replace(PLAIN, n_bins=5))["density_filtered"]
 
 
 @query
@@ -1069,7 +1117,7 @@ def tree_to_bootstrapped_bins(spark, folder):
     """From a tree of CSV samples to the bootstrapped bins of the single-ligand analysis."""
     root = _fresh(spark, "csv")
     _write_tree(raw_cells(spark, folder), root, "single", ["experiment"], FIVE)
-    loaded = csv_tree.load_cells(spark, root, "single_ligand")
+    loaded = materialize(csv_tree.load_cells(spark, root, "single_ligand"))
     return A.analyse(gates.trim_outliers(loaded, S.TRIM_KEYS_GATED), BOOT).boot
 
 
@@ -1085,7 +1133,7 @@ def _no_ligand(spark, folder):
     root = _fresh(spark, "csv")
     raw = raw_cells(spark, folder).where(F.col("ligand") == S.NO_LIGAND)
     _write_tree(raw, root, "no_ligand", ["experiment"], FIVE)
-    return csv_tree.load_cells(spark, root, "no_ligand")
+    return materialize(csv_tree.load_cells(spark, root, "no_ligand"))
 
 
 @query
@@ -1102,9 +1150,29 @@ def no_ligand_analysis(spark, folder):
     return boot.select(*s.summary_keys, "bin_id", *INTERVALS, "n_cells")
 
 
+def _summaries(spark, folder):
+    """Bin states of all experiments: those of 2001 are added to a table of the others."""
+    stored, path = _fresh(spark, "cells"), _fresh(spark, "states")
+    cells(spark, folder).write.partitionBy("experiment").parquet(stored)
+    rows = spark.read.schema(cells(spark, folder).schema).parquet(stored)
+    summaries.add_experiments(rows.where("experiment <> '2001'"), path, PLAIN, accuracy=60_000)
+    summaries.add_experiments(rows, path, PLAIN, accuracy=60_000)
+    return summaries.read_states(spark, path)
+
+
+@query
+def summaries_with_one_more_experiment(spark, folder):
+    return summaries.described(_summaries(spark, folder), list(PLAIN.summary_keys), PLAIN.signal)
+
+
+@query
+def summaries_merged_over_experiments(spark, folder):
+    keys = ["cell_line", "dox", "ligand", "ligand_conc"]
+    return summaries.described(summaries.merged_states(_summaries(spark, folder), keys, PLAIN.signal), keys, PLAIN.signal)
+
+
 @query
 def minimum_slice(spark, folder):
     """Trim, ratio, gate, bin, summarise, renumber."""
-    return single(spark, folder).select(
-        *SINGLE.summary_keys, "bin_id", "bin_lo", "bin_hi", MEAN, "median_norm_psmad2", "n_cells"
-    )
+    boot = A.analyse(trimmed(spark, folder), PLAIN).boot
+    return boot.select(*SINGLE.summary_keys, "bin_id", "bin_lo", "bin_hi", MEAN, "median_norm_psmad2", "n_cells")

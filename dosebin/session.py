@@ -26,6 +26,8 @@ def local_session(app: str = "dosebin", cores: str = "*", partitions: int = 8) -
         .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # Call sites of columns for error messages take several round trips to the JVM each.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
@@ -64,6 +66,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def landed(scan: DataFrame) -> DataFrame:
+    """``scan`` itself, or its rows stored once in as many files as there are cores.
+
+    Files of a few row groups are read by a few tasks however many cores there are, and so is
+    everything up to the first shuffle; such rows are dealt over the cores once.  A scan of as many splits
+    as cores is left as it is: it is never shuffled for this.  ``scan`` must be a plain scan and projection.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else materialize(scan.repartition(cores))
+
+
 def release_tables(spark: SparkSession) -> int:
     """Delete the tables that ``materialize`` has written so far; results not read yet need them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -89,11 +102,8 @@ def attach(df: DataFrame, summary: DataFrame, keys: list[str], how: str = "inner
         return df.withColumns(
             {f.name: F.lit(row[f.name]).cast(f.dataType) for f in summary.schema}
         )
-    renamed = summary.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
-        *[c for c in summary.columns if c not in keys],
+    renamed = summary.selectExpr(
+        *[f"`{k}` as `__k_{k}`" for k in keys], *[f"`{c}`" for c in summary.columns if c not in keys]
     )
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    cond = F.expr(" and ".join(f"`{k}` <=> `__k_{k}`" for k in keys))
     return df.join(renamed, cond, how).drop(*[f"__k_{k}" for k in keys])

@@ -2,57 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import log_channel, log_ratio
+from ..session import landed
+
+LINE_ITEM = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_linestatus l_shipdate".split()
+_LANDED: dict[tuple, DataFrame] = {}
+
+
+def landed_table(spark: SparkSession, folder: str, name: str, columns: list[str]) -> DataFrame:
+    """Some columns of a table; a table of few row groups is stored once a session in as many files as there are cores.
+
+    It is stored again when its files change.
+    """
+    table = read_table(spark, folder, name).select(*columns)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f) for f in sorted(table.inputFiles())]
+    seen = tuple((f.toString(), f.getFileSystem(conf).getFileStatus(f).getModificationTime()) for f in files[:1000])
+    key = (spark.sparkContext.applicationId, name, *columns, len(files), seen)
+    if key not in _LANDED:
+        _LANDED[key] = landed(table)
+    return _LANDED[key]
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def content_id(*columns: Column) -> Column:
-    """60-bit integer from the text of a row's columns; equal rows get equal ids."""
-    text = F.concat_ws("|", *[c.cast("string") for c in columns])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+def content_id(*columns: str) -> str:
+    """SQL of a 60-bit integer from the text of a row's columns; equal rows get equal ids."""
+    text = ", ".join(f"cast({c} as string)" for c in columns)
+    return f"cast(conv(substring(md5(concat_ws('|', {text})), 1, 15), 16, 10) as bigint)"
 
 
 def raw_cells(spark: SparkSession, folder: str) -> DataFrame:
     """One cell per line item: condition columns and linear channels."""
-    li = read_table(spark, folder, "lineitem")
-    arm = F.col("l_orderkey") % 5
-    grid_x = F.array(*[F.lit(v) for v in (0.0, 0.316, 1.0, 3.16)])
-    grid_y = F.array(*[F.lit(v) for v in (0.0, 2.5, 7.9, 25.0)])
-    return li.select(
-        F.year("l_shipdate").cast("string").alias("experiment"),
-        F.when(F.col("l_linenumber") <= 5, "R3").otherwise("Luc").alias("cell_line"),
-        F.when(F.col("l_linestatus") == "F", "-dox").otherwise("+dox").alias("dox"),
-        F.when(arm == 0, "No Cyto").when(arm == 4, "GDF11").otherwise("TGFB1").alias("ligand"),
-        F.when(arm == 0, 0.0)
-        .when(arm == 1, 0.1)
-        .when(arm == 2, 1.0)
-        .when(arm == 3, 3.16)
-        .otherwise(2.5)
-        .alias("ligand_conc"),
-        (F.col("l_suppkey") % 2 + 1).cast("int").alias("replicate"),
-        F.when(F.col("l_suppkey") % 3 == 0, "DAPI").otherwise("Singlet").alias("gate"),
-        F.get(grid_x, (F.col("l_orderkey") % 4).cast("int")).alias("tgfb1"),
-        F.get(grid_y, (F.col("l_suppkey") % 4).cast("int")).alias("gdf11"),
-        (F.col("l_partkey") + 10).cast("double").alias("ha"),
-        F.col("l_quantity").alias("psmad2"),
-        F.col("l_extendedprice").alias("smad2"),
-        F.col("l_suppkey").cast("double").alias("dapi"),
-        content_id(
-            F.col("l_orderkey"),
-            F.col("l_partkey"),
-            F.col("l_suppkey"),
-            F.col("l_linenumber"),
-            F.round(F.col("l_quantity") * 100).cast("bigint"),
-            F.round(F.col("l_extendedprice") * 100).cast("bigint"),
-            F.round(F.col("l_discount") * 100).cast("bigint"),
-            F.round(F.col("l_tax") * 100).cast("bigint"),
-        ).alias("cell_id"),
+    cents = [f"cast(round({c} * 100) as bigint)" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    return landed_table(spark, folder, "lineitem", LINE_ITEM).selectExpr(
+        "cast(year(l_shipdate) as string) as experiment",
+        "case when l_linenumber <= 5 then 'R3' else 'Luc' end as cell_line",
+        "case when l_linestatus = 'F' then '-dox' else '+dox' end as dox",
+        "case l_orderkey % 5 when 0 then 'No Cyto' when 4 then 'GDF11' else 'TGFB1' end as ligand",
+        "case l_orderkey % 5 when 0 then 0D when 1 then 0.1D when 2 then 1D when 3 then 3.16D else 2.5D end as ligand_conc",
+        "cast(l_suppkey % 2 + 1 as int) as replicate",
+        "case when l_suppkey % 3 = 0 then 'DAPI' else 'Singlet' end as gate",
+        "get(array(0D, 0.316D, 1D, 3.16D), cast(l_orderkey % 4 as int)) as tgfb1",
+        "get(array(0D, 2.5D, 7.9D, 25D), cast(l_suppkey % 4 as int)) as gdf11",
+        "cast(l_partkey + 10 as double) as ha",
+        "l_quantity as psmad2",
+        "l_extendedprice as smad2",
+        "cast(l_suppkey as double) as dapi",
+        content_id("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *cents) + " as cell_id",
     )
 
 

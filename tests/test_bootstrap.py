@@ -11,6 +11,7 @@ from dosebin.operators import bootstrap
 from dosebin.operators.bootstrap import bootstrap_bins, bootstrap_replicates
 
 P = (1 << 31) - 1
+Z = 500_000_003
 
 
 def by_hand(values, key, seed, b):
@@ -19,7 +20,7 @@ def by_hand(values, key, seed, b):
     n = len(values)
     digest = hashlib.md5(f"{seed}|{key}|{b}".encode()).hexdigest()
     c = [int(digest[8 * i : 8 * i + 8], 16) & ((1 << 28) - 1) for i in range(4)]
-    drawn = [values[(((c[3] * i**3 + c[2] * i**2 + c[1] * i + c[0]) % P) * n) >> 31] for i in range(n)]
+    drawn = [values[(((c[3] * i**3 + c[2] * i**2 + c[1] * i + c[0]) % P) * n) >> 31] for i in range(Z, Z + n)]
     return np.mean(drawn), np.median(drawn)
 
 
@@ -65,34 +66,104 @@ def test_low_mean_high(spark):
             assert r[f"{s}_norm_psmad2_low"] - 1e-9 <= x <= r[f"{s}_norm_psmad2_high"] + 1e-9
 
 
-@pytest.mark.parametrize("slice_cells", [7, 250, 2999])
-def test_slices_do_not_change_any_number(spark, monkeypatch, slice_cells):
+def tree_by_hand(n_cells, block, text):
+    """Counts per block: every draw alone, digit by digit, with unbounded integers."""
+
+    def value(c, z):
+        z += Z
+        return (c[3] * z**3 + c[2] * z**2 + c[1] * z + c[0]) % P
+
+    def coefficients(t):
+        digest = hashlib.md5(t.encode()).hexdigest()
+        return [int(digest[8 * i : 8 * i + 8], 16) & ((1 << 28) - 1) for i in range(4)]
+
+    counts = {}
+
+    def split(i, j, n):
+        if j - i == 1:
+            counts[i] = n
+            return
+        mid, size = (i + j) // 2, min(n_cells, j * block) - i * block
+        c, rest, open_, left = coefficients(f"{text}|{i}|{j}"), (mid - i) * block, n, 0
+        for digit in range(48):
+            if not rest or not open_:
+                break
+            coins = [value(c, digit * 2**25 + k // 30) >> (k % 30) & 1 for k in range(open_)]
+            rest *= 2
+            if rest >= size:
+                rest -= size
+                left += coins.count(0)
+                open_ = coins.count(1)
+            else:
+                open_ = coins.count(0)
+        split(i, mid, left)
+        split(mid, j, n - left)
+
+    split(0, -(-n_cells // block), n_cells)
+    return [counts[i] for i in range(len(counts))], coefficients, value
+
+
+def test_tree_against_single_coins():
+    for n, block in ((100, 7), (64, 8), (1000, 333), (9, 100), (41, 40)):
+        texts = ["3|a|1", "3|a|2"]
+        got = bootstrap.block_counts(n, block, texts)
+        for row, text in zip(got, texts):
+            assert row.tolist() == tree_by_hand(n, block, text)[0] and row.sum() == n
+
+
+def test_draws_fall_evenly():
+    """Block counts have a binomial's mean and variance, and draws of more than one part add up."""
+    texts = [f"1|x|{b}" for b in range(4000)]
+    counts = bootstrap.block_counts(1000, 300, texts)  # 300, 300, 300, 100
+    for k, share in enumerate((0.3, 0.3, 0.3, 0.1)):
+        assert counts[:, k].mean() == pytest.approx(1000 * share, abs=4 * (1000 * share * (1 - share) / 4000) ** 0.5)
+        assert counts[:, k].var() == pytest.approx(1000 * share * (1 - share), rel=0.12)
+    assert np.corrcoef(counts[:, 0], counts[:, 1])[0, 1] == pytest.approx(-0.43, abs=0.06)
+
+
+def test_draws_of_a_small_bin_fall_evenly():
+    """Every position of a bin is drawn as often as any other, by the first draws too."""
+    coef = bootstrap._coefficients([f"1|x|{b}" for b in range(8000)])
+    drawn = bootstrap._hash(coef, bootstrap.FIRST + np.arange(5)) * 8 >> 31
+    for k in range(5):
+        assert np.abs(np.bincount(drawn[:, k], minlength=8) - 1000).max() < 4.5 * 1000**0.5
+
+
+def test_more_draws_than_a_split_holds(monkeypatch):
+    monkeypatch.setattr(bootstrap, "SPLIT_DRAWS", 100)
+    texts = [f"1|x|{b}" for b in range(500)]
+    counts = bootstrap.block_counts(1000, 500, texts)
+    assert set(counts.sum(axis=1)) == {1000} and counts[:, 0].var() == pytest.approx(250, rel=0.3)
+
+
+@pytest.mark.parametrize("slice_cells", [64, 1500, 100_000])
+def test_slices_do_not_change_any_number(spark, slice_cells):
     """A hot bin in slices of several widths, with a value held by a third of its cells."""
-    monkeypatch.setattr(bootstrap, "CHUNK_DRAWS", 700)
-    monkeypatch.setattr(bootstrap, "DRAWS_AT_ONCE", 3000)
     rng = np.random.default_rng(0)
     x = rng.normal(10, 2, 3000)
     x[:1000] = 11.0
     df = spark.createDataFrame(
         pd.DataFrame({"k": "hot", "bin_id": 1, "norm_psmad2": x})
     ).unionByName(spark.createDataFrame([("cold", 1, 1.0), ("cold", 1, 2.0)], "k string, bin_id long, norm_psmad2 double"))
-    order = ["k", "replicate_no"]
-    sliced = bootstrap_replicates(df, ["k"], n_boot=30, seed=1, slice_cells=slice_cells).toPandas()
-    whole = bootstrap_replicates(df, ["k"], n_boot=30, seed=1).toPandas()
-    sliced, whole = (d.sort_values(order).reset_index(drop=True) for d in (sliced, whole))
-    pd.testing.assert_frame_equal(sliced, whole, check_exact=False, rtol=1e-12)
-    hot = whole[whole.k == "hot"]
-    assert set(hot.n_cells) == {3000} and len(whole) == 60
-    mean, median = by_hand(x.tolist(), "hot|1", 1, 4)
-    four = hot[hot.replicate_no == 4].iloc[0]
-    assert (four.boot_mean, four.boot_median) == (pytest.approx(mean), pytest.approx(median))
+    got = bootstrap_replicates(df, ["k"], n_boot=12, seed=1, slice_cells=slice_cells, block_cells=64).collect()
+    assert len(got) == 24 and {r.n_cells for r in got if r.k == "hot"} == {3000}
+    ordered = np.sort(x)
+    for r in got:
+        if r.k == "hot":
+            text = f"1|hot|1|{r.replicate_no}"
+            counts, coefficients, value = tree_by_hand(3000, 64, text)
+            drawn = []
+            for i, n in enumerate(counts):
+                c, own = coefficients(f"{text}|{i}|{i + 1}"), ordered[64 * i : 64 * i + 64]
+                drawn += [own[value(c, z) * len(own) >> 31] for z in range(n)]
+            assert (r.boot_mean, r.boot_median) == (pytest.approx(np.mean(drawn)), pytest.approx(np.median(drawn)))
 
 
 def test_intervals_are_those_of_the_mean(spark):
     df = spark.range(2000).select(
         F.lit("k").alias("k"), F.lit(1).alias("bin_id"), (F.col("id") % 500).cast("double").alias("norm_psmad2")
     )
-    r = bootstrap_bins(df, ["k"], n_boot=400, slice_cells=100).first()
+    r = bootstrap_bins(df, ["k"], n_boot=400, slice_cells=100, block_cells=50).first()
     assert r.n_cells == 2000
     assert r.mean_norm_psmad2 == pytest.approx(249.5, abs=1)
     assert r.mean_norm_psmad2_high - r.mean_norm_psmad2_low == pytest.approx(2 * 1.96 * 144.3 / 2000**0.5, rel=0.15)
