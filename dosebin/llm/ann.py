@@ -1,10 +1,13 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on a bounded sample and then every row is put into a leaf.  A query walks the
+The tree is fitted on a bounded sample and then every row is put into a leaf.  Leaves that hold too
+many rows are divided again, each by a sample of its own rows, so the number of leaves grows
+with the table and a leaf does not.  A query walks the
 tree with a priority queue of nodes, the most promising first, and visits leaves in that order.
 How many it must visit is calibrated: for some queries the true neighbours are found by a full
 scan, and visits are widened until those leaves hold the wanted share of them.
-Leaves are searched as blocks of bounded size, each giving its best k per query.
+Leaves are searched as blocks of bounded size by parts of their queries, also of bounded size; each pair of
+block and part gives the block's best k per query.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ BRANCHES = 8
 LEAF_SAMPLE = 384
 CALIBRATED = 64
 BLOCK_ROWS = 4096
+PART_QUERIES = 4096
+LEAF_ROWS = 65_536
 CLOSE = 1e-9  # scores of one pair by different orders of summing differ by far less
 
 
@@ -73,17 +78,39 @@ def grow(x: np.ndarray, branches: int = BRANCHES, leaf_rows: int = LEAF_SAMPLE,
 
 def leaf_of(tree: Tree, x: np.ndarray) -> np.ndarray:
     """Leaf of each row: from the root to the child with the nearest centre."""
-    node, out = np.zeros(len(x), np.int64), np.full(len(x), -1)
-    for v, kids in enumerate(tree.children):  # parents come before their children
-        rows = np.flatnonzero(node == v)
-        if len(rows) and kids:
-            c = tree.centres[kids]
-            node[rows] = np.array(kids)[((c**2).sum(1) - 2 * x[rows] @ c.T).argmin(1)]
-        elif len(rows):
+    out, todo = np.full(len(x), -1), [(0, np.arange(len(x)))]
+    while todo:
+        v, rows = todo.pop()
+        kids = tree.children[v]
+        if not kids:
             out[rows] = tree.leaf[v]
+            continue
+        c = tree.centres[kids]
+        near = ((c**2).sum(1) - 2 * x[rows] @ c.T).argmin(1)
+        todo += [(kids[k], rows[near == k]) for k in np.unique(near).tolist()]
     return out
 
 
+def graft(tree: Tree, grown: dict[int, Tree]) -> Tree:
+    """``tree`` with some leaves (by number) divided as their own trees say."""
+    children, leaf = [list(c) for c in tree.children], tree.leaf.tolist()
+    centres, spread, free = [tree.centres], [tree.spread], int(tree.leaf.max()) + 1
+    node = {n: v for v, n in enumerate(leaf) if n >= 0}
+    for n, sub in sorted(grown.items()):
+        if len(sub.children) < 2:
+            continue
+        shift = len(children) - 1  # the root of the smaller tree is the leaf itself
+        children[node[n]] = [c + shift for c in sub.children[0]]
+        leaf[node[n]] = -1
+        for kids, own in zip(sub.children[1:], sub.leaf[1:].tolist()):
+            children.append([c + shift for c in kids])
+            leaf.append(-1 if own < 0 else free + own)
+        free += int(sub.leaf.max()) + 1
+        centres.append(sub.centres[1:])
+        spread.append(sub.spread[1:])
+    return Tree(children, np.concatenate(centres), np.concatenate(spread), np.array(leaf))
+
+
 def best_bins(tree: Tree, q: np.ndarray, enough) -> list[int]:
     """Leaves in the order a query visits them, while ``enough(leaves so far)`` is false.
 
@@ -185,16 +212,49 @@ def build(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "vec_id
     some = usable.where(chosen).groupBy("vec_id").agg(F.first("vec").alias("vec")).collect()
     sample = np.array([r["vec"] for r in sorted(some, key=lambda r: r["vec_id"])], np.float64)
     tree = grow(sample if len(sample) else np.zeros((1, 1)))
-    sent = spark.sparkContext.broadcast(tuple(tree))
+    stored, held, whole, number = _placed(usable, tree, folder, 0), {}, set(), 0
+    while True:
+        held = {r[0]: r[1] for r in stored.groupBy("leaf").count().collect()}  # a row per leaf
+        large = {leaf: n for leaf, n in held.items() if n > LEAF_ROWS and leaf not in whole}
+        if not large:
+            return Index(tree, stored, held)
+        grown = _grown_leaves(stored, large, sample_rows)
+        whole |= {leaf for leaf in large if len(grown[leaf].children) < 2}  # equal rows are not divided
+        tree, number = graft(tree, grown), number + 1
+        stored = _placed(stored.select("vec_id", "vec"), tree, folder, number)
+
+
+def _placed(rows: DataFrame, tree: Tree, folder: str, number: int) -> DataFrame:
+    """``vec_id, vec`` rows with their leaf, stored."""
+    sent = rows.sparkSession.sparkContext.broadcast(tuple(tree))  # a centre for LEAF_ROWS / BRANCHES rows or more
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaf = leaf_of(Tree(*sent.value), _matrix(batch.column("vec"))) if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], [*batch.schema.names, "leaf"])
 
-    placed = usable.mapInArrow(place, usable.withColumn("leaf", F.lit(0)).schema)
-    stored = files.written(placed, folder, "rows")
-    return Index(tree, stored, {r[0]: r[1] for r in stored.groupBy("leaf").count().collect()})
+    return files.written(rows.mapInArrow(place, rows.withColumn("leaf", F.lit(0)).schema), folder, f"rows-{number}")
+
+
+def _grown_leaves(rows: DataFrame, large: dict[int, int], sample_rows: int) -> dict[int, Tree]:
+    """A tree for each large leaf from about ``sample_rows`` of its own rows, grown in tasks."""
+    spark = rows.sparkSession
+    chances = spark.createDataFrame([(leaf, sample_rows / n) for leaf, n in large.items()], "leaf int, chance double")
+    uniform = F.shiftrightunsigned(F.xxhash64("vec_id", "vec", F.lit("leaf")), 11) / float(1 << 53)
+    some = rows.join(chances, "leaf").where(uniform < F.col("chance")).groupBy("leaf", "vec_id").agg(F.first("vec").alias("vec"))
+
+    def run(table: pa.Table) -> pa.Table:
+        tree = grow(_matrix(table.sort_by("vec_id").column("vec")))
+        whole, real = pa.list_(pa.int64()), pa.list_(pa.float64())
+        made = zip((tree.children, tree.centres.tolist(), tree.spread.tolist(), tree.leaf.tolist()), (pa.list_(whole), pa.list_(real), real, whole))
+        columns = [table.column("leaf").slice(0, 1).combine_chunks(), *(pa.array([v], t) for v, t in made)]
+        return pa.Table.from_arrays(columns, ["leaf", "children", "centres", "spread", "leaves"])
+
+    schema = "leaf int, children array<array<bigint>>, centres array<array<double>>, spread array<double>, leaves array<bigint>"
+    got = some.groupBy("leaf").applyInArrow(run, schema).collect()
+    grown = {r["leaf"]: Tree([list(c) for c in r["children"]], np.array(r["centres"]), np.array(r["spread"]), np.array(r["leaves"])) for r in got}
+    alone = Tree([[]], np.zeros((1, 1)), np.zeros(1), np.zeros(1, int))  # no row was chosen: its rows are one and the same
+    return {leaf: grown.get(leaf, alone) for leaf in large}
 
 
 def calibrate(index: Index, queries: DataFrame, k: int, recall: float, calibrated: int = CALIBRATED) -> int:
@@ -221,45 +281,48 @@ def search(index: Index, queries: DataFrame, k: int = 20, recall: float = 0.95,
     """The ``k`` nearest indexed rows of every query but itself: ``query_id, rank, vec_id, score``.
 
     ``queries`` has ``vec_id, vec``, each id once.  Nearness is the inner product; equal ones go to the smaller id.
+    Repeated rows of the index are rows of their own, but all rows with a query's id are its own and left out.
     ``visits`` leaves (default: calibrated for ``recall``) are searched, and more where these
     hold no more than ``k`` rows.
     """
     spark = queries.sparkSession
+    folder = files.new_folder(spark, "ann-search")
     visits = visits or calibrate(index, queries, k, recall)
     sent = spark.sparkContext.broadcast((tuple(index.tree), index.leaf_rows))
-    blocks = {leaf: -(-n // BLOCK_ROWS) for leaf, n in index.leaf_rows.items()}
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, held = Tree(*sent.value[0]), sent.value[1]
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                some = batch.slice(i, 64)
-                at, leaves, parts = [], [], []
-                for j, q in enumerate(_matrix(some.column("vec"))):
-                    found = best_bins(tree, q, lambda f: len(f) >= visits and sum(held.get(v, 0) for v in f) > k)
-                    for leaf in found:
-                        for b in range(blocks.get(leaf, 0)):
-                            at.append(j), leaves.append(leaf), parts.append(b)
-                take = pa.array(at, pa.int64())
-                columns = [c.take(take) for c in (some.column("vec_id"), some.column("vec"))]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(leaves, pa.int32()), pa.array(parts, pa.int64())], ["vec_id", "vec", "leaf", "block"]
-                )
-
-    kind = queries.withColumn("leaf", F.lit(0)).withColumn("block", F.lit(0).cast("long")).select("vec_id", "vec", "leaf", "block").schema
-    asked = queries.select("vec_id", "vec").mapInArrow(ask, kind)
-    count = F.coalesce(F.get(F.array(*[F.lit(blocks.get(v, 1)) for v in range(max(blocks, default=0) + 1)]), F.col("leaf")), F.lit(1))
-    rows = index.rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "vec"), count).cast("long"))
+            at, leaves = [], []
+            for j, q in enumerate(_matrix(batch.column("vec"))):
+                found = best_bins(tree, q, lambda f: len(f) >= visits and sum(held.get(v, 0) for v in f) > k)
+                at += [j] * len(found)
+                leaves += found
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at, pa.int64())), pa.array(leaves, pa.int32())], ["vec_id", "leaf"])
+
+    asked = queries.select("vec_id", "vec")
+    visited = files.written(asked.mapInArrow(ask, "vec_id long, leaf int"), folder, "visits")
+    # Of each leaf, how many blocks of rows and parts of queries there are; every part meets every block.
+    share = lambda n, of: F.ceil(F.col(n) / of).cast("long")
+    leaves = index.rows.groupBy("leaf").agg(F.count("*").alias("n")).select("leaf", share("n", BLOCK_ROWS).alias("blocks"))
+    leaves = leaves.join(visited.groupBy("leaf").agg(F.count("*").alias("n")), "leaf").select("leaf", "blocks", share("n", PART_QUERIES).alias("parts"))
+    leaves = files.written(leaves, folder, "leaves")
+    counted = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    rows = index.rows.join(leaves, "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id", "vec"), F.col("blocks")))
+    rows = rows.select("leaf", "block", F.explode(counted("parts")).alias("part"), "vec_id", "vec")
+    told = visited.join(leaves, "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit("part")), F.col("parts")))
+    told = told.select("leaf", F.explode(counted("blocks")).alias("block"), "part", "vec_id").join(asked, "vec_id")
+    told = told.select("leaf", "block", "part", F.col("vec_id").alias("query_id"), F.col("vec").alias("query"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         got = []
         if left.num_rows and right.num_rows:
             ids, x = left.column("vec_id").to_numpy(), _matrix(left.column("vec"))
-            names, q = right.column("vec_id").to_numpy(), _matrix(right.column("vec"))
+            names, q = right.column("query_id").to_numpy(), _matrix(right.column("query"))
             for i in range(0, len(q), 512):
                 scores = x @ q[i : i + 512].T
                 got += [(names[i + j], *_top(scores[:, j], ids, x, q[i + j], names[i + j], k)) for j in range(scores.shape[1])]
         return pa.Table.from_arrays(_found(got), ["query_id", "vec_id", "score"])
 
-    both = rows.groupBy("leaf", "block").cogroup(asked.groupBy("leaf", "block"))
-    return _ranked(both.applyInArrow(meet, _FOUND), k)
+    meeting = ["leaf", "block", "part"]
+    return _ranked(rows.groupBy(*meeting).cogroup(told.groupBy(*meeting)).applyInArrow(meet, _FOUND), k)

@@ -58,6 +58,28 @@ def test_visits_are_fewer_where_there_are_clusters(spark, monkeypatch):
     assert found(ann.search(index, asked(index), 10, visits=10_000).collect()) == want
 
 
+def test_large_leaves_are_divided_and_hot_leaves_parted(spark, monkeypatch):
+    """Leaves grow with the table; queries of a leaf meet its blocks in parts."""
+    monkeypatch.setattr(ann, "LEAF_ROWS", 150)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(ann, "PART_QUERIES", 7)
+    monkeypatch.setattr(ann, "grow", lambda s, f=ann.grow: f(s, leaf_rows=60))
+    x = clustered(3000)
+    x[:700] = x[0]  # a leaf that cannot be divided
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    index = ann.build(df, sample_rows=200)
+    sizes = index.rows.groupBy("leaf").count().collect()
+    assert {r["leaf"]: r["count"] for r in sizes} == index.leaf_rows and sum(index.leaf_rows.values()) == 3000
+    assert sorted(index.leaf_rows.values())[-2] <= 150 and len(index.leaf_rows) > 20
+    leaves = index.tree.leaf[index.tree.leaf >= 0]
+    assert len(set(leaves.tolist())) == len(leaves) and all(not kids for kids, n in zip(index.tree.children, index.tree.leaf) if n >= 0)
+    placed = {r.vec_id: r.leaf for r in index.rows.collect()}
+    assert [placed[i] for i in range(3000)] == ann.leaf_of(index.tree, x).tolist()
+    assert found(ann.search(index, asked(index), 10, visits=10_000).collect()) == brute(np.arange(3000), x, 10)
+    got, want = found(ann.search(index, asked(index), 10).collect()), brute(np.arange(3000), x, 10)
+    assert np.mean([len(set(got[q]) & set(want[q])) / 10 for q in want]) >= 0.9
+
+
 def test_ties_hot_vectors_and_unusable_rows(spark):
     same, other = [0.1, 0.2, 0.3, 0.4], clustered(200)[:, :4].tolist()
     rows = [(i, same) for i in range(300)] + [(1000 + i, v) for i, v in enumerate(other)]
