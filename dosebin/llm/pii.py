@@ -106,14 +106,14 @@ def _shape(token: str) -> str:
 
 
 def _features(text: str, start: int, stop: int) -> list[int]:
-    token, digits = text[start:stop][:200], _only_digits(text[start:stop][:200])
+    token, digits = text[start:stop], _only_digits(text[start:stop])
     before, after = text[max(0, start - 2) : start], text[stop : stop + 2]
     parts = token.split(".")
     octets = len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts if p.isascii())
     valid = f"{octets}{14 <= len(digits) <= 19 and luhn(digits)}{'@' in token}"
     named = [
         "bias",
-        "shape " + _shape(token)[:60],
+        "shape " + _shape(token),
         "valid " + valid,
         f"digits {len(digits)} {valid}",
         f"parts {len(parts)} {valid}",
@@ -138,6 +138,7 @@ def graph(text: str, base: list[Span]) -> Graph:
     spans = tokens(text)
     labels, features, chain, skip, k = [], [], [], [], 0
     seen: dict[str, int] = {}
+    run = ""  # the last digits of the chain that a token ends, so that a number in groups is known by its joined digits
     by_start = sorted(base, key=lambda s: s[1])
     for i, (a, b) in enumerate(spans):
         while k < len(by_start) and by_start[k][2] <= a:
@@ -145,11 +146,16 @@ def graph(text: str, base: list[Span]) -> Graph:
         over = [s[0] for s in by_start[k : k + 8] if s[1] < b and s[2] > a]
         labels.append(over[0] if over else OUT)
         features.append(_features(text, a, b))
-        if i and a - spans[i - 1][1] <= 2 and not any(c.isalnum() for c in text[spans[i - 1][1] : a]):
-            chain.append((i - 1, i))
         token = text[a:b].lower()
         digits = _only_digits(token)
-        keys = ["=" + token] + ["#" + digits[-7:]] * (len(digits) >= 7) + ["@" + token.split("@")[0]] * ("@" in token)
+        if i and a - spans[i - 1][1] <= 2 and not any(c.isalnum() for c in text[spans[i - 1][1] : a]):
+            chain.append((i - 1, i))
+            run += digits
+        else:
+            run = digits
+        run = run[-MOST_DIGITS:]
+        keys = ["=" + token] + ["@" + token.split("@")[0]] * ("@" in token)
+        keys += sorted({f"# {d[-7:]}" for d in (run, digits) if len(d) >= 7})
         tied = set()
         for key in keys:
             j = seen.get(key)

@@ -116,3 +116,17 @@ def test_odd_rows(spark, odd, odd_rows, none, model):
 def test_masks(spark, model):
     docs = spark.createDataFrame([row(1, "mail a@b.co, ip 1.2.3.4 or +1 (017) 555-7713."), row(2, "nothing"), row(3, "x@1.2.3.4 é")], SCHEMA)
     assert {r.doc_id: r.text for r in pii.mask(docs, model).collect()} == {1: "mail [EMAIL], ip [IP] or [PHONE].", 2: "nothing", 3: "[EMAIL] é"}
+
+
+def test_numbers_written_in_another_way_are_linked():
+    """In groups, in one piece, with and without prefix: the joined digits tie them."""
+    forms = ["+1 415 555 0134", "+14155550134", "4155550134", "415 555 0134", "415-555-0134", "(415) 555-0134", "1-415-555-0134"]
+    for a in forms:
+        for b in forms:
+            text = f"Call {a} today. Later text: {b} again, not 555 9999."
+            g = pii.graph(text, pii.base_spans(text))
+            at = text.index("Later")
+            assert any(g.spans[i][0] < at < g.spans[j][0] for i, j in g.skip), (a, b)
+            assert all("9999" not in text[slice(*g.spans[j])] for _, j in g.skip)
+    long = "x" + "1" * 5000
+    assert pii._features(f"{long} {long}2", 0, 5001)[1] != pii._features(f"{long[:-1]}b", 0, 5001)[1]  # whole tokens
