@@ -77,6 +77,11 @@ def landed(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else materialize(scan.repartition(cores))
 
 
+def written_tables() -> list[str]:
+    """Folders that ``materialize`` has written and ``release_tables`` has not deleted."""
+    return list(_WRITTEN)
+
+
 def release_tables(spark: SparkSession) -> int:
     """Delete the tables that ``materialize`` has written so far; results not read yet need them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

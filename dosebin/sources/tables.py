@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import log_channel, log_ratio
-from ..session import landed
 
 LINE_ITEM = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_linestatus l_shipdate".split()
-_LANDED: dict[tuple, DataFrame] = {}
+_LANDED: dict[tuple, tuple[DataFrame, set[str]]] = {}
 
 
 def landed_table(spark: SparkSession, folder: str, name: str, columns: list[str]) -> DataFrame:
     """Some columns of a table; a table of few row groups is stored once a session in as many files as there are cores.
 
-    It is stored again when its files change.
+    It is stored again when its files change or ``release_tables`` has deleted it.
     """
     table = read_table(spark, folder, name).select(*columns)
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     files = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f) for f in sorted(table.inputFiles())]
     seen = tuple((f.toString(), f.getFileSystem(conf).getFileStatus(f).getModificationTime()) for f in files[:1000])
     key = (spark.sparkContext.applicationId, name, *columns, len(files), seen)
-    if key not in _LANDED:
-        _LANDED[key] = landed(table)
-    return _LANDED[key]
+    if key not in _LANDED or not _LANDED[key][1] <= set(session.written_tables()):
+        before = set(session.written_tables())
+        stored = session.landed(table)
+        _LANDED[key] = stored, set(session.written_tables()) - before
+    return _LANDED[key][0]
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -14,6 +14,7 @@ from dosebin.operators import binning, gates, matrix
 from dosebin.plans import analysis as A
 from dosebin.plans import queries as Q
 from dosebin.plans.oracle import ORACLE
+from dosebin.sources import tables
 from dosebin.sources.tables import cells
 
 FEW = [
@@ -76,18 +77,34 @@ def test_rows_look_up_written_summaries(spark, folder):
 
 
 def scans_of(spark, monkeypatch, build):
-    """How often the raw line items are read: by the tables written on the way and by the result."""
+    """How often line items are read, by the tables written on the way and by the result: as given, and as landed."""
+    monkeypatch.setattr(tables, "_LANDED", {})
     plans = []
     writer = type(spark.range(1).write)
     keep = writer.parquet
     monkeypatch.setattr(writer, "parquet", lambda w, path, *a, **k: plans.append(plan_of(w._df)) or keep(w, path, *a, **k))
     plans.append(plan_of(build()))
-    return sum(p.count("lineitem.parquet") for p in plans)
+    ((_, stored),) = tables._LANDED.values()
+    assert len(stored) <= 1
+    return [sum(p.count(name) for p in plans) for name in ("lineitem.parquet", *(path.rsplit("/", 1)[1] for path in stored))]
 
 
 @pytest.mark.parametrize("name", ["single_ligand_analysis", "equal_width_bins", "parameter_sweep", "trim_outliers"])
 def test_raw_cells_are_read_three_times_at_most(spark, folder, monkeypatch, name):
-    assert 0 < scans_of(spark, monkeypatch, lambda: Q.QUERIES[name](spark, folder)) <= 3
+    raw, landed = scans_of(spark, monkeypatch, lambda: Q.QUERIES[name](spark, folder))
+    assert raw == 1 and 0 < landed <= 3
+
+
+def test_landed_tables_follow_their_files(spark, folder, monkeypatch):
+    monkeypatch.setattr(tables, "_LANDED", {})
+    monkeypatch.setattr(session, "_WRITTEN", [])
+    first = tables.landed_table(spark, folder, "events", ["event_id", "value"])
+    assert tables.landed_table(spark, folder, "events", ["event_id", "value"]) is first and first.rdd.getNumPartitions() > 1
+    assert session.release_tables(spark) == 1
+    again = tables.landed_table(spark, folder, "events", ["event_id", "value"])
+    assert again is not first and again.count() == spark.read.parquet(f"{folder}/events.parquet").count()
+    wide = spark.range(100, numPartitions=64)
+    assert session.landed(wide) is wide  # as many parts as cores: never shuffled
 
 
 def test_profiles_of_any_width(spark):
