@@ -811,6 +811,11 @@ def violin_density(spark, folder):
     return density.violin_density(tgf_diffs(spark, folder), ["ligand_conc"], "diffs")
 
 
+@query
+def violin_density_fine(spark, folder):
+    return density.violin_density(tgf_diffs(spark, folder), ["ligand_conc"], "diffs", points=8192)
+
+
 @query
 def distinct_units(spark, folder):
     return single(spark, folder).select("exp_rep", "ligand_conc").distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dosebin.functions import f_upper_tail, normal_quantile, t_quantile
 from dosebin.functions.distributions import beta_regularised
 from dosebin.operators import stats
+from dosebin.operators import density
 from dosebin.operators.density import violin_density
 
 
@@ -103,3 +104,11 @@ def test_qq_points(spark):
     want = [statistics.NormalDist().inv_cdf((i - 0.375) / 3.25) for i in (1, 2, 3)]
     assert [r.sample for r in got] == [1.0, 2.0, 3.0]
     assert [r.theoretical for r in got] == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("points", [16, 512, 1000])
+def test_transform_is_the_sum_over_all_pairs_of_nodes(points):
+    mass = np.random.default_rng(points).random(points) * (np.arange(points) % 3 == 0)
+    apart = (np.arange(points)[:, None] - np.arange(points)) * 0.07
+    direct = (mass * np.exp(-0.5 * apart**2)).sum(axis=1) / np.sqrt(2 * np.pi)
+    np.testing.assert_allclose(density._smoothed(mass, 0.07), direct, rtol=1e-10, atol=1e-12)
