@@ -67,8 +67,9 @@ def _hash(coef: np.ndarray, z: np.ndarray) -> np.ndarray:
     np.right_shift(h, 31, out=more)
     h &= PRIME
     h += more
-    np.multiply(h >= PRIME, PRIME, out=more)
-    h -= more
+    np.subtract(h, PRIME, out=more)
+    # Unsigned, a negative difference is larger than any value.
+    np.minimum(h.view(np.uint64), more.view(np.uint64), out=h.view(np.uint64))
     return h
 
 
@@ -219,7 +220,8 @@ def bootstrap_replicates(
 
 
 def _texts(seed: int, key: str, numbers) -> list[str]:
-    return [f"{seed}|{key}|{b}" for b in numbers]
+    start = f"{seed}|{key}|"
+    return [start + b for b in map(str, numbers)]
 
 
 def _schemas(fields: list[T.StructField]) -> tuple[T.StructType, pa.Schema]:
