@@ -9,8 +9,11 @@ headers, not the files, come to the driver.
 from __future__ import annotations
 
 import csv
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,11 +48,27 @@ def _lines(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _headers(lines: DataFrame) -> DataFrame:
-    """First line of every file: ``__path, __header``."""
+    """First line of every file: ``__path, __header``.
+
+    Lines come file by file, so all but the first of each are left out where they are scanned: an
+    aggregate that keeps a text would sort all lines.
+    """
     first = lines.where(F.col("__start") == 0).withColumn("__at", F.monotonically_increasing_id())
+    first = first.select("__path", "value", "__at").mapInArrow(_where_path_changes, "__path string, value string, __at long")
     return first.groupBy("__path").agg(F.min_by("value", "__at").alias("__header"))
 
 
+def _where_path_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose first column differs from that of the row before."""
+    last = pa.scalar(None, pa.string())
+    for batch in batches:
+        if batch.num_rows:
+            path = batch.column(0)
+            inner = pc.not_equal(path.slice(1), path.slice(0, len(path) - 1))
+            yield batch.filter(pa.concat_arrays([pa.array([path[0] != last]), inner]))
+            last = path[-1]
+
+
 def _columns(header: str) -> list[str]:
     """Column names of a header line; names in quotes may hold commas."""
     return [c.strip() for c in next(csv.reader([header.removeprefix("\ufeff")], skipinitialspace=True))]
@@ -165,22 +184,29 @@ def scan_samples(spark: SparkSession, root: str, layout: str = "single_ligand")
     names = sorted({n for *_, at in places for n in at})
     rows = [(h, t, [at.get(n) for n in names]) for h, t, at in places]
     known = spark.createDataFrame(rows, "__header string, __three boolean, __places array<int>")
-    heads = heads.join(known, ["__header", "__three"]).drop("__three")
-    data = lines.join(heads, "__path").where(~((F.col("__start") == 0) & (F.col("value") == F.col("__header"))))
-    cells = F.from_csv("value", ", ".join(f"c{i} double" for i in range(width)))
-    out = data.withColumn("__cells", cells).select(
+    heads = heads.join(known, ["__header", "__three"]).select(
+        "__path",
+        "__header",
+        "__places",
         sample_of_path(path).alias("sample"),
         _folder_of(path, 0).alias("experiment"),
         *([_folder_of(path, 1).alias("instrument")] if kind.three_laser else []),
-        *[
-            F.get(F.array(*[F.col(f"__cells.c{j}") for j in range(width)]), F.get("__places", F.lit(i))).alias(n)
-            for i, n in enumerate(names)
-        ],
     )
+    own = heads.columns[3:]
     fields = kind.parse(F.col("sample"))
     sample = fields.pop("sample", None)
-    out = out.withColumns(fields)
-    return out if sample is None else out.withColumn("sample", sample)
+    heads = heads.withColumns(fields)
+    # Names are parsed once per file, and written, so that the planner knows how small the table is.
+    heads = materialize(heads if sample is None else heads.withColumn("sample", sample))
+    data = lines.join(heads, "__path").where(~((F.col("__start") == 0) & (F.col("value") == F.col("__header"))))
+    # A generator is not copied into the expressions above it: each line is parsed once, not once per channel.
+    cells = F.from_csv("value", ", ".join(f"__c{i} double" for i in range(width)))
+    values = F.array(*[F.col(f"__c{j}") for j in range(width)])
+    return data.select(*heads.columns[2:], F.inline(F.array(cells))).select(
+        *own,
+        *[F.get(values, F.get("__places", F.lit(i))).alias(n) for i, n in enumerate(names)],
+        *fields,
+    )
 
 
 _FOLDERS = r"([^/=]+)/(?:[a-z_]+=)?([^/=]+)/(?:[a-z_]+=)?[^/=]+\.csv(?:/part-[^/]*)?$"
@@ -210,9 +236,13 @@ def land(cells: DataFrame, path: str, by: str = "experiment") -> None:
 
 
 def write_samples(cells: DataFrame, root: str, folders: list[str], sample: str = "sample") -> None:
-    """Write cells as a tree of per-sample CSV folders of part files, ``<sample>.csv`` each."""
+    """Write cells as a tree of per-sample CSV folders of part files, ``<sample>.csv`` each.
+
+    Rows are brought together by sample first, else every task writes a file of every sample; adaptive
+    execution divides a large sample over several tasks.
+    """
     named = cells.withColumn(sample, F.concat(F.col(sample), F.lit(".csv")))
-    named.write.mode("overwrite").option("header", True).partitionBy(*folders, sample).csv(root)
+    named.hint("rebalance", *folders, sample).write.mode("overwrite").option("header", True).partitionBy(*folders, sample).csv(root)
 
 
 def write_result(df: DataFrame, path: str) -> None:

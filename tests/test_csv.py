@@ -90,3 +90,30 @@ def test_land_prunes_partitions(spark, tmp_path):
     assert df.count() == 47
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(experiment" in plan and "ReadSchema: struct<ha:double>" in plan
+
+
+def test_each_line_is_parsed_once_and_names_once_per_file(spark, tmp_path):
+    head = "FSC-A,B1-A,YG1-A,R2-A,UV7-A\n"
+    for e in ("e1", "e2"):
+        put(str(tmp_path), f"{e}/R3_pD_0.1T_2.csv", head + "1,2,3,4,5\n")
+    df = csv_tree.load_cells(spark, str(tmp_path))
+    assert df.count() == 2
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv(") == 1 and "regexp" not in plan
+    assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_lines_across_batches():
+    import pyarrow as pa
+
+    batches = [pa.record_batch({"p": list(p), "v": list(v)}) for p, v in (("aab", "123"), ("", ""), ("bc", "45"), ("cc", "67"), ("a", "8"))]
+    got = [v for b in csv_tree._where_path_changes(iter(batches)) for v in b.column(1).to_pylist()]
+    assert got == ["1", "3", "5", "8"]
+
+
+def test_a_sample_is_not_written_by_every_task(spark, tmp_path):
+    cells = spark.range(0, 4000, 1, 16).selectExpr("'e' as experiment", "concat('R3_pD_', id % 20) as sample", "double(id) as ha")
+    csv_tree.write_samples(cells, str(tmp_path / "t"), ["experiment"])
+    files = [f for _, _, names in os.walk(tmp_path / "t") for f in names if f.endswith(".csv")]
+    assert len(files) == 20
+    assert spark.read.option("header", True).csv(str(tmp_path / "t")).count() == 4000
