@@ -167,3 +167,40 @@ def test_intervals_are_those_of_the_mean(spark):
     assert r.n_cells == 2000
     assert r.mean_norm_psmad2 == pytest.approx(249.5, abs=1)
     assert r.mean_norm_psmad2_high - r.mean_norm_psmad2_low == pytest.approx(2 * 1.96 * 144.3 / 2000**0.5, rel=0.15)
+
+
+def test_positions_are_the_scaled_hashes():
+    rng = np.random.default_rng(8)
+    for rows, count, size in ((1, 1, 1), (1, 67_001, 65_536), (40, 65, 9), (300, 1000, 1000), (5, 128, 65_535)):
+        coef = rng.integers(0, 1 << 28, (rows, 4))
+        coef[0] = (1 << 28) - 1
+        want = bootstrap._hash(coef, Z + np.arange(count)) * size >> 31
+        assert np.array_equal(bootstrap._positions(coef, count, size), want)
+
+
+def test_powers_of_draw_numbers_are_taken_once_a_span(monkeypatch):
+    """A replicate of a large bin hashed each of its draw numbers for itself."""
+    hashed = []
+    keep = bootstrap._hash
+    monkeypatch.setattr(bootstrap, "_hash", lambda coef, z: hashed.append(len(z)) or keep(coef, z))
+    n, texts = 60_000, ["a", "b", "c"]
+    bootstrap._resample(np.arange(n, dtype=float), 0, np.full((3, 1), n), np.zeros(3, np.int64), n, 1 << 16, texts)
+    assert sum(hashed) <= 3 * (n // 32)
+
+
+def test_trees_are_walked_for_many_replicates_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([("a", 1, float(x)) for x in rng.normal(0, 1, 500)], "k string, bin_id int, norm_psmad2 double")
+    seen = []
+    keep = bootstrap._sliced_bins
+    monkeypatch.setattr(bootstrap, "_sliced_bins", lambda *a: seen.append(a[-1]) or keep(*a))
+
+    def got():
+        reps = bootstrap_replicates(df, ["k"], n_boot=70, seed=3, slice_cells=64, block_cells=16)
+        return reps.orderBy("replicate_no").toPandas()
+
+    many = got()
+    monkeypatch.setattr(bootstrap, "WALKED_AT_ONCE", 1)
+    one = got()
+    assert seen[0] > 1 and seen[1] == 1 and len(one) == 70
+    pd.testing.assert_frame_equal(one, many, check_exact=False, rtol=1e-12)
