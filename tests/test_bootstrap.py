@@ -204,3 +204,28 @@ def test_trees_are_walked_for_many_replicates_at_once(spark, monkeypatch):
     one = got()
     assert seen[0] > 1 and seen[1] == 1 and len(one) == 70
     pd.testing.assert_frame_equal(one, many, check_exact=False, rtol=1e-12)
+
+
+def test_draws_are_counted_not_sorted(monkeypatch):
+    """Every replicate's positions were sorted and their values fetched one by one."""
+    rng = np.random.default_rng(6)
+    cells, texts = np.sort(rng.normal(4, 1, 5000)), [f"2|x|{b}" for b in range(60)]
+    asked = []
+    keep = bootstrap._positions
+    monkeypatch.setattr(bootstrap, "_positions", lambda *a: asked.append(a) or keep(*a))
+    sums, low, high = bootstrap._resample(cells, 0, np.full((60, 1), 5000), np.zeros(60, np.int64), 5000, 1 << 16, texts)
+    drawn = cells[bootstrap._hash(bootstrap._coefficients(texts), Z + np.arange(5000)) * 5000 >> 31]
+    assert np.allclose(sums, drawn.sum(axis=1), rtol=1e-13)
+    ranked = np.sort(drawn, axis=1)
+    assert np.array_equal(low, ranked[:, 2499]) and np.array_equal(high, ranked[:, 2500])
+    assert [len(a[0]) for a in asked] == [26, 26, 8]  # replicates that are counted together
+
+
+def test_infinite_values_count_only_where_drawn():
+    cells, texts = np.array([-np.inf, 1.0, 2.0, 3.0, np.inf]), [f"5|x|{b}" for b in range(300)]
+    with np.errstate(invalid="ignore"):
+        sums, low, _ = bootstrap._resample(cells, 0, np.full((300, 1), 5), np.zeros(300, np.int64), 5, 1 << 16, texts)
+        drawn = cells[bootstrap._hash(bootstrap._coefficients(texts), Z + np.arange(5)) * 5 >> 31]
+        assert np.array_equal(sums, drawn.sum(axis=1), equal_nan=True)
+    assert np.array_equal(low, np.sort(drawn, axis=1)[:, 2])
+    assert {-np.inf, np.inf} < set(sums[~np.isnan(sums)]) and np.isnan(sums).any() and np.isfinite(sums).any()
