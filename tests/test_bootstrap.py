@@ -229,3 +229,15 @@ def test_infinite_values_count_only_where_drawn():
         assert np.array_equal(sums, drawn.sum(axis=1), equal_nan=True)
     assert np.array_equal(low, np.sort(drawn, axis=1)[:, 2])
     assert {-np.inf, np.inf} < set(sums[~np.isnan(sums)]) and np.isnan(sums).any() and np.isfinite(sums).any()
+
+
+def test_middle_draws_are_found_by_lots(monkeypatch):
+    """The counts of all positions were added up one by one for every replicate."""
+    rng = np.random.default_rng(8)
+    cells, texts = np.sort(rng.normal(0, 1, 6500)), [f"3|x|{b}" for b in range(40)]
+    added, keep = [], np.cumsum
+    monkeypatch.setattr(np, "cumsum", lambda a, *rest, **more: added.append(np.size(a)) or keep(a, *rest, **more))
+    _, low, high = bootstrap._resample(cells, 0, np.full((40, 1), 6500), np.zeros(40, np.int64), 6500, 1 << 16, texts)
+    ranked = np.sort(cells[bootstrap._hash(bootstrap._coefficients(texts), Z + np.arange(6500)) * 6500 >> 31], axis=1)
+    assert np.array_equal(low, ranked[:, 3249]) and np.array_equal(high, ranked[:, 3250])
+    assert sum(added) < 40 * 6500 / 10

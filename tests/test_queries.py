@@ -136,3 +136,14 @@ def test_result_properties(spark, folder):
     assert tuple(scaled) == (0.0, 1.0)
     with pytest.raises(ValueError):
         A.summarise(r.binned, A.Settings(statistic="mode"))
+
+
+def test_single_analysis_stores_only_columns_of_its_summary(spark, folder, monkeypatch):
+    """Trimmed and gated cells were both stored with channels and doses that nothing read."""
+    stored, keep = [], Q.trimmed
+    monkeypatch.setattr(Q, "trimmed", lambda *a, **more: stored.append(keep(*a, **more)) or stored[-1])
+    got = Q.single(spark, folder)
+    assert not {"smad2", "psmad2", "dapi", "tgfb1", "gdf11", "gate", "cell_id"} & set(stored[0].columns)
+    whole = A.analyse(keep(spark, folder), Q.SINGLE).boot
+    columns = [*S.SUMMARY_KEYS, "bin_id", "n_cells", Q.MEAN]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, whole.select(*columns).collect()))

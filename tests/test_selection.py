@@ -94,3 +94,20 @@ def test_equal_count_bins_seven_in_three(spark):
     df = spark.createDataFrame([("g", float(i), i) for i in range(1, 8)], "k string, x double, id bigint")
     got = equal_count_bins(df, 3, ["k"], "x", "id").orderBy("id").collect()
     assert [r.bin_id for r in got] == [1, 1, 1, 2, 2, 3, 3]
+
+
+def test_rows_outside_wanted_slots_never_meet_the_groups(spark, monkeypatch):
+    """Every row of both columns was compared with the keys of all wanted slots."""
+    met, keep = [], selection.attach
+
+    def counted(rows, summary, keys, *more):
+        met.append(rows.count())
+        return keep(rows, summary, keys, *more)
+
+    monkeypatch.setattr(selection, "attach", counted)
+    pdf = pd.DataFrame({"k": ["a", None] * 1000, "x": np.geomspace(1, 1e6, 2000), "y": np.geomspace(1, 1e9, 2000)})
+    got = quantiles(spark.createDataFrame(pdf), ["k"], {"x0": ("x", 0.001), "y1": ("y", 0.999)}).toPandas()
+    for k, part in pdf.groupby("k", dropna=False):
+        row = got[got.k.isna() if pd.isna(k) else got.k == k].iloc[0]
+        np.testing.assert_allclose([row.x0, row.y1], [np.quantile(part.x, 0.001), np.quantile(part.y, 0.999)], rtol=1e-12)
+    assert max(met) < 200
