@@ -58,14 +58,17 @@ class Store:
         self.age()
         self.young[key] = value
 
-    def missing(self, keys: set) -> set:
-        """Keys that neither generation has; those of the old one move to the young one."""
-        new = keys.difference(self.young)
-        if self.old and new:
-            again = new.intersection(self.old)
-            self.young.update(zip(again, map(self.old.__getitem__, again)))
-            new -= again
-        return new
+    def found(self, keys: set) -> dict:
+        """Values of ``keys``, None where neither generation has one; those of the old one move to the young one.
+
+        What follows looks into this small map, which a processor's cache holds, and not into the large ones.
+        """
+        here = dict(zip(keys, map(self.young.get, keys)))
+        if self.old:
+            for key in [k for k, value in here.items() if value is None]:
+                if key in self.old:
+                    here[key] = self.young[key] = self.old[key]
+        return here
 
 
 class Coder:
@@ -183,73 +186,83 @@ class Coder:
         self.pairs.put((before + 1) * len(self.text) + piece, found)
         return found
 
-    def backtrack(self, longest: list[int]) -> list[int]:
-        """Pieces of a unit from the longest piece at each of its characters."""
-        n, size, shorter, pieces = len(longest), self.size, self.shorter, len(self.text)
-        failed = bytearray((n >> 3) + 1)
-        out: list[int] = []
-        at, piece = 0, longest[0]
+    def backtrack(self, longest: list[int], at: int, stop: int, out: list[int]) -> None:
+        """Add the pieces of the unit from ``at`` to ``stop`` to ``out``, from the longest piece at each character."""
+        size, shorter, pieces, known = self.size, self.shorter, len(self.text), self.pairs.young.get
+        first, begin, failed = len(out), at, None
+        piece, before = longest[at], 0  # the piece before, plus one, times the number of pieces
         while True:
             end = at + size[piece]
-            if not failed[end >> 3] >> (end & 7) & 1:
-                before = out[-1] if out else -1
-                fits = self.pairs.young.get((before + 1) * pieces + piece)
+            if failed is None or not failed[end - begin >> 3] >> (end - begin & 7) & 1:
+                fits = known(before + piece)
                 if fits is None:
-                    fits = self.fits(before, piece)
-            else:
-                fits = False
-            if fits:
-                out.append(piece)
-                if end == n:
-                    return out
-                at, piece = end, longest[end]
-                continue
+                    fits = self.fits(before // pieces - 1, piece)
+                if fits:
+                    out.append(piece)
+                    if end == stop:
+                        return
+                    before = (piece + 1) * pieces
+                    at, piece = end, longest[end]
+                    continue
             piece = shorter[piece]
             while piece < 0:  # nothing goes on from here
-                failed[at >> 3] |= 1 << (at & 7)
+                if failed is None:
+                    failed = bytearray((stop - begin >> 3) + 1)
+                failed[at - begin >> 3] |= 1 << (at - begin & 7)
                 piece = out.pop()
                 at -= size[piece]
                 piece = shorter[piece]
+                before = (out[-1] + 1) * pieces if len(out) > first else 0
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         found, known = {}, []
         for u in new:
-            if u in self.ids and len(u) == 1:
+            if len(u) > 1:
+                known.append(u)
+            elif u in self.ids:
                 found[u] = array("i", [self.ids[u]]).tobytes()
-            elif len(u) == 1:
+            else:
                 them = [self.byte_ids.get(b, self.unknown) for b in u.encode()] if self.byte_ids else [self.unknown]
                 found[u] = array("i", them).tobytes()
-            else:
-                known.append(u)
         line = self.gap.join(known)
         longest = self.single[self.number[np.frombuffer(line.encode("utf-32-le"), "<u4")]].tolist()
         size = self.size
         for end, piece in self.automaton.iter(line):  # by end: the last one kept for a start is the longest
             longest[end + 1 - size[piece]] = piece
-        at = 0
+        at, out, ends = 0, [], [0]
         for u in known:
-            found[u] = array("i", self.backtrack(longest[at : at + len(u)])).tobytes()
-            at += len(u) + 1
+            stop = at + len(u)
+            self.backtrack(longest, at, stop, out)
+            ends.append(4 * len(out))
+            at = stop + 1
+        data = array("i", out).tobytes()
+        found.update(zip(known, [data[a:b] for a, b in zip(ends, ends[1:])]))
         return found
 
     def cut(self, text: str) -> list[str]:
         """Units of a normalized text: parts that no merge crosses."""
         if len(text) < 2:
             return [text] if text else []
-        k = self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
-        ends = (np.flatnonzero(~self.follow[k[:-1], k[1:]]) + 1).tolist()
-        return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        k = self.number[codes]
+        ends = np.flatnonzero(~self.follow[k[:-1], k[1:]]) + 1
+        if self.gap in text:
+            return [text[a:b] for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(text)])]
+        # Written with a gap at each end and split there: quicker than a slice for each unit.
+        apart, inside = np.full(len(text) + len(ends), ord(self.gap), "<u4"), np.ones(len(text) + len(ends), bool)
+        inside[ends + np.arange(len(ends))] = False
+        apart[inside] = codes
+        return apart.tobytes().decode("utf-32-le", "surrogatepass").split(self.gap)
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as native 32-bit integers; null is empty."""
         cut = [self.cut(self.normalize(t)) if t else [] for t in texts]
-        units, long = self.units, {}
+        units = self.units
         units.age()
-        here = units.young
-        for u, ids in self._learn(list(units.missing(set().union(*cut)))).items():
-            (here if len(u) <= KEPT_LENGTH else long)[u] = ids
-        if long:
-            return [b"".join([here.get(u) or long[u] for u in some]) for some in cut]
+        here = units.found(set().union(*cut))
+        learnt = self._learn([u for u, ids in here.items() if ids is None])
+        here.update(learnt)
+        units.young.update((u, ids) for u, ids in learnt.items() if len(u) <= KEPT_LENGTH)
         return [b"".join(map(here.__getitem__, some)) for some in cut]
 
     def decode(self, ids: list[int]) -> str:
@@ -317,6 +330,11 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: str =
 
     def make(ids: pa.Array) -> pa.Array:
         c = coder(sent.value)
-        return pa.array([c.decode([i for i in x or [] if i is not None]) for x in ids.to_pylist()], pa.string())
+        if ids.flatten().null_count:
+            return pa.array([c.decode([i for i in x or [] if i is not None]) for x in ids.to_pylist()], pa.string())
+        # By numpy: an object of Arrow for each id takes longer than to decode it.
+        ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+        flat = ids.flatten().to_numpy().tolist()
+        return pa.array([c.decode(flat[a:b]) for a, b in zip([0, *ends], ends)], pa.string())
 
     return _with_column(rows, ids_col, text_col, "string", pa.string(), make, keep)

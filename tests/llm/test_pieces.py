@@ -95,3 +95,29 @@ def test_odd_rows(spark, odd, none, odd_rows, library):
     assert pieces.decode(pieces.encode(none, model), model).count() == 0
     holes = spark.createDataFrame([(None,), ([],), ([None, 264],)], "ids array<int>")
     assert [r["decoded"] for r in pieces.decode(holes, model, keep=[]).collect()] == ["", "", "a"]
+
+
+def test_units_are_looked_up_once_a_batch(library):
+    """Every occurrence of a unit was looked up among all units that the worker had kept."""
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+        def get(self, key, *default):
+            Counted.asked += 1
+            return super().get(key, *default)
+
+    small = pieces.Coder(pieces.model_bytes(PATH))
+    small.units.young = Counted()
+    texts = ["the of and, again. " * 300] * 3
+    assert [ids(c) for c in small.encode(texts)] == library.encode(texts) and Counted.asked < 20
+
+
+def test_the_sign_between_units_may_stand_in_a_text(library, coder):
+    texts = [f"one{coder.gap}two {coder.gap}{coder.gap}", coder.gap, f"{coder.gap}a", "plain, text", ""]
+    want = library.encode(texts)
+    assert [ids(c) for c in coder.encode(texts)] == want and [coder.decode(w) for w in want] == library.decode(want)
