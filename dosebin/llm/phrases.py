@@ -11,8 +11,8 @@ a border of two ranges are added up afterwards.
 Before that, what cannot begin a frequent phrase is left out: words, then pairs of leading
 words, are counted over all documents, and only places whose next two words are a frequent
 pair keep a pointer.  The frequent ones reach the tasks as bitmaps of a fixed size; a
-wrongly set bit lets a pointer through that quicksort leaves later.  Equal pointers of a
-task are added up before they leave it.
+wrongly set bit lets a pointer through that quicksort leaves later.  Equal pointers are
+added up over all tasks before they are stored, sampled for ranges and sorted.
 
 Words are 64-bit hashes of language and word.  All distinct words are counted by hash and
 by text, so it is known that no frequent word shares its hash; else everything is
@@ -223,31 +223,24 @@ def _added(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pointers(rows: DataFrame, words, pairs, strong: bool = False) -> DataFrame:
-    """Columns ``w0`` to ``w4`` and ``n``: the suffix pointers of all texts by their keys, equal ones of a task added up."""
+    """Columns ``w0`` to ``w4`` and ``n``: the suffix pointers of all texts by their keys, equal ones added up.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            keys, n = _added(np.concatenate(held))
-            held.clear()
-            columns = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in keys.T]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int64))], [*KEYS, "n"])
+    Spark adds them up, in each task and then over all: blocks of a task have fewer equal ones the more pairs are frequent.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, texts in _by_lang(batch):
                 found = windows(_joined(hashed(lang, texts, strong)), words.value, pairs.value)
                 for i in range(0, len(found), FLUSH_POINTERS):
-                    some = found[i : i + FLUSH_POINTERS]
-                    if size + len(some) > FLUSH_POINTERS:
-                        yield from flush()
-                        size = 0
-                    held.append(some)
-                    size += len(some)
-        if size:
-            yield from flush()
-
-    return rows.mapInArrow(run, POINTERS)
+                    keys = found[i : i + FLUSH_POINTERS]
+                    n = np.ones(len(keys), np.int64)
+                    if len(keys) == FLUSH_POINTERS:  # of a few very long texts, which repeat themselves
+                        keys, n = _added(keys)
+                    columns = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in keys.T]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int64))], [*KEYS, "n"])
+
+    return rows.mapInArrow(run, POINTERS).groupBy(*KEYS).agg(F.sum("n").alias("n"))
 
 
 def multikey_quicksort(keys: list[np.ndarray], n: np.ndarray, least: int) -> Iterator[tuple[tuple[int, ...], int]]:

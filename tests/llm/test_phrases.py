@@ -118,6 +118,23 @@ def test_windows_and_hashes():
     assert phrases.windows(np.zeros(0, np.uint64), every, every).shape == (0, 5)
 
 
+@pytest.mark.parametrize("block", [3, 400_000])
+def test_equal_pointers_of_all_tasks_are_one_row(spark, monkeypatch, block):
+    monkeypatch.setattr(phrases, "FLUSH_POINTERS", block)
+    every = spark.sparkContext.broadcast(np.full(1 << (phrases.BITS - 6), ~np.uint64(0)))
+    texts = ["a b c d e f g. a b", "b c d e f g, h", None, "", "a"]
+
+    def stored(copies, tasks):
+        df = spark.createDataFrame([("x", t) for t in texts] * copies, "lang string, text string").repartition(tasks)
+        got = phrases.pointers(df, every, every).collect()
+        return {tuple(r)[:5]: r["n"] for r in got}, len(got)
+
+    once, rows = stored(1, 1)
+    assert rows == len(once) == 7 and sum(once.values()) == 12  # six places of the long piece, one of the short; five shared
+    again, more = stored(40, 8)
+    assert more == rows and again == {k: 40 * n for k, n in once.items()}
+
+
 def test_products_beyond_64_bits(spark):
     big = 3 * 10**12
     known = spark.createDataFrame([([1, 2], big)], "words array<long>, n long")
