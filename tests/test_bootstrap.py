@@ -241,3 +241,66 @@ def test_middle_draws_are_found_by_lots(monkeypatch):
     ranked = np.sort(cells[bootstrap._hash(bootstrap._coefficients(texts), Z + np.arange(6500)) * 6500 >> 31], axis=1)
     assert np.array_equal(low, ranked[:, 3249]) and np.array_equal(high, ranked[:, 3250])
     assert sum(added) < 40 * 6500 / 10
+
+
+def test_only_blocks_of_the_middle_are_counted(monkeypatch):
+    """Draws of every block of a large bin were counted by position, though counts tell the middle draw alone."""
+    rng = np.random.default_rng(11)
+    cells, texts = np.sort(rng.normal(2, 1, 5000)), [f"4|x|{b}" for b in range(30)]
+    counts = bootstrap.block_counts(5000, 500, texts)
+    asked, keep = [], bootstrap._times_drawn
+    monkeypatch.setattr(bootstrap, "_times_drawn", lambda *a: asked.append(a) or keep(*a))
+    sums, low, high = bootstrap._resample(cells, 0, counts, np.zeros(30, np.int64), 5000, 500, texts)
+    assert 0 < len(asked) <= 4
+    for r, text in enumerate(texts):
+        drawn = []
+        for k, n in enumerate(counts[r]):
+            coef = bootstrap._coefficients([f"{text}|{k}|{k + 1}"])
+            drawn.append(cells[500 * k : 500 * k + 500][bootstrap._hash(coef, Z + np.arange(n))[0] * 500 >> 31])
+        drawn = np.sort(np.concatenate(drawn))
+        assert sums[r] == pytest.approx(drawn.sum(), rel=1e-12) and (low[r], high[r]) == (drawn[2499], drawn[2500])
+
+
+def test_draws_of_wide_blocks_do_not_depend_on_the_rows_done_together():
+    """Blocks of many cells are counted and fetched a replicate at a time, others many at once."""
+    rng = np.random.default_rng(12)
+    n = np.array([9000, 1, 8999, 0])
+    coef = bootstrap._coefficients([f"9|{b}" for b in range(4)])
+    for size in (8191, 8192, 9001):
+        held = np.sort(rng.normal(0, 1, size))
+        drawn = [bootstrap._hash(coef[r : r + 1], Z + np.arange(k))[0] * size >> 31 for r, k in enumerate(n)]
+        times = bootstrap._times_drawn(coef, n, size)
+        sums = bootstrap._drawn_sums(coef, n, held)
+        for r, own in enumerate(drawn):
+            assert np.array_equal(times[r, :size], np.bincount(own, minlength=size)) and not times[r, size:].any()
+            assert sums[r] == pytest.approx(held[own].sum(), abs=1e-9)
+
+
+def test_hashes_at_the_ends_of_their_range():
+    """Quotients by the prime are right where the hash is 0 or the largest, in narrow and wide spans."""
+    rng = np.random.default_rng(13)
+    for i in (0, 63, 64, 127, 128, 255, 4096, 9001):
+        for want in (0, 1, P - 1):
+            c = [int(x) for x in rng.integers(0, 1 << 28, 3)]
+            first = (want - sum(x * (Z + i) ** (k + 1) for k, x in enumerate(c))) % P
+            for count, size in ((i + 1, 1000), (9500, 1 << 16), (9500, 65_535)):
+                assert bootstrap._positions(np.array([[first, *c]]), count, size)[0, i] == want * size >> 31
+
+
+def test_codes_stand_for_keys(spark, monkeypatch):
+    """Cells that carry codes get the draws of the keys; no text travels with them."""
+    df = bins_frame(spark).unionByName(spark.createDataFrame([(None, 1, 2.0), (None, 1, 4.0)], "k string, bin_id int, norm_psmad2 double"))
+    names = spark.createDataFrame([(7, "a"), (9, "b"), (11, None)], "code long, k string")
+    coded = df.join(names.withColumnRenamed("k", "name"), F.col("k").eqNullSafe(F.col("name"))).drop("k", "name")
+    want = sorted(map(repr, bootstrap_bins(df, ["k"], n_boot=9, seed=2).drop("k").collect()))
+    sent, keep = [], bootstrap._whole_bins
+    monkeypatch.setattr(bootstrap, "_whole_bins", lambda rows, *a: sent.append(rows) or keep(rows, *a))
+    got = bootstrap_bins(coded, ["code"], n_boot=9, seed=2, names=names)
+    assert sorted(map(repr, got.drop("code").collect())) == want and len(want) == 4
+    assert "string" not in dict(sent[0].dtypes).values()
+    large = bootstrap_bins(coded, ["code"], n_boot=9, seed=2, names=names, slice_cells=16, block_cells=8)
+    plain = bootstrap_bins(df, ["k"], n_boot=9, seed=2, slice_cells=16, block_cells=8)
+    a, b = (x.select("n_cells", "bin_id", "median_norm_psmad2").collect() for x in (large, plain))
+    assert sorted(a) == sorted(b)
+    with pytest.raises(ValueError):
+        bootstrap_bins(coded, ["code"], names=names, mode="poisson")

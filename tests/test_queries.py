@@ -1,8 +1,10 @@
 """Registered queries against their SQL at the smallest scale, and their plans."""
 
 import os
+from dataclasses import replace
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ import __spark_entry__ as entry
 import check
 from dosebin import schema as S
 from dosebin import session
-from dosebin.operators import binning, gates, matrix
+from dosebin.operators import binning, bootstrap, gates, matrix
 from dosebin.plans import analysis as A
 from dosebin.plans import queries as Q
 from dosebin.plans.oracle import ORACLE
@@ -147,3 +149,49 @@ def test_single_analysis_stores_only_columns_of_its_summary(spark, folder, monke
     whole = A.analyse(keep(spark, folder), Q.SINGLE).boot
     columns = [*S.SUMMARY_KEYS, "bin_id", "n_cells", Q.MEAN]
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, whole.select(*columns).collect()))
+
+
+def sweep_cells(spark):
+    rng = np.random.default_rng(17)
+    rows = []
+    for i in range(1500):
+        line, ligand = ("Luc", "R3", "R3")[i % 3], ("No Cyto", "TGFB1", None)[i // 3 % 3]
+        dose = 0.0 if line == "Luc" else (0.1, None)[i % 2]
+        rows.append(("1" if i % 7 else None, 1 + i % 2, ligand, dose, line, "+dox", float(rng.normal(2, 0.4)), float(rng.normal(1, 0.3))))
+    rows.append(("no control", 1, "TGFB1", 0.1, "R3", "+dox", 9.0, 9.0))
+    names = "experiment string, replicate int, ligand string, ligand_conc double, cell_line string, dox string, ha double, norm_psmad2 double"
+    return spark.createDataFrame(rows, names)
+
+
+def test_sweep_is_every_combination_by_itself(spark):
+    rows = sweep_cells(spark)
+    s = A.Settings(control="luc", statistic="mean", number_keys=tuple(S.SUMMARY_KEYS))
+    got = A.parameter_sweep(rows, [0.6, 0.0], [0.1, 0.3], [3, 5], s)
+    columns = [*S.SUMMARY_KEYS, "bin_id", "n_cells", "median_norm_psmad2", "bin_lo", "bin_hi"]
+    for qs in (0.6, 0.0):
+        for qh in (0.1, 0.3):
+            for n in (3, 5):
+                one = A.analyse(rows, replace(s, q_signal=qs, q_ha=qh, n_bins=n)).boot
+                some = got.where((F.col("q_signal") == qs) & (F.col("q_ha") == qh) & (F.col("n_bins") == n))
+                want = sorted(map(repr, one.select(*columns).collect()))
+                assert sorted(map(repr, some.select(*columns).collect())) == want and len(want) > 12
+
+
+def test_sweep_repeats_cells_for_bin_counts_after_their_range(spark, monkeypatch):
+    """Ranges were looked for among cells repeated for every combination, and all names travelled with each."""
+    rows = sweep_cells(spark)
+    ranged, binned = [], []
+    keep, boot = binning.bin_ranges, bootstrap.bootstrap_bins
+    monkeypatch.setattr(binning, "bin_ranges", lambda df, *a: ranged.append(df) or keep(df, *a))
+    monkeypatch.setattr(bootstrap, "bootstrap_bins", lambda df, *a, **more: binned.append(df) or boot(df, *a, **more))
+    got = A.parameter_sweep(rows, [0.5, 0.0], [0.1], [2, 4, 8], A.Settings(control="luc", n_boot=3))
+    cells = sum(r["n_cells"] for r in got.where("n_bins = 2").collect())
+    assert cells > 500 and [df.count() for df in ranged] == [cells]
+    assert binned[0].count() == 3 * cells and "string" not in dict(binned[0].dtypes).values()
+
+
+def test_sweep_stores_only_columns_of_its_summary(spark, folder, monkeypatch):
+    stored, keep = [], Q.trimmed
+    monkeypatch.setattr(Q, "trimmed", lambda *a, **more: stored.append(keep(*a, **more)) or stored[-1])
+    Q.QUERIES["parameter_sweep"](spark, folder)
+    assert not {"smad2", "psmad2", "dapi", "tgfb1", "gdf11", "gate", "cell_id"} & set(stored[0].columns)
